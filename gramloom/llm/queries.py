@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, quality_rules, sharding
+from . import exact_dedup, line_dedup, minhash, mixing, quality_rules, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = minhash.near_groups(_table(spark, sf_dir, "documents"), n=2, threshold=0.8)
+    return groups.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -37,5 +42,5 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_exact_dedup, op2_mixing, op5_quality_rules, op6_line_dedup, op8_sharding)
+    own = (op1_exact_dedup, op2_mixing, op3_minhash, op5_quality_rules, op6_line_dedup, op8_sharding)
     return {f.__name__: f for f in own}
