@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, minhash, mixing, quality_rules, sharding
+from . import exact_dedup, line_dedup, lm_scoring, minhash, mixing, quality_gam, quality_rules, sentencepiece_codec, sharding, wordpiece
+
+#: The vocabulary file that the coding queries use; a parameter of their operators.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.count_tokens(_table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -37,10 +43,22 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.common_lines_report(docs, batches=line_dedup.file_batches(docs))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.codec_report(_table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(_table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_exact_dedup, op2_mixing, op3_minhash, op5_quality_rules, op6_line_dedup, op8_sharding)
+    own = (op1_exact_dedup, op2_mixing, op3_minhash, op4_token_counts, op5_quality_rules, op6_line_dedup, op7_sentencepiece, op8_sharding, op9_lm_scoring, op10_quality_classifier)
     return {f.__name__: f for f in own}
