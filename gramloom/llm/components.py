@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,15 +17,16 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
     hub is no hot group), then jumps to that label's own label, which halves distances.
     Every round is a written table.
     """
-    both = scratch.put(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges-both")
-    labels = scratch.put(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels-0")
+    name = f"labels-{uuid.uuid4().hex[:8]}"
+    both = scratch.put(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"edges-both-{uuid.uuid4().hex[:8]}")
+    labels = scratch.put(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-0")
     for k in range(1, most_rounds + 1):
         heard = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("heard"))
         lower = labels.join(heard, F.col("node") == F.col("n")).select("node", F.least("label", "heard").alias("low"), F.col("label").alias("was"))
         jump = labels.select(F.col("node").alias("m"), F.col("label").alias("far"))
         stepped = lower.join(jump, F.col("low") == F.col("m"), "left").select("node", F.least("low", F.coalesce("far", "low")).alias("label"), "was")
-        after = scratch.put(stepped, f"labels-{k}")
-        scratch.drop(f"labels-{k - 1}")
+        after = scratch.put(stepped, f"{name}-{k}")
+        scratch.drop(f"{name}-{k - 1}")
         labels = after.select("node", "label")
         if not after.filter("label <> was").limit(1).count():
             return labels

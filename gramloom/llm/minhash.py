@@ -13,7 +13,8 @@ threshold; groups are the connected components.
 3. *Overlaps.*  Lists of up to ``SMALL`` members give all their pairs; longer lists are
    dealt over tasks in parts, and each member is paired with the list's smallest member.
    A pair goes on if the union sketch estimates at least ``LEAST`` (5 standard errors
-   below 0.8).
+   below 0.8), and if the parities of its shingles by hash bin differ in no more bins
+   than the largest symmetric difference of linked sets allows (5 standard errors above).
 4. *Verification.*  Both whole texts are read and exact Jaccard on full sets decides.
 5. *The rest.*  Where a long list's members are in several components after that, pairs
    across components are estimated in blocks, best first, with 8, 64, 512 ... per member
@@ -39,6 +40,7 @@ from .common import Scratch, text_of
 from .components import connected_components
 
 K, T, SMALL, PART, LEAST = 64, 36, 8, 256, 0.55
+ODD = 2048  # bits of the parity sketch
 _NULL_ID = -(2**63)
 _PAD = np.uint32(0xFFFFFFFF)
 
@@ -49,18 +51,19 @@ def sketch_rows(docs: DataFrame, n: int) -> DataFrame:
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                size, f1, f2, kept = [], [], [], []
+                size, f1, f2, kept, odd = [], [], [], [], []
                 for s in shingle_sets(part.column("text"), n):
                     size.append(len(s))
                     f1.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
                     f2.append(int(mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
                     kept.append(s[:K].view(np.int64))
+                    odd.append(np.packbits(np.bincount((s >> np.uint64(17)) % np.uint64(ODD), minlength=ODD).astype(np.uint8) & 1).tobytes())
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
                 values = np.concatenate(kept) if kept else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))], ["doc_id", "th", "n_shingles", "f1", "f2", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(values)), pa.array(odd, pa.binary())], ["doc_id", "th", "n_shingles", "f1", "f2", "sketch", "odd"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.xxhash64(text_of("text")).alias("th"), text_of("text").alias("text"))
-    return rows.mapInArrow(sketches, "doc_id long, th long, n_shingles long, f1 long, f2 long, sketch array<long>")
+    return rows.mapInArrow(sketches, "doc_id long, th long, n_shingles long, f1 long, f2 long, sketch array<long>, odd binary")
 
 
 def _postings(classes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -73,7 +76,7 @@ def _postings(classes: DataFrame, scratch: Scratch) -> DataFrame:
     room = (listed - (F.col("s") - F.size("held"))).cast("int")
     short = scratch.put(own.filter(room > 0).select("rep", F.explode(F.slice("held", 1, room)).alias("e")).select("rep", F.col("e.v").alias("v")), "short-lists")
     sizes = short.groupBy("v").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    return scratch.put(short.join(sizes, "v").join(classes.select("rep", "th", F.col("n_shingles").alias("n"), "sketch"), "rep").select("v", "m", "rep", "th", "n", "sketch"), "postings")
+    return scratch.put(short.join(sizes, "v").join(classes.select("rep", "th", F.col("n_shingles").alias("n"), "sketch", "odd"), "rep").select("v", "m", "rep", "th", "n", "sketch", "odd"), "postings")
 
 
 def _matrix(sketches: pa.Array) -> np.ndarray:
@@ -128,11 +131,24 @@ def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(table)), 0))
 
 
+def _most_odd(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Bins of odd parity that the symmetric difference of a linked pair reaches at most.
+
+    ``sizes`` is the sum of both set sizes.  Large sets fill all bins and pass always.
+    """
+    apart = (1 - threshold) / (1 + threshold) * sizes
+    mean = ODD / 2 * (1 - (1 - 2 / ODD) ** apart)
+    return mean + 5 * np.sqrt(mean) + 2
+
+
 def _passing(table: pa.Table, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pairs that sizes and estimates let through, with their estimates."""
     n, rep = table["n"].to_numpy(), table["rep"].to_numpy()
     ok = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9) & (rep[i] != rep[j])
     i, j = i[ok], j[ok]
+    odd = np.frombuffer(b"".join(table["odd"].to_pylist()), dtype=np.uint64).reshape(len(table), ODD // 64)
+    ok = np.concatenate([np.bitwise_count(odd[i[a : a + 65536]] ^ odd[j[a : a + 65536]]).sum(axis=1) for a in range(0, len(i), 65536)] or [np.zeros(0)]) <= _most_odd(n[i] + n[j], threshold)
+    i, j = i[ok], j[ok]
     s = _matrix(table["sketch"].combine_chunks())
     e = union_estimate(s[i], s[j])
     ok = e >= LEAST
@@ -183,7 +199,7 @@ def _later_pairs(postings: DataFrame, labels: DataFrame, threshold: float, most:
     n_main, n_other = F.ceil(F.col("mc") / PART).cast("int"), F.ceil((F.col("m") - F.col("mc")) / PART).cast("int")
     block = F.when(F.col("other") == 1, F.pmod(F.hash("rep"), n_other)).otherwise(n_other + F.pmod(F.hash("rep"), n_main))
     meets = F.when(F.col("other") == 1, F.sequence(F.lit(0), n_other + n_main - 1)).otherwise(F.sequence(F.lit(0), n_other - 1))
-    dealt = rows.withColumn("block", block).withColumn("with", F.explode(meets)).select("v", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "rep", "th", "n", "sketch", "comp", "other")
+    dealt = rows.withColumn("block", block).withColumn("with", F.explode(meets)).select("v", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "rep", "th", "n", "sketch", "odd", "comp", "other")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, ["v", "x", "y"]):
@@ -245,11 +261,12 @@ def near_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFram
     scratch = Scratch(docs.sparkSession, "minhash")
     rows = scratch.put(sketch_rows(docs, n), "sketches")
     key = ["n_shingles", "f1", "f2"]
-    named = rows.filter("n_shingles > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("sketch").alias("sketch"))
-    classes = scratch.put(named.select(*key, F.col("r.doc_id").alias("rep"), F.col("r.th").alias("th"), "sketch"), "classes")
+    named = rows.filter("n_shingles > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd"))
+    classes = scratch.put(named.select(*key, F.col("r.doc_id").alias("rep"), F.col("r.th").alias("th"), "sketch", "odd"), "classes")
     postings = _postings(classes, scratch)
     pairs = scratch.put(_first_pairs(postings, threshold), "pairs-0")
     edges = scratch.put(_verified(pairs, docs, n, threshold, scratch, "0"), "edges-0")
+    scratch.drop("short-lists", "pairs-0", "texts-0")
     labels = connected_components(edges, scratch)
     most, step = 8, 1
     while postings.filter(F.col("m") > SMALL).limit(1).count():
@@ -258,13 +275,14 @@ def near_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFram
         if not more["n"]:
             break
         found = scratch.put(_verified(later.drop("more").distinct(), docs, n, threshold, scratch, str(step)), f"edges-{step}")
+        scratch.drop(f"pairs-{step}", f"texts-{step}")
         edges = edges.unionAll(found)
         labels = connected_components(edges, scratch)
         if not more["more"]:
             break
         most, step = most * 8, step + 1
     reps = classes.select(F.col("n_shingles").alias("_n"), F.col("f1").alias("_1"), F.col("f2").alias("_2"), "rep")
-    found = rows.drop("sketch").join(reps, (F.col("n_shingles") == F.col("_n")) & (F.col("f1") == F.col("_1")) & (F.col("f2") == F.col("_2")), "left")
+    found = rows.drop("sketch", "odd").join(reps, (F.col("n_shingles") == F.col("_n")) & (F.col("f1") == F.col("_1")) & (F.col("f2") == F.col("_2")), "left")
     found = found.join(labels, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("label", "rep", "doc_id"))
     real = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
     return found.select(real("doc_id").alias("doc_id"), "th", "n_shingles", real("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
