@@ -17,7 +17,7 @@ threshold; groups are the connected components.
    than the largest symmetric difference of linked sets allows (5 standard errors above).
 4. *Verification.*  Both whole texts are read and exact Jaccard on full sets decides.
 5. *The rest.*  Where a long list's members are in several components after that, pairs
-   across components are estimated in blocks, best first, with 8, 64, 512 ... per member
+   across components are estimated in blocks, best first, with 32, 256, 2048 ... per member
    and round, until no pair is left out.  Pairs inside one component add nothing.
 
 Defined results: a text without words (or null) has an empty set and is linked with
@@ -39,7 +39,7 @@ from .arrow_text import mix64, shingle_sets, slices
 from .common import Scratch, text_of
 from .components import connected_components
 
-K, T, SMALL, PART, LEAST = 64, 36, 8, 256, 0.55
+K, T, SMALL, PART, LEAST = 64, 36, 8, 1024, 0.55
 ODD = 2048  # bits of the parity sketch
 _NULL_ID = -(2**63)
 _PAD = np.uint32(0xFFFFFFFF)
@@ -138,7 +138,8 @@ def _most_odd(sizes: np.ndarray, threshold: float) -> np.ndarray:
     """
     apart = (1 - threshold) / (1 + threshold) * sizes
     mean = ODD / 2 * (1 - (1 - 2 / ODD) ** apart)
-    return mean + 5 * np.sqrt(mean) + 2
+    variance = ODD / 4 * (1 - (1 - 4 / ODD) ** apart) + ODD**2 / 4 * ((1 - 4 / ODD) ** apart - (1 - 2 / ODD) ** (2 * apart))
+    return mean + 5 * np.sqrt(np.maximum(variance, 0)) + 2
 
 
 def _passing(table: pa.Table, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -268,7 +269,7 @@ def near_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFram
     edges = scratch.put(_verified(pairs, docs, n, threshold, scratch, "0"), "edges-0")
     scratch.drop("short-lists", "pairs-0", "texts-0")
     labels = connected_components(edges, scratch)
-    most, step = 8, 1
+    most, step = 32, 1
     while postings.filter(F.col("m") > SMALL).limit(1).count():
         later = scratch.put(_later_pairs(postings, labels, threshold, most), f"pairs-{step}")
         more = later.agg(F.count(F.lit(1)).alias("n"), F.max("more").alias("more")).first()
