@@ -39,7 +39,7 @@ from .arrow_text import mix64, shingle_sets, slices
 from .common import Scratch, text_of
 from .components import connected_components
 
-K, T, SMALL, PART, LEAST = 64, 36, 8, 1024, 0.55
+K, T, SMALL, PART, BLOCK, LEAST = 64, 36, 8, 256, 2048, 0.55
 ODD = 2048  # bits of the parity sketch
 _NULL_ID = -(2**63)
 _PAD = np.uint32(0xFFFFFFFF)
@@ -150,8 +150,9 @@ def _passing(table: pa.Table, i: np.ndarray, j: np.ndarray, threshold: float) ->
     odd = np.frombuffer(b"".join(table["odd"].to_pylist()), dtype=np.uint64).reshape(len(table), ODD // 64)
     ok = np.concatenate([np.bitwise_count(odd[i[a : a + 65536]] ^ odd[j[a : a + 65536]]).sum(axis=1) for a in range(0, len(i), 65536)] or [np.zeros(0)]) <= _most_odd(n[i] + n[j], threshold)
     i, j = i[ok], j[ok]
-    s = _matrix(table["sketch"].combine_chunks())
-    e = union_estimate(s[i], s[j])
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    s = _matrix(table["sketch"].take(pa.array(used)).combine_chunks())
+    e = union_estimate(s[at[: len(i)]], s[at[len(i) :]])
     ok = e >= LEAST
     return i[ok], j[ok], e[ok]
 
@@ -191,13 +192,13 @@ def _later_pairs(postings: DataFrame, labels: DataFrame, threshold: float, most:
     """Pairs across components in long lists: ``most`` for a member at once; ``more``: some were left out.
 
     Members of a list's largest component meet the others only; either kind is dealt in
-    blocks of about ``PART`` members, and each pair of blocks is one group.
+    blocks of about ``BLOCK`` members, and each pair of blocks is one group.
     """
     long = postings.filter(F.col("m") > SMALL).join(labels, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "rep")).drop("node", "label")
     counts = long.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = counts.groupBy("v").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("mc"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("v", "main", "mc")
     rows = long.join(mixed, "v").withColumn("other", (F.col("comp") != F.col("main")).cast("int"))
-    n_main, n_other = F.ceil(F.col("mc") / PART).cast("int"), F.ceil((F.col("m") - F.col("mc")) / PART).cast("int")
+    n_main, n_other = F.ceil(F.col("mc") / BLOCK).cast("int"), F.ceil((F.col("m") - F.col("mc")) / BLOCK).cast("int")
     block = F.when(F.col("other") == 1, F.pmod(F.hash("rep"), n_other)).otherwise(n_other + F.pmod(F.hash("rep"), n_main))
     meets = F.when(F.col("other") == 1, F.sequence(F.lit(0), n_other + n_main - 1)).otherwise(F.sequence(F.lit(0), n_other - 1))
     dealt = rows.withColumn("block", block).withColumn("with", F.explode(meets)).select("v", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "rep", "th", "n", "sketch", "odd", "comp", "other")
@@ -209,10 +210,17 @@ def _later_pairs(postings: DataFrame, labels: DataFrame, threshold: float, most:
             for a in np.unique(first):
                 b = a + int((first == a).sum())
                 left = np.arange(a, b)[own[a:b] == x[a]]
+                part = table.slice(a, b - a)
                 right = left if x[a] == y[a] else np.arange(a, b)[own[a:b] == y[a]]
-                i, j = (z.ravel() for z in np.meshgrid(left, right, indexing="ij"))
-                ok = (comp[i] != comp[j]) & ((i < j) | (x[a] != y[a]))
-                i, j, e = _passing(table, i[ok], j[ok], threshold)
+                found = []
+                for strip in range(0, len(left), 128):
+                    i, j = (z.ravel() for z in np.meshgrid(left[strip : strip + 128], right, indexing="ij"))
+                    ok = (comp[i] != comp[j]) & ((i < j) | (x[a] != y[a]))
+                    found.append(_passing(part, i[ok] - a, j[ok] - a, threshold))
+                if not found:
+                    continue
+                i, j, e = (np.concatenate(z) for z in zip(*found))
+                i, j = i + a, j + a
                 order = np.lexsort((-e, i))
                 i, j = i[order], j[order]
                 start = np.maximum.accumulate(np.where(np.r_[True, i[1:] != i[:-1]], np.arange(len(i)), 0)) if len(i) else i
