@@ -35,7 +35,7 @@ MARK = "▁"
 #: Fixed values of the format: piece kinds and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-_CACHED = 300_000
+_CACHED, _AT_ONCE = 150_000, 4096
 
 
 @dataclass(frozen=True)
@@ -159,8 +159,10 @@ class Codec:
         if len(self.known) + len(distinct) > _CACHED:
             self.known.clear()
         new = [p for p in distinct if p not in self.known]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, dtype=np.int32)
+        for at in range(0, len(new), _AT_ONCE):  # the library's result objects are large
+            some = new[at : at + _AT_ONCE]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[p] = np.array(e.ids, dtype=np.int32)
         ids = [self.known[p] for p in distinct]
         return _gather(np.concatenate(ids) if ids else np.zeros(0, np.int32), np.array([len(x) for x in ids], dtype=np.int64), coded.indices.to_numpy().astype(np.int64), np.array(bounds))
 
