@@ -14,7 +14,8 @@ threshold; groups are the connected components.
    dealt over tasks in parts, and each member is paired with the list's smallest member.
    A pair goes on if the union sketch estimates at least ``LEAST`` (5 standard errors
    below 0.8), and if the parities of its shingles by hash bin differ in no more bins
-   than the largest symmetric difference of linked sets allows (5 standard errors above).
+   than the largest symmetric difference of linked sets allows (5 standard errors above,
+   and never above that difference itself).
 4. *Verification.*  Both whole texts are read and exact Jaccard on full sets decides.
 5. *The rest.*  Where a long list's members are in several components after that, pairs
    across components are estimated in blocks, best first, with 32, 256, 2048 ... per member
@@ -134,12 +135,13 @@ def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
 def _most_odd(sizes: np.ndarray, threshold: float) -> np.ndarray:
     """Bins of odd parity that the symmetric difference of a linked pair reaches at most.
 
-    ``sizes`` is the sum of both set sizes.  Large sets fill all bins and pass always.
+    ``sizes`` is the sum of both set sizes.  Large sets fill all bins and pass always; of
+    small sets no more bins can be odd than elements differ.
     """
     apart = (1 - threshold) / (1 + threshold) * sizes
     mean = ODD / 2 * (1 - (1 - 2 / ODD) ** apart)
     variance = ODD / 4 * (1 - (1 - 4 / ODD) ** apart) + ODD**2 / 4 * ((1 - 4 / ODD) ** apart - (1 - 2 / ODD) ** (2 * apart))
-    return mean + 5 * np.sqrt(np.maximum(variance, 0)) + 2
+    return np.minimum(mean + 5 * np.sqrt(np.maximum(variance, 0)) + 2, apart + 1e-6)
 
 
 def _passing(table: pa.Table, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
