@@ -42,6 +42,7 @@ from .components import connected_components
 
 K, T, SMALL, PART, BLOCK, LEAST = 64, 36, 8, 256, 2048, 0.55
 ODD = 2048  # bits of the parity sketch
+PIECE_BITS, MAP_PIECES = 32768, 2048  # bits that one bitmap of Spark holds; 8 MB of them at most
 _NULL_ID = -(2**63)
 _PAD = np.uint32(0xFFFFFFFF)
 
@@ -233,12 +234,29 @@ def _later_pairs(postings: DataFrame, labels: DataFrame, threshold: float, most:
     return dealt.repartition("v", "x", "y").sortWithinPartitions("v", "x", "y").mapInArrow(pairs, _PAIR + ", more boolean")
 
 
+def _perhaps_in(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows whose keys are in ``wanted`` and few others, by a bitmap of key hashes.
+
+    It keeps unwanted texts out of the shuffle that follows.  The bitmap has about 16 bits
+    for a key and never more than ``MAP_PIECES`` pieces of 4 KB, which bounds what is
+    broadcast; with more keys it lets more rows through, and the join after it decides.
+    """
+    pieces = max(1, min(MAP_PIECES, wanted.count() * 16 // PIECE_BITS + 1))
+    at = F.pmod(F.xxhash64(*keys), F.lit(pieces * PIECE_BITS)) + 1
+    bits = wanted.select(F.bitmap_bucket_number(at).alias("piece"), F.bitmap_bit_position(at).alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    place = F.bitmap_bit_position(F.col("at"))
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(place, F.lit(8)))), F.lit(2)) == 1
+    return rows.withColumn("at", at).withColumn("piece", F.bitmap_bucket_number("at")).join(F.broadcast(bits), "piece").filter(held).select(*rows.columns)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, threshold: float, scratch: Scratch, name: str) -> DataFrame:
     """The pairs whose full sets reach the threshold, as edges (a, b)."""
     percent = round(threshold * 100)
     wanted = pairs.select(F.col("a").alias("id"), F.col("ta").alias("t")).unionAll(pairs.select("b", "tb")).distinct()
+    wanted = scratch.put(wanted, f"wanted-{name}")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(text_of("text")).alias("t"), text_of("text").alias("text"))
-    texts = scratch.put(texts.join(wanted, ["id", "t"], "left_semi").dropDuplicates(["id", "t"]), f"texts-{name}")
+    texts = scratch.put(_perhaps_in(texts, wanted, ["id", "t"]).join(wanted, ["id", "t"], "left_semi").dropDuplicates(["id", "t"]), f"texts-{name}")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,7 +295,7 @@ def near_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFram
     postings = _postings(classes, scratch)
     pairs = scratch.put(_first_pairs(postings, threshold), "pairs-0")
     edges = scratch.put(_verified(pairs, docs, n, threshold, scratch, "0"), "edges-0")
-    scratch.drop("short-lists", "pairs-0", "texts-0")
+    scratch.drop("short-lists", "pairs-0", "wanted-0", "texts-0")
     labels = connected_components(edges, scratch)
     most, step = 32, 1
     while postings.filter(F.col("m") > SMALL).limit(1).count():
@@ -286,7 +304,7 @@ def near_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFram
         if not more["n"]:
             break
         found = scratch.put(_verified(later.drop("more").distinct(), docs, n, threshold, scratch, str(step)), f"edges-{step}")
-        scratch.drop(f"pairs-{step}", f"texts-{step}")
+        scratch.drop(f"pairs-{step}", f"wanted-{step}", f"texts-{step}")
         edges = edges.unionAll(found)
         labels = connected_components(edges, scratch)
         if not more["more"]:
