@@ -77,15 +77,16 @@ def _postings(classes: DataFrame, scratch: Scratch) -> DataFrame:
     listed = F.col("s") - F.greatest(F.lit(1), F.floor(F.col("s") * T / K)) + 1
     room = (listed - (F.col("s") - F.size("held"))).cast("int")
     short = scratch.put(own.filter(room > 0).select("rep", F.explode(F.slice("held", 1, room)).alias("e")).select("rep", F.col("e.v").alias("v")), "short-lists")
+    prefixes = F.transform("sketch", lambda value: F.shiftright(value, 32).cast("int"))  # estimates need no more bits
     sizes = short.groupBy("v").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    return scratch.put(short.join(sizes, "v").join(classes.select("rep", "th", F.col("n_shingles").alias("n"), "sketch", "odd"), "rep").select("v", "m", "rep", "th", "n", "sketch", "odd"), "postings")
+    return scratch.put(short.join(sizes, "v").join(classes.select("rep", "th", F.col("n_shingles").alias("n"), prefixes.alias("sketch"), "odd"), "rep").select("v", "m", "rep", "th", "n", "sketch", "odd"), "postings")
 
 
 def _matrix(sketches: pa.Array) -> np.ndarray:
-    """Sketches as rows of K sorted 32-bit prefixes, padded."""
+    """Sketches (32-bit prefixes, in the order of their values) as rows of K, padded."""
     lengths = np.diff(sketches.offsets.to_numpy())
     out = np.full((len(lengths), K), _PAD, dtype=np.uint32)
-    out[np.arange(K) < lengths[:, None]] = (sketches.flatten().to_numpy().view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+    out[np.arange(K) < lengths[:, None]] = sketches.flatten().to_numpy().view(np.uint32)
     return out
 
 
