@@ -12,13 +12,14 @@ threshold; groups are the connected components.
    in the fewest sketches (prefix filtering), and only those values are listed.
 3. *Overlaps.*  Lists of up to ``SMALL`` members give all their pairs; longer lists are
    dealt over tasks in parts, and each member is paired with the list's smallest member.
-   A pair goes on if the union sketch estimates at least ``LEAST`` (5 standard errors
-   below 0.8), and if the parities of its shingles by hash bin differ in no more bins
-   than the largest symmetric difference of linked sets allows (5 standard errors above,
-   and never above that difference itself).
+   Lists carry a parity sketch of 64 bytes: the parities of a text's shingles by hash
+   bin; of texts beyond ``DENSE`` shingles, every 2nd, 4th ... shingle counts.  A pair
+   goes on if its parities differ in no more bins than the largest symmetric difference
+   of linked sets allows (5 standard errors above), and then, each pair once, if the
+   union sketch estimates at least ``LEAST`` (5 standard errors below 0.8).
 4. *Verification.*  Both whole texts are read and exact Jaccard on full sets decides.
 5. *The rest.*  Where a long list's members are in several components after that, pairs
-   across components are estimated in blocks, best first, with 32, 256, 2048 ... per member
+   across components are compared in blocks, closest first, with 32, 256, 2048 ... per member
    and round, until no pair is left out.  Pairs inside one component add nothing.
 
 Defined results: a text without words (or null) has an empty set and is linked with
@@ -41,12 +42,23 @@ from .common import Scratch, text_of
 from .components import connected_components
 
 K, T, SMALL, PART, BLOCK, LEAST = 64, 36, 8, 256, 2048, 0.55
-ODD = 2048  # bits of the parity sketch
+ODD, DENSE = 512, 1024  # bits of the parity sketch, and shingles that all count in it
 PIECE_BITS, MAP_PIECES = 32768, 2048  # bits that one bitmap of Spark holds; 8 MB of them at most
 _NULL_ID = -(2**63)
 _PAD = np.uint32(0xFFFFFFFF)
 
 
+def _halvings(n: np.ndarray) -> np.ndarray:
+    """How often the parity sketch of a set of ``n`` shingles halves what it counts."""
+    return np.ceil(np.log2(np.maximum(n, DENSE) / DENSE)).astype(int)
+
+
+def parity_sketch(shingles: np.ndarray) -> bytes:
+    """For each bin of hashes, whether an odd number of the shingles that count is in it."""
+    kept = shingles[shingles % np.uint64(1 << int(_halvings(len(shingles)))) == 0]
+    return np.packbits(np.bincount((kept >> np.uint64(17)) % np.uint64(ODD), minlength=ODD).astype(np.uint8) & 1).tobytes()
+
+
 def sketch_rows(docs: DataFrame, n: int) -> DataFrame:
     """doc_id (null as the smallest number), th, n_shingles, f1, f2, sketch."""
 
@@ -59,7 +71,7 @@ def sketch_rows(docs: DataFrame, n: int) -> DataFrame:
                     f1.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
                     f2.append(int(mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
                     kept.append(s[:K].view(np.int64))
-                    odd.append(np.packbits(np.bincount((s >> np.uint64(17)) % np.uint64(ODD), minlength=ODD).astype(np.uint8) & 1).tobytes())
+                    odd.append(parity_sketch(s))
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
                 values = np.concatenate(kept) if kept else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(values)), pa.array(odd, pa.binary())], ["doc_id", "th", "n_shingles", "f1", "f2", "sketch", "odd"])
@@ -69,7 +81,7 @@ def sketch_rows(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _postings(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(v, m, rep, th, n, sk): the listed values of each class, in lists of m >= 2 members."""
+    """(v, m, rep, th, n, odd): the listed values of each class, in lists of m >= 2 members."""
     values = classes.select("rep", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     # values of one sketch alone come first in a sketch's order and list nobody else
@@ -77,9 +89,8 @@ def _postings(classes: DataFrame, scratch: Scratch) -> DataFrame:
     listed = F.col("s") - F.greatest(F.lit(1), F.floor(F.col("s") * T / K)) + 1
     room = (listed - (F.col("s") - F.size("held"))).cast("int")
     short = scratch.put(own.filter(room > 0).select("rep", F.explode(F.slice("held", 1, room)).alias("e")).select("rep", F.col("e.v").alias("v")), "short-lists")
-    prefixes = F.transform("sketch", lambda value: F.shiftright(value, 32).cast("int"))  # estimates need no more bits
     sizes = short.groupBy("v").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    return scratch.put(short.join(sizes, "v").join(classes.select("rep", "th", F.col("n_shingles").alias("n"), prefixes.alias("sketch"), "odd"), "rep").select("v", "m", "rep", "th", "n", "sketch", "odd"), "postings")
+    return scratch.put(short.join(sizes, "v").join(classes.select("rep", "th", F.col("n_shingles").alias("n"), "odd"), "rep").select("v", "m", "rep", "th", "n", "odd"), "postings")
 
 
 def _matrix(sketches: pa.Array) -> np.ndarray:
@@ -134,31 +145,33 @@ def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(table)), 0))
 
 
-def _most_odd(sizes: np.ndarray, threshold: float) -> np.ndarray:
+def _most_odd(sizes: np.ndarray, halvings: np.ndarray, threshold: float) -> np.ndarray:
     """Bins of odd parity that the symmetric difference of a linked pair reaches at most.
 
-    ``sizes`` is the sum of both set sizes.  Large sets fill all bins and pass always; of
-    small sets no more bins can be odd than elements differ.
+    ``sizes`` is the sum of both set sizes.  Of sets that count whole no more bins can be
+    odd than elements differ.
     """
     apart = (1 - threshold) / (1 + threshold) * sizes
-    mean = ODD / 2 * (1 - (1 - 2 / ODD) ** apart)
-    variance = ODD / 4 * (1 - (1 - 4 / ODD) ** apart) + ODD**2 / 4 * ((1 - 4 / ODD) ** apart - (1 - 2 / ODD) ** (2 * apart))
-    return np.minimum(mean + 5 * np.sqrt(np.maximum(variance, 0)) + 2, apart + 1e-6)
+    counted = apart / 2.0**halvings
+    mean, variance = ODD / 2 * (1 - np.exp(-2 * counted / ODD)), ODD / 4 * (1 - np.exp(-4 * counted / ODD))
+    most = mean + 5 * np.sqrt(variance) + 2
+    return np.where(halvings == 0, np.minimum(most, apart + 1e-6), most)
 
 
 def _passing(table: pa.Table, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs that sizes and estimates let through, with their estimates."""
+    """The pairs that sizes and parities let through, with the share of the allowed difference they use.
+
+    Parities that count unlike shares of their texts say nothing; such pairs pass.
+    """
     n, rep = table["n"].to_numpy(), table["rep"].to_numpy()
     ok = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9) & (rep[i] != rep[j])
     i, j = i[ok], j[ok]
     odd = np.frombuffer(b"".join(table["odd"].to_pylist()), dtype=np.uint64).reshape(len(table), ODD // 64)
-    ok = np.concatenate([np.bitwise_count(odd[i[a : a + 65536]] ^ odd[j[a : a + 65536]]).sum(axis=1) for a in range(0, len(i), 65536)] or [np.zeros(0)]) <= _most_odd(n[i] + n[j], threshold)
-    i, j = i[ok], j[ok]
-    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-    s = _matrix(table["sketch"].take(pa.array(used)).combine_chunks())
-    e = union_estimate(s[at[: len(i)]], s[at[len(i) :]])
-    ok = e >= LEAST
-    return i[ok], j[ok], e[ok]
+    differ = np.concatenate([np.bitwise_count(odd[i[a : a + 65536]] ^ odd[j[a : a + 65536]]).sum(axis=1) for a in range(0, len(i), 65536)] or [np.zeros(0)])
+    halvings = _halvings(n)
+    used = np.where(halvings[i] == halvings[j], differ / np.maximum(_most_odd(n[i] + n[j], halvings[i], threshold), 1e-9), 1.0)
+    ok = used <= 1
+    return i[ok], j[ok], used[ok]
 
 
 _PAIR = "a long, ta long, b long, tb long"
@@ -205,7 +218,7 @@ def _later_pairs(postings: DataFrame, labels: DataFrame, threshold: float, most:
     n_main, n_other = F.ceil(F.col("mc") / BLOCK).cast("int"), F.ceil((F.col("m") - F.col("mc")) / BLOCK).cast("int")
     block = F.when(F.col("other") == 1, F.pmod(F.hash("rep"), n_other)).otherwise(n_other + F.pmod(F.hash("rep"), n_main))
     meets = F.when(F.col("other") == 1, F.sequence(F.lit(0), n_other + n_main - 1)).otherwise(F.sequence(F.lit(0), n_other - 1))
-    dealt = rows.withColumn("block", block).withColumn("with", F.explode(meets)).select("v", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "rep", "th", "n", "sketch", "odd", "comp", "other")
+    dealt = rows.withColumn("block", block).withColumn("with", F.explode(meets)).select("v", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "rep", "th", "n", "odd", "comp", "other")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, ["v", "x", "y"]):
@@ -223,9 +236,9 @@ def _later_pairs(postings: DataFrame, labels: DataFrame, threshold: float, most:
                     found.append(_passing(part, i[ok] - a, j[ok] - a, threshold))
                 if not found:
                     continue
-                i, j, e = (np.concatenate(z) for z in zip(*found))
+                i, j, used = (np.concatenate(z) for z in zip(*found))
                 i, j = i + a, j + a
-                order = np.lexsort((-e, i))
+                order = np.lexsort((used, i))
                 i, j = i[order], j[order]
                 start = np.maximum.accumulate(np.where(np.r_[True, i[1:] != i[:-1]], np.arange(len(i)), 0)) if len(i) else i
                 taken = np.arange(len(i)) - start < most
@@ -235,6 +248,20 @@ def _later_pairs(postings: DataFrame, labels: DataFrame, threshold: float, most:
     return dealt.repartition("v", "x", "y").sortWithinPartitions("v", "x", "y").mapInArrow(pairs, _PAIR + ", more boolean")
 
 
+def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, ta, b, tb) whose union sketch estimates at least ``LEAST``."""
+
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = union_estimate(_matrix(batch.column("sa")), _matrix(batch.column("sb"))) >= LEAST
+            yield batch.select(["a", "ta", "b", "tb"]).filter(pa.array(near, pa.bool_()))
+
+    prefixes = F.transform("sketch", lambda value: F.shiftright(value, 32).cast("int"))  # estimates need no more bits
+    left = classes.select(F.col("rep").alias("a"), F.col("th").alias("ta"), prefixes.alias("sa"))
+    right = classes.select(F.col("rep").alias("b"), F.col("th").alias("tb"), prefixes.alias("sb"))
+    return pairs.join(left, ["a", "ta"]).join(right, ["b", "tb"]).select("a", "ta", "b", "tb", "sa", "sb").mapInArrow(estimate, _PAIR)
+
+
 def _perhaps_in(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """All rows whose keys are in ``wanted`` and few others, by a bitmap of key hashes.
 
@@ -294,7 +321,7 @@ def near_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFram
     named = rows.filter("n_shingles > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd"))
     classes = scratch.put(named.select(*key, F.col("r.doc_id").alias("rep"), F.col("r.th").alias("th"), "sketch", "odd"), "classes")
     postings = _postings(classes, scratch)
-    pairs = scratch.put(_first_pairs(postings, threshold), "pairs-0")
+    pairs = scratch.put(_likely(_first_pairs(postings, threshold), classes), "pairs-0")
     edges = scratch.put(_verified(pairs, docs, n, threshold, scratch, "0"), "edges-0")
     scratch.drop("short-lists", "pairs-0", "wanted-0", "texts-0")
     labels = connected_components(edges, scratch)
@@ -304,8 +331,8 @@ def near_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFram
         more = later.agg(F.count(F.lit(1)).alias("n"), F.max("more").alias("more")).first()
         if not more["n"]:
             break
-        found = scratch.put(_verified(later.drop("more").distinct(), docs, n, threshold, scratch, str(step)), f"edges-{step}")
-        scratch.drop(f"pairs-{step}", f"wanted-{step}", f"texts-{step}")
+        found = scratch.put(_verified(scratch.put(_likely(later.drop("more").distinct(), classes), f"likely-{step}"), docs, n, threshold, scratch, str(step)), f"edges-{step}")
+        scratch.drop(f"pairs-{step}", f"likely-{step}", f"wanted-{step}", f"texts-{step}")
         edges = edges.unionAll(found)
         labels = connected_components(edges, scratch)
         if not more["more"]:
