@@ -284,7 +284,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, threshold: float, scrat
     wanted = pairs.select(F.col("a").alias("id"), F.col("ta").alias("t")).unionAll(pairs.select("b", "tb")).distinct()
     wanted = scratch.put(wanted, f"wanted-{name}")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(text_of("text")).alias("t"), text_of("text").alias("text"))
-    texts = scratch.put(_perhaps_in(texts, wanted, ["id", "t"]).join(wanted, ["id", "t"], "left_semi").dropDuplicates(["id", "t"]), f"texts-{name}")
+    # an inner join: Catalyst would push a semi join below the bitmap
+    texts = scratch.put(_perhaps_in(texts, wanted, ["id", "t"]).join(wanted, ["id", "t"]).dropDuplicates(["id", "t"]), f"texts-{name}")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
