@@ -85,10 +85,12 @@ def _postings(classes: DataFrame, scratch: Scratch) -> DataFrame:
     values = classes.select("rep", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     # values of one sketch alone come first in a sketch's order and list nobody else
-    own = values.join(often, "v").groupBy("rep").agg(F.first("s").alias("s"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
+    # one number for (df, v), rarest first: 15 bits of df and the 48 low bits of v, which name the list
+    key = F.shiftleft(F.least("df", F.lit(32767)), 48).bitwiseOR(F.col("v").bitwiseAND(F.lit((1 << 48) - 1)))
+    own = values.join(often, "v").select("rep", "s", key.alias("v")).groupBy("rep").agg(F.first("s").alias("s"), F.sort_array(F.collect_list("v")).alias("held"))
     listed = F.col("s") - F.greatest(F.lit(1), F.floor(F.col("s") * T / K)) + 1
     room = (listed - (F.col("s") - F.size("held"))).cast("int")
-    short = scratch.put(own.filter(room > 0).select("rep", F.explode(F.slice("held", 1, room)).alias("e")).select("rep", F.col("e.v").alias("v")), "short-lists")
+    short = scratch.put(own.filter(room > 0).select("rep", F.explode(F.slice("held", 1, room)).alias("v")), "short-lists")
     sizes = short.groupBy("v").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     return scratch.put(short.join(sizes, "v").join(classes.select("rep", "th", F.col("n_shingles").alias("n"), "odd"), "rep").select("v", "m", "rep", "th", "n", "odd"), "postings")
 
