@@ -19,8 +19,8 @@ threshold; groups are the connected components.
    union sketch estimates at least ``LEAST`` (5 standard errors below 0.8).
 4. *Verification.*  Both whole texts are read and exact Jaccard on full sets decides.
 5. *The rest.*  Where a long list's members are in several components after that, pairs
-   across components are compared in blocks, closest first, with 32, 256, 2048 ... per member
-   and round, until no pair is left out.  Pairs inside one component add nothing.
+   across components are compared in blocks, closest first, with 32, 2048 ... per member and
+   round, until no pair is left out.  Pairs inside one component add nothing.
 
 Defined results: a text without words (or null) has an empty set and is linked with
 nothing; with fewer than n words the whole sequence is one shingle; rows that repeat id
@@ -340,7 +340,7 @@ def near_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFram
         labels = connected_components(edges, scratch)
         if not more["more"]:
             break
-        most, step = most * 8, step + 1
+        most, step = most * 64, step + 1
     reps = classes.select(F.col("n_shingles").alias("_n"), F.col("f1").alias("_1"), F.col("f2").alias("_2"), "rep")
     found = rows.drop("sketch", "odd").join(reps, (F.col("n_shingles") == F.col("_n")) & (F.col("f1") == F.col("_1")) & (F.col("f2") == F.col("_2")), "left")
     found = found.join(labels, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("label", "rep", "doc_id"))
