@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import ast
 import itertools
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from ..operators.matrix import DesignMatrix
 from ..plans.catalog import Block, Categorical, Numeric
-from .levels import clean, observe, resolve, with_code
+from .levels import LevelTable, clean, observe, resolve, with_code
 
 # -- parsing -------------------------------------------------------------------
 
@@ -160,10 +160,39 @@ class Coded:
     """A categorical factor: levels with the code of each row."""
 
     code: Column
-    levels: tuple
+    levels: Sequence
     spans_intercept: bool = True
 
 
+class Names(Sequence):
+    """Names of many columns, made when asked for: a factor's levels in a format, or products of two lists."""
+
+    def __init__(self, size: int, one: Callable[[int], str], every: Callable[[], Iterator[str]]):
+        self.size, self.one, self.every = size, one, every
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, k):
+        return list(self.every())[k] if isinstance(k, slice) else self.one(range(self.size)[k])
+
+    def __iter__(self) -> Iterator[str]:
+        return self.every()
+
+
+def _level_names(levels: Sequence, first: int, made: Callable[[object], str]) -> Sequence[str]:
+    if not isinstance(levels, LevelTable):
+        return [made(x) for x in levels[first:]]
+    return Names(len(levels) - first, lambda k: made(levels[k + first]), lambda: map(made, itertools.islice(iter(levels), first, None)))
+
+
+def _product_names(a: Sequence[str], b: Sequence[str], sep: str) -> Sequence[str]:
+    made = lambda x, y: f"{x}{sep}{y}" if x else y
+    if not isinstance(a, Names) and not isinstance(b, Names):
+        return [made(x, y) for y in b for x in a]
+    return Names(len(a) * len(b), lambda k: made(a[k % len(a)], b[k // len(a)]), lambda: (made(x, y) for y in b for x in a))
+
+
 @dataclass
 class Spec:
     """What a formula learned from its data, for replay on other rows."""
@@ -302,18 +331,18 @@ class _Factors:
         method, missing_name = missing_method or o["cat_missing_method"], missing_name or o["cat_missing_name"]
         name = f"_f{len(self.cache)}_{abs(hash(factor)) % 10**6}"
         frame = self.df.select(value.alias(name))
-        seen, missing = observe(frame, [name])[name]
         if known is None:
+            seen, missing = observe(frame, [name], {name: levels})[name]
             found, last = resolve(factor, seen, missing, levels, method, missing_name)
         else:
-            found, last = tuple(known["levels"]), known["missing_last"]
-            base = set(found[:-1] if last else found)
-            unseen = [x for x in seen if x not in base]
+            found, last = known["levels"], known["missing_last"]
+            found = found if isinstance(found, LevelTable) else tuple(found)
+            unseen, missing = observe(frame, [name], {name: found if isinstance(found, LevelTable) or not last else found[:-1]})[name]
             if unseen or (missing and method == "convert" and not last):
                 raise ValueError(f"column {factor} contains unseen categories")
             if missing and method == "fail":
                 raise ValueError(f"Categorical data in {factor} can't have missing values")
-        self.spec.state[factor] = {"levels": list(found), "missing_last": last}
+        self.spec.state[factor] = {"levels": found if isinstance(found, LevelTable) else list(found), "missing_last": last}
         self.df, code = with_code(self.df, value, found, last, name)
         return Coded(code, found, spans_intercept)
 
@@ -382,7 +411,7 @@ def _piece(factors: _Factors, part: tuple[tuple[str, bool], ...], options: dict)
         if isinstance(got, Coded):
             first = 1 if reduced else 0
             code = F.when(got.code >= first, got.code - first) if first else got.code
-            options_here = [{"names": [form.format(name=label, category=x) for x in got.levels[first:]], "code": code, "value": None}]
+            options_here = [{"names": _level_names(got.levels, first, lambda x, label=label: form.format(name=label, category=x)), "code": code, "value": None}]
         elif isinstance(got, list):
             options_here = [{"names": [f"{label}[{k}]"], "code": None, "value": v} for k, v in got]
         else:
@@ -394,13 +423,14 @@ def _piece(factors: _Factors, part: tuple[tuple[str, bool], ...], options: dict)
     for x in items:
         if x["code"] is None:
             out.append(Numeric(x["value"].cast("double"), x["names"][0], term))
-        elif x["names"]:
-            out.append(Categorical(x["code"], tuple(x["names"]), term, term, False, x["value"], "{category}", tuple(x["names"])))
+        elif len(x["names"]):
+            names = x["names"] if isinstance(x["names"], Names) else tuple(x["names"])
+            out.append(Categorical(x["code"], names, term, term, False, x["value"], "{category}", names))
     return out
 
 
 def _joined(a: dict, b: dict, sep: str) -> dict:
-    names = [f"{x}{sep}{y}" if x else y for y in b["names"] for x in a["names"]]
+    names = _product_names(a["names"], b["names"], sep)
     value = b["value"] if a["value"] is None else a["value"] if b["value"] is None else a["value"] * b["value"]
     if a["code"] is None or b["code"] is None:
         return {"names": names, "code": b["code"] if a["code"] is None else a["code"], "value": value}
@@ -433,7 +463,8 @@ def _build(df: DataFrame, spec: Spec, row_id: str | None) -> DesignMatrix:
                 continue
             blocks += [replace(b, term=o["interaction_separator"].join(f.strip("`") for f in term)) for b in _piece(factors, part, o)]
     m = DesignMatrix(factors.df, tuple(blocks), row_id, spec)
-    names = m.get_names()
+    # many names follow from the levels, which a replay takes from the spec
+    names = [n for b in blocks for n in ([f"{b.name} x {b.width}"] if isinstance(b, Categorical) and isinstance(b.levels, Names) else b.names())]
     if spec.names is None:
         spec.names = names
     elif spec.names != names:

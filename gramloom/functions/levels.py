@@ -1,8 +1,16 @@
-"""Level dictionaries of categorical variables, and code expressions over them."""
+"""Level dictionaries of categorical variables, and code expressions over them.
+
+Few levels are a tuple.  More than ``LITERAL_LEVELS`` are a :class:`LevelTable`: a written
+DataFrame that codes and zeros are joined from, which no single task or driver holds.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import tempfile
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass, replace
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,21 +21,87 @@ MISSING_METHODS = ("fail", "zero", "convert")
 LITERAL_LEVELS = 64
 
 
+@dataclass(frozen=True)
+class LevelTable:
+    """``df`` has level and code, in order of the levels; ``extra`` is the name of the missing level."""
+
+    df: DataFrame
+    known: int
+    extra: tuple = ()
+
+    def __len__(self) -> int:
+        return self.known + len(self.extra)
+
+    def __iter__(self) -> Iterator:
+        """All levels on the driver, for those who ask for names."""
+        yield from (r["level"] for r in self.df.orderBy("code").toLocalIterator())
+        yield from self.extra
+
+    def __getitem__(self, k):
+        if isinstance(k, slice):
+            return list(self)[k]
+        k = range(len(self))[k]
+        return self.extra[0] if k >= self.known else self.df.filter(F.col("code") == k).first()["level"]
+
+    def __contains__(self, level) -> bool:
+        of_kind = isinstance(level, str) == isinstance(self.df.schema["level"].dataType, T.StringType)
+        return level in self.extra or (of_kind and bool(self.df.filter(F.col("level") == F.lit(level)).limit(1).count()))
+
+
 def clean(df: DataFrame, column: str) -> Column:
     """The column with NaN as null, since either is missing."""
     c = F.col(f"`{column}`")
     return F.when(~F.isnan(c), c) if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)) else c
 
 
-def observe(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[list, bool]]:
-    """For each column its sorted distinct values and whether any is missing, in one pass."""
+def level_table(df: DataFrame, column: str) -> LevelTable:
+    """Distinct values sorted by range and written; codes are positions in a part plus the parts' sizes before it."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-gramloom-")
+    path = f"{root.rstrip('/')}/levels-{uuid.uuid4().hex}"
+    values = df.select(clean(df, column).alias("level")).filter("level IS NOT NULL").distinct()
+    values.repartitionByRange("level").sortWithinPartitions("level").withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
+    table = spark.read.parquet(path).select("level", F.shiftright("at", 33).cast("int").alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    sizes = sorted((r["part"], r["count"]) for r in table.groupBy("part").count().collect())
+    before = dict(zip((k for k, _ in sizes), accumulate((n for _, n in sizes), initial=0)))
+    first = F.element_at(F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)]), F.col("part")) if before else F.lit(0)
+    return LevelTable(table.select("level", (first + F.col("at")).cast("int").alias("code")), sum(n for _, n in sizes))
+
+
+def _unseen(df: DataFrame, column: str, declared: Sequence) -> list:
+    """A few values that are not among the declared ones."""
+    values = df.select(clean(df, column).alias("level")).filter("level IS NOT NULL")
+    if isinstance(declared, LevelTable):
+        values = values.join(declared.df, "level", "left_anti")
+    elif len(declared) <= LITERAL_LEVELS:
+        values = values.filter(~F.col("level").isin([x for x in declared if x is not None]))
+    else:
+        values = values.join(_declared(df, values.schema["level"].dataType, declared), "level", "left_anti")
+    return list(dict.fromkeys(r["level"] for r in values.limit(5).collect()))
+
+
+def _declared(df: DataFrame, kind: T.DataType, levels: Sequence, level: str = "level", code: str = "code") -> DataFrame:
+    return df.sparkSession.createDataFrame([(x, i) for i, x in enumerate(levels)], T.StructType([T.StructField(level, kind), T.StructField(code, T.IntegerType())]))
+
+
+def observe(df: DataFrame, columns: Sequence[str], declared: Mapping[str, Sequence | None] | None = None) -> dict[str, tuple[Sequence, bool]]:
+    """For each column its sorted distinct values and whether any is missing.
+
+    Values come to the driver only where a first pass counts few of them.  Where levels are
+    declared, only values outside of them (a few) are looked for.
+    """
     if not columns:
         return {}
-    row = df.agg(*[F.sort_array(F.collect_set(clean(df, c))).alias(f"v{i}") for i, c in enumerate(columns)], *[F.coalesce(F.bool_or(clean(df, c).isNull()), F.lit(False)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    return {c: (list(row[f"v{i}"]), bool(row[f"m{i}"])) for i, c in enumerate(columns)}
+    declared = {c: x for c, x in (declared or {}).items() if x is not None}
+    missing = [F.coalesce(F.bool_or(clean(df, c).isNull()), F.lit(False)).alias(f"m{i}") for i, c in enumerate(columns)]
+    row = df.agg(*[F.approx_count_distinct(clean(df, c)).alias(f"n{i}") for i, c in enumerate(columns) if c not in declared], *missing).first()
+    few = [i for i, c in enumerate(columns) if c not in declared and row[f"n{i}"] <= LITERAL_LEVELS]
+    sets = df.agg(*[F.sort_array(F.collect_set(clean(df, columns[i]))).alias(f"v{i}") for i in few]).first() if few else {}
+    seen = lambda i, c: _unseen(df, c, declared[c]) if c in declared else list(sets[f"v{i}"]) if i in few else level_table(df, c)
+    return {c: (seen(i, c), bool(row[f"m{i}"])) for i, c in enumerate(columns)}
 
 
-def resolve(column: str, seen: list, missing: bool, declared: Sequence | None, method: str, missing_name: str) -> tuple[tuple, bool]:
+def resolve(column: str, seen: Sequence, missing: bool, declared: Sequence | None, method: str, missing_name: str) -> tuple[Sequence, bool]:
     """The levels in force and whether a missing value has one of its own (the last)."""
     if method not in MISSING_METHODS:
         raise ValueError(f"cat_missing_method must be one of {MISSING_METHODS}, not {method!r}")
@@ -39,21 +113,21 @@ def resolve(column: str, seen: list, missing: bool, declared: Sequence | None, m
     if missing and method == "convert":
         if missing_name in levels:
             raise ValueError(f"Missing category {missing_name} already exists in {column}")
-        return (*levels, missing_name), True
-    return tuple(levels), False
+        return replace(levels, extra=(missing_name,)) if isinstance(levels, LevelTable) else (*levels, missing_name), True
+    return levels if isinstance(levels, LevelTable) else tuple(levels), False
 
 
 def with_code(df: DataFrame, value: Column, levels: Sequence, missing_last: bool, name: str) -> tuple[DataFrame, Column]:
     """``df`` and an expression for the code of ``value``: null where missing or unknown."""
-    known = list(levels[:-1] if missing_last else levels)
-    if len(known) <= LITERAL_LEVELS:
-        code = F.array_position(F.array(*[F.lit(x) for x in known]), value) - 1 if known else F.lit(None).cast("int")
-        code = F.when(code >= 0, code).cast("int")
-    else:
-        kind = df.select(value.alias("v")).schema["v"].dataType
-        table = df.sparkSession.createDataFrame([(x, i) for i, x in enumerate(known)], T.StructType([T.StructField(f"_lv_{name}", kind), T.StructField(f"_code_{name}", T.IntegerType())]))
+    n = len(levels) - missing_last
+    if isinstance(levels, LevelTable) or n > LITERAL_LEVELS:
+        own = (f"_lv_{name}", f"_code_{name}")
+        table = levels.df.toDF(*own) if isinstance(levels, LevelTable) else _declared(df, df.select(value.alias("v")).schema["v"].dataType, levels[:n], *own)
         df = df.join(table, value == F.col(f"`_lv_{name}`"), "left").drop(f"_lv_{name}")
         code = F.col(f"`_code_{name}`")
+    else:
+        code = F.array_position(F.array(*[F.lit(x) for x in levels[:n]]), value) - 1 if n else F.lit(None).cast("int")
+        code = F.when(code >= 0, code).cast("int")
     if missing_last:
-        code = F.when(value.isNull(), F.lit(len(known))).otherwise(code)
+        code = F.when(value.isNull(), F.lit(n)).otherwise(code)
     return df, code

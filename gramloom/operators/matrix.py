@@ -12,6 +12,7 @@ depend on the order of rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.levels import LevelTable
 from ..plans.catalog import DENSE, SPARSE, Block, Categorical, Numeric
 
 #: Up to so many numeric columns the Gram sums are unrolled into one aggregate; wider ones go through Arrow.
@@ -38,6 +40,13 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
+def _numbers(df: DataFrame, on: Sequence[int]) -> DataFrame:
+    """Column numbers as rows: made where they are needed if they follow each other."""
+    if on[-1] - on[0] == len(on) - 1:
+        return df.sparkSession.range(on[0], on[-1] + 1).select(F.col("id").cast("int").alias("j"))
+    return df.sparkSession.createDataFrame([(j,) for j in on], "j int")
+
+
 def to_numpy(result: DataFrame, *shape: int) -> np.ndarray:
     """A long-form result, (j, value) or (i, j, value), as an array with zeros filled in."""
     out = np.zeros(shape)
@@ -128,10 +137,10 @@ class DesignMatrix:
         ids = self.df.sparkSession.createDataFrame([(r,) for r in rows], f"{self.row_id} long")
         return replace(self, df=self.df.join(ids, self.row_id, "left_semi"))
 
-    def _check_cols(self, cols: Sequence[int] | None) -> list[int]:
+    def _check_cols(self, cols: Sequence[int] | None) -> Sequence[int]:
         p = self.n_columns
         if cols is None:
-            return list(range(p))
+            return range(p)
         cols = [int(c) for c in cols]
         if any(not -p <= c < p for c in cols):
             raise IndexError(f"column index out of range for {p} columns")
@@ -146,6 +155,8 @@ class DesignMatrix:
 
     def select(self, cols: Sequence[int] | None) -> "DesignMatrix":
         """Columns in the order given; whole categorical blocks stay categorical."""
+        if cols is None:
+            return self
         cols, out, k = self._check_cols(cols), [], 0
         at = dict(zip(self.offsets(), self.blocks))
         while k < len(cols):
@@ -198,6 +209,10 @@ class DesignMatrix:
         b = self.blocks[block]
         if not isinstance(b, Categorical):
             raise TypeError("only categorical blocks have original values")
+        if b.source is None and isinstance(b.levels, LevelTable):
+            extra = F.when(b.code >= b.levels.known, F.lit(b.levels.extra[0])) if b.levels.extra else F.lit(None)
+            table = b.levels.df.toDF("_level", "_level_code")
+            return self.df.join(table, b.code == F.col("_level_code"), "left").select(*self._ids(), F.coalesce("_level", extra).alias("value"))
         value = b.source if b.source is not None else F.element_at(F.array(*[F.lit(x) for x in b.levels]), b.code + 1)
         return self.df.select(*self._ids(), value.alias("value"))
 
@@ -217,7 +232,8 @@ class DesignMatrix:
         """X[:, cols] @ v[cols] as (row id, value); v has one number per column of X."""
         if len(v) != self.n_columns:
             raise ValueError(f"shapes not aligned: {self.n_columns} columns, {len(v)} numbers")
-        on = set(self._check_cols(cols))
+        on = self._check_cols(cols)
+        on = on if cols is None else set(on)
         df, terms = self.df, []
         for k, (b, at) in enumerate(zip(self.blocks, self.offsets())):
             own = [float(v[at + i]) if at + i in on else 0.0 for i in range(b.width)]
@@ -241,10 +257,11 @@ class DesignMatrix:
         by (block, level) for all categorical ones.
         """
         v = F.col(v) if isinstance(v, str) else v
-        m, on = self.filter(rows), sorted(set(self._check_cols(cols)))
+        m, on = self.filter(rows), self._check_cols(cols)
+        on = on if cols is None else sorted(set(on))
         at = m.offsets()
         numeric = [(b, a) for b, a in zip(m.blocks, at) if isinstance(b, Numeric) and a in on]
-        cats = [(b, a) for b, a in zip(m.blocks, at) if isinstance(b, Categorical) and any(a <= j < a + b.width for j in on)]
+        cats = [(b, a) for b, a in zip(m.blocks, at) if isinstance(b, Categorical) and bisect_left(on, a) < bisect_left(on, a + b.width)]
         parts = []
         if numeric:
             sums = m.df.agg(*[total(b.value * v, exact).alias(f"s{a}") for b, a in numeric])
@@ -252,7 +269,7 @@ class DesignMatrix:
         if cats:
             each = F.array(*[F.struct((b.position + a).cast("int").alias("j"), (v if b.multiplier is None else v * b.weight).alias("x")) for b, a in cats])
             sums = m.df.select(F.explode(each).alias("e")).filter("e.j IS NOT NULL").groupBy(F.col("e.j").alias("j")).agg(total(F.col("e.x"), exact).alias("value"))
-            wanted = m.df.sparkSession.createDataFrame([(j,) for b, a in cats for j in range(a, a + b.width) if j in on], "j int")
+            wanted = _union([_numbers(m.df, on[bisect_left(on, a) : bisect_left(on, a + b.width)]) for b, a in cats])
             parts.append(wanted.join(sums, "j", "left").select("j", F.coalesce("value", F.lit(0.0)).alias("value")))
         if not parts:
             return m.df.sparkSession.createDataFrame([], "j int, value double")
@@ -265,12 +282,12 @@ class DesignMatrix:
         columns); cells with a categorical are groupings of its codes, all in one pass.
         """
         d = F.col(d) if isinstance(d, str) else d
-        on = sorted(set(self._check_cols(cols)))
-        m = self.filter(rows).select(on)
-        place = dict(enumerate(on))
+        on = self._check_cols(cols)
+        on = on if cols is None else sorted(set(on))
+        m = self.filter(rows).select(None if cols is None else on)
         upper = m._cells(d, exact)
-        if place != {k: k for k in range(self.n_columns)}:
-            back = F.array(*[F.lit(place[k]) for k in range(len(on))]) if on else F.array(F.lit(0))
+        if cols is not None and on != list(range(self.n_columns)):
+            back = F.array(*[F.lit(k) for k in on]) if on else F.array(F.lit(0))
             upper = upper.select(F.get(back, F.col("i")).alias("i"), F.get(back, F.col("j")).alias("j"), "value")
         both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
         return upper.select(F.explode(both).alias("e"), "value").select("e.i", "e.j", "value")
@@ -304,21 +321,22 @@ class DesignMatrix:
     def col_stds(self, weights: Column | str, exact: bool = False) -> DataFrame:
         """(j, value): population standard deviations; numeric columns in two passes."""
         w = F.col(weights) if isinstance(weights, str) else weights
-        means = {r["j"]: r["value"] for r in self.col_means(w, exact).collect()}
-        parts, cats = [], []
+        found = self.col_means(w, exact)
+        plain = [(a, a + b.width) for b, a in zip(self.blocks, self.offsets()) if isinstance(b, Categorical) and b.multiplier is None and b.width]
+        of_plain = reduce(lambda p, q: p | q, [F.col("j").between(a, e - 1) for a, e in plain], F.lit(False))
+        means = {r["j"]: r["value"] for r in found.filter(~of_plain).collect()}
+        parts = []
         for b, a in zip(self.blocks, self.offsets()):
             if isinstance(b, Numeric):
                 parts.append((a, total(w * (b.value - F.lit(means[a])) * (b.value - F.lit(means[a])), exact)))
-            elif b.multiplier is None:
-                cats += [(a + k, max(means[a + k] - means[a + k] ** 2, 0.0) ** 0.5) for k in range(b.width)]
-            else:
+            elif b.multiplier is not None:
                 parts += [(a + k, total(w * (b.column(k).value - F.lit(means[a + k])) ** 2, exact)) for k in range(b.width)]
         spark, out = self.df.sparkSession, []
         if parts:
             row = self.df.agg(total(w, exact).alias("w"), *[s.alias(f"s{j}") for j, s in parts])
             out.append(row.select(F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.sqrt(F.greatest(F.col(f"s{j}") / F.col("w"), F.lit(0.0))).alias("value")) for j, _ in parts])).alias("e")).select("e.j", "e.value"))
-        if cats:
-            out.append(spark.createDataFrame(cats, "j int, value double"))
+        if plain:
+            out.append(found.filter(of_plain).select("j", F.sqrt(F.greatest(F.col("value") - F.col("value") * F.col("value"), F.lit(0.0))).alias("value")))
         return _union(out) if out else spark.createDataFrame([], "j int, value double")
 
     def standardize(self, weights: Column | str, center: bool = True, scale: bool = True, exact: bool = False):

@@ -7,6 +7,7 @@ variable.  A categorical block is never expanded in reductions; it is a code exp
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
@@ -48,13 +49,13 @@ class Categorical:
     """
 
     code: Column
-    levels: tuple
+    levels: Sequence
     name: str | None = None
     term: str | None = None
     drop_first: bool = False
     multiplier: Column | None = None
     form: str = "{name}[{category}]"
-    column_names: tuple[str, ...] | None = None
+    column_names: Sequence[str] | None = None
     source: Column | None = None
 
     kind = CATEGORICAL
@@ -90,7 +91,8 @@ class Categorical:
     def column(self, k: int) -> Numeric:
         """Its k-th indicator column, as a numeric block."""
         value = F.when(self.position == k, self.weight).otherwise(F.lit(0.0))
-        return Numeric(value, self.names()[k], self.terms()[k], SPARSE)
+        name = self.column_names[k] if self.column_names is not None else None if self.name is None else self.form.format(name=self.name, category=self.levels[k + self.drop_first])
+        return Numeric(value, name, self.term if self.term is not None else self.name, SPARSE)
 
 
 Block = Numeric | Categorical

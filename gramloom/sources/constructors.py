@@ -28,7 +28,7 @@ def dense(df: DataFrame, columns: Sequence[str], row_id: str | None = None, kind
 
 def single_categorical(df: DataFrame, column: str, levels: Sequence | None = None, drop_first: bool = False, name: str | None = None, term: str | None = None, categorical_format: str = "{name}[{category}]", cat_missing_method: str = "fail", cat_missing_name: str = "(MISSING)", row_id: str | None = None) -> DesignMatrix:
     """One categorical variable; ``levels`` declares them in order, also unused ones."""
-    seen, missing = observe(df, [column])[column]
+    seen, missing = observe(df, [column], {column: levels})[column]
     all_levels, last = resolve(column, seen, missing, levels, cat_missing_method, cat_missing_name)
     df, code = with_code(df, clean(df, column), all_levels, last, column)
     name = column if name is None else name
@@ -52,8 +52,9 @@ def from_df(
 
     Columns named in ``levels`` are categorical with these levels (Spark has no categorical
     type).  Categoricals of fewer than ``cat_threshold`` levels become numeric indicator
-    columns.  ``cat_position`` "end" moves the other categoricals behind all else.  Two
-    passes over the data: one for densities and null counts, one for levels.
+    columns.  ``cat_position`` "end" moves the other categoricals behind all else.  Passes
+    over the data: one for densities, one for counts of nulls and levels, one for short
+    lists of levels, and one for each long list.
     """
     if cat_position not in ("expand", "end"):
         raise ValueError("cat_position must be 'expand' or 'end'")
@@ -70,7 +71,7 @@ def from_df(
             warnings.warn(f"Column {f.name} with type {f.dataType.simpleString()} is ignored", stacklevel=2)
     if not routes:
         raise ValueError("DataFrame contained no valid column")
-    observed = observe(df, [c for c, r in routes if r == "cat"])
+    observed = observe(df, [c for c, r in routes if r == "cat"], levels)
     placed: list = []
     later: list = []
     for c, route in routes:

@@ -195,3 +195,29 @@ def test_streaming_sums(spark, data, tmp_path):
     sink.start(spark.readStream.schema(data.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), str(tmp_path / "ck")).awaitTermination(60)
     want = g.to_numpy(g.dense(data, ["u", "s"]).sandwich("w"), 2, 2)
     np.testing.assert_allclose(g.to_numpy(sink.result(spark), 2, 2), want)
+
+
+def test_many_levels_stay_in_a_table(spark):
+    rows = [(i, f"k{(i * 7) % 300:03d}" if i % 50 else None, float(i % 5)) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, c string, w double")
+    keys = sorted({c for _, c, _ in rows if c})
+    want = {k: sum(w for _, c, w in rows if c == k) for k in keys}
+    m = g.single_categorical(df, "c", cat_missing_method="zero", row_id="id")
+    assert not isinstance(m.blocks[0].levels, (tuple, list)) and len(m.blocks[0].levels) == len(keys) == m.n_columns
+    assert m.get_names() == [f"c[{k}]" for k in keys] and m.getcol(5).get_names() == [f"c[{keys[5]}]"]
+    assert {r["j"]: r["value"] for r in m.transpose_matvec("w").collect()} == {j: want[k] for j, k in enumerate(keys)}
+    assert {r["j"]: r["value"] for r in m.transpose_matvec("w", cols=[0, 7]).collect()} == {0: want[keys[0]], 7: want[keys[7]]}
+    converted = g.single_categorical(df, "c", cat_missing_method="convert", row_id="id")
+    assert {r["j"]: r["value"] for r in converted.transpose_matvec("w").collect()}[len(keys)] == sum(w for _, c, w in rows if c is None)
+    with pytest.raises(ValueError, match="can't have missing"):
+        g.single_categorical(df, "c")
+    with pytest.raises(ValueError, match="already exists"):
+        g.single_categorical(df, "c", cat_missing_method="convert", cat_missing_name=keys[0])
+    with pytest.raises(ValueError, match="unseen categories"):
+        g.single_categorical(df, "c", levels=keys[1:], cat_missing_method="zero")
+    f = g.from_formula("c", df, cat_missing_method="zero", row_id="id")
+    assert not isinstance(f.blocks[0].levels, (tuple, list)) and f.get_names() == m.get_names()
+    again = f.spec.get_model_matrix(df.filter("id < 100"), "id")
+    assert again.n_columns == len(keys) and again.transpose_matvec("w").count() == len(keys)
+    with pytest.raises(ValueError, match="unseen categories"):
+        f.spec.get_model_matrix(df.withColumn("c", F.lit("other")), "id")
