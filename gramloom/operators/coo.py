@@ -43,3 +43,10 @@ class CooMatrix:
     def densities(self) -> DataFrame:
         """(j, density) of columns with an entry."""
         return self.df.filter("value <> 0").groupBy("j").agg((F.count(F.lit(1)) / F.lit(float(max(1, self.n_rows)))).alias("density"))
+
+    def split_density(self, threshold: float = 0.1) -> DataFrame:
+        """(j, is_dense) of every column, for any number of columns."""
+        if not 0 <= threshold <= 1:
+            raise ValueError("Threshold must be between 0 and 1.")
+        every = self.df.sparkSession.range(self.n_columns).select(F.col("id").cast("int").alias("j"))
+        return every.join(self.densities(), "j", "left").select("j", (F.coalesce("density", F.lit(0.0)) > threshold).alias("is_dense"))

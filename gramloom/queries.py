@@ -423,6 +423,38 @@ def density_split(spark, sf_dir):
     return spark.createDataFrame([(j, b.kind == "dense") for j, b in enumerate(m.blocks)], "j int, is_dense boolean")
 
 
+# the same operators on the real keys: rows and columns both grow with the table
+
+_PARTS = "(SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) - 1 AS j FROM (SELECT DISTINCT l_partkey FROM lineitem))"
+_KEYED = f"(SELECT l_orderkey AS i, p.j, sum(l_quantity) AS value FROM lineitem JOIN {_PARTS} p USING (l_partkey) GROUP BY 1, 2)"
+_N_KEYED = "(SELECT max(l_orderkey) + 1 FROM lineitem)"
+
+
+def _keyed(spark, sf_dir):
+    """Orders by parts; a row number is an order key."""
+    m = single_categorical(lineitem(spark, sf_dir), "l_partkey")
+    df = m.df.groupBy(F.col("l_orderkey").alias("i"), m.blocks[0].code.alias("j")).agg(F.sum("l_quantity").alias("value"))
+    return from_coo(df, m.df.agg(F.max("l_orderkey") + 1).first()[0] or 0, m.n_columns)
+
+
+@query(f"SELECT i AS row_id, {S('value * (j + 1)')} AS value FROM {_KEYED} GROUP BY i")
+def coo_matvec_keys(spark, sf_dir):
+    m = _keyed(spark, sf_dir)
+    return m.matvec(spark.range(m.n_columns).select(F.col("id").cast("int").alias("j"), (F.col("id") + 1.0).alias("x")), exact=True)
+
+
+@query(f"SELECT a.j::INTEGER AS i, b.j::INTEGER AS j, {S('a.value * b.value')} AS value FROM {_KEYED} a JOIN {_KEYED} b ON a.i = b.i GROUP BY 1, 2")
+def coo_sandwich_keys(spark, sf_dir):
+    m = _keyed(spark, sf_dir)
+    return m.sandwich(spark.range(m.n_rows).select(F.col("id").alias("i"), F.lit(1.0).alias("x")), exact=True)
+
+
+@query(f"SELECT j::INTEGER AS j, count(*) FILTER (value <> 0) / {_N_KEYED}::DOUBLE > 4.0::DOUBLE / (SELECT count(DISTINCT l_partkey) FROM lineitem)::DOUBLE AS is_dense FROM {_KEYED} GROUP BY j")
+def density_split_keys(spark, sf_dir):
+    m = _keyed(spark, sf_dir)
+    return m.split_density(4.0 / max(1, m.n_columns))
+
+
 # -- construction --------------------------------------------------------------
 
 

@@ -221,3 +221,24 @@ def test_many_levels_stay_in_a_table(spark):
     assert again.n_columns == len(keys) and again.transpose_matvec("w").count() == len(keys)
     with pytest.raises(ValueError, match="unseen categories"):
         f.spec.get_model_matrix(df.withColumn("c", F.lit("other")), "id")
+
+
+def test_coo_queries_grow_with_the_table(spark, tmp_path):
+    from gramloom import queries
+
+    def cells(n):
+        rows = [(o, (o * 13 + k * 17) % n, k + 1, float(o % 4 + k + 1)) for o in range(n) for k in range(3)]
+        spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / f"{n}/lineitem.parquet"))
+        x = np.zeros((n, n))
+        for o, p, _, q in rows:
+            x[o, p] += q
+        return str(tmp_path / str(n)), x
+
+    for n in (100, 2500):
+        where, x = cells(n)
+        out = {r["row_id"]: r["value"] for r in queries.coo_matvec_keys(spark, where).collect()}
+        assert len(out) == n and out == dict(enumerate(x @ np.arange(1, n + 1)))
+        if n == 100:
+            np.testing.assert_allclose(g.to_numpy(queries.coo_sandwich_keys(spark, where), n, n), x.T @ x)
+            split = {r["j"]: r["is_dense"] for r in queries.density_split_keys(spark, where).collect()}
+            assert split == {j: bool(d > 4.0 / n) for j, d in enumerate((x != 0).mean(axis=0))}
