@@ -1,7 +1,9 @@
 """Language-model scores: stupid backoff over n-gram tables, computed relationally.
 
-The unit is the UTF-8 byte, the order 5, and a text starts with four start symbols, so
-that every position has a full 5-gram, packed exactly (no hash) into 45 bits.  An n-gram
+:func:`score_words`, which op9 runs, has words as units and the order 2: see there.
+
+In :func:`score` the unit is the UTF-8 byte, the order 5, and a text starts with four start
+symbols, so that every position has a full 5-gram, packed exactly (no hash) into 45 bits.  An n-gram
 seen fewer than ``min_count`` times in the corpus backs off to its last n-1 units, with
 the factor ``alpha``; single bytes always count.
 
@@ -25,11 +27,12 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import slices
-from .common import Scratch, text_of
+from .common import SPACE_CHARS, Scratch, text_of
 
 ORDER, BITS = 5, 9
 _START = 1 << 8  # the start symbol, above every byte
@@ -112,3 +115,93 @@ def score(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, block_bytes:
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, f"doc_id {kind}, n_units long, log_score double")
     return found.select("doc_id", "n_units", "log_score", F.when(F.col("n_units") > 0, F.col("log_score") / F.col("n_units")).otherwise(F.lit(0.0)).alias("mean_log_score"))
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of the texts in a row, and each text's bounds among them."""
+    plain = texts.cast(pa.large_string())
+    for c in SPACE_CHARS[1:]:
+        plain = pc.replace_substring(plain, c, " ")
+    lists = pc.split_pattern(plain, " ")
+    words, owner = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
+    whole = pc.not_equal(words, "")
+    counts = np.bincount(owner[whole.to_numpy(zero_copy_only=False)], minlength=len(texts))
+    return words.filter(whole), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+
+def _pairs(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The word before each word (0 at the start of a text; codes count from 1) and the word, in 64 bits."""
+    before = np.concatenate([[0], codes[:-1]]) if len(codes) else codes
+    before[at[:-1][at[:-1] < at[1:]]] = 0
+    return (before << 32) | codes
+
+
+class _Codes:
+    """Numbers of words inside one block, from 1, in order of first occurrence; 0 is the start."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        encoded = words.dictionary_encode()
+        own = np.array([self.known.setdefault(w, len(self.known)) for w in encoded.dictionary.to_pylist()], dtype=np.int64)
+        return own[encoded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+
+
+def word_backoff(counts: DataFrame, alpha: float, min_count: int) -> DataFrame:
+    """counts (w1, w2, c) of word pairs -> (w1, w2, score): log of the stupid-backoff score."""
+    first = counts.groupBy(F.col("w1").alias("k1")).agg(F.sum("c").alias("all"))
+    words = counts.groupBy(F.col("w2").alias("k2")).agg(F.sum("c").alias("own"))
+    n = counts.agg(F.sum("c")).first()[0] or 1
+    joined = counts.join(words, F.col("w2") == F.col("k2")).join(first, F.col("w1") == F.col("k1"))
+    return joined.select("w1", "w2", F.when(F.col("c") >= min_count, F.log(F.col("c") / F.col("all"))).otherwise(F.log(F.col("own") / F.lit(float(n))) + F.lit(math.log(alpha))).alias("score"))
+
+
+def score_words(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, block_bytes: int = 16 << 20) -> DataFrame:
+    """As :func:`score`, over word pairs: doc_id, n_units (words), log_score, mean_log_score.
+
+    A word is a run of characters that are not white space; before the first word of a text
+    stands the start symbol.  The keys are the two words themselves, so no two pairs meet in
+    one count.  A pair seen fewer than ``min_count`` times backs off to its second word.
+    """
+    scratch = Scratch(docs.sparkSession, "lm-words")
+    total = docs.agg(F.sum(F.octet_length(text_of("text")).cast("long"))).first()[0] or 0
+    n_blocks = max(1, math.ceil(total / block_bytes))
+    rows = docs.select("doc_id", text_of("text").alias("text")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
+
+    def distinct(key: tuple, table: pa.Table) -> pa.Table:
+        codes, pairs, counts = _Codes(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in table.to_batches():
+            for part in slices(batch):
+                words, at = _words(part.column("text"))
+                code, pair = pd.factorize(_pairs(codes.of(words), at))
+                pairs.append(pair)
+                counts.append(np.bincount(code, minlength=len(pair)))
+        code, pair = pd.factorize(np.concatenate(pairs))
+        c = np.bincount(code, weights=np.concatenate(counts), minlength=len(pair)).astype(np.int64)
+        names = pa.array(list(codes.known), pa.string())
+        return pa.table({"block": pa.array(np.full(len(pair), key[0].as_py()), pa.int32()), "w1": names.take(pa.array(pair >> 32)), "w2": names.take(pa.array(pair & 0xFFFFFFFF)), "c": pa.array(c, pa.int64())})
+
+    sent = scratch.put(rows.groupBy("block").applyInArrow(distinct, "block int, w1 string, w2 string, c long"), "sent")
+    counts = scratch.put(sent.groupBy("w1", "w2").agg(F.sum("c").alias("c")), "counts")
+    table = scratch.put(word_backoff(counts, alpha, min_count), "scores")
+    scratch.drop("counts")
+    answers = sent.select("block", "w1", "w2").join(table, ["w1", "w2"]).select("block", "w1", "w2", "score")
+
+    def add_up(texts: pa.Table, known: pa.Table) -> pa.Table:
+        codes, keys = _Codes(), [np.zeros(0, np.int64)]
+        for batch in known.to_batches():
+            keys.append((codes.of(batch.column("w1")) << 32) | codes.of(batch.column("w2")))
+        index, value = pd.Index(np.concatenate(keys)), known["score"].to_numpy()
+        sums, sizes = [np.zeros(0)], [np.zeros(0, np.int64)]
+        for batch in texts.to_batches():
+            for part in slices(batch):
+                words, at = _words(part.column("text"))
+                each = np.concatenate([[0.0], np.cumsum(value[index.get_indexer(_pairs(codes.of(words), at))])]) if len(words) else np.zeros(1)
+                sums.append(each[at[1:]] - each[at[:-1]])
+                sizes.append(np.diff(at))
+        return pa.table({"doc_id": texts["doc_id"], "n_units": pa.array(np.concatenate(sizes), pa.int64()), "log_score": pa.array(np.concatenate(sums), pa.float64())})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, f"doc_id {kind}, n_units long, log_score double")
+    return found.select("doc_id", "n_units", "log_score", F.when(F.col("n_units") > 0, F.col("log_score") / F.col("n_units")).otherwise(F.lit(0.0)).alias("mean_log_score"))

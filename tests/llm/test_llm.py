@@ -274,6 +274,33 @@ def test_lm_scoring(docs, empty):
     assert lm_scoring.score(empty).count() == 0
 
 
+def test_lm_scoring_of_words(docs, empty, spark):
+    texts = [[w for w in re.split(f"[{SPACE}]+", t or "") if w] for _, t, *_ in ROWS]
+    pairs = Counter(p for w in texts for p in zip(["", *w], w))
+    context, own = Counter(), Counter()
+    for (a, b), c in pairs.items():
+        context[a] += c
+        own[b] += c
+    n = sum(pairs.values())
+    logs = lambda a, b: math.log(pairs[a, b] / context[a]) if pairs[a, b] >= 2 else math.log(0.4 * own[b] / n)
+    want = sorted((repr(r[0]), len(w), round(sum(logs(*p) for p in zip(["", *w], w)), 4)) for r, w in zip(ROWS, texts))
+    for size in (32 << 20, 50_000):
+        out = lm_scoring.score_words(docs, block_bytes=size).collect()
+        assert sorted((repr(r["doc_id"]), r["n_units"], round(r["log_score"], 4)) for r in out) == want
+    assert lm_scoring.score_words(empty).count() == 0
+
+
+def test_lm_scoring_query_sees_the_order_of_words(spark, tmp_path):
+    from gramloom.llm import queries
+
+    rng = random.Random(2)
+    words = [f"word{k}" for k in range(60)]
+    mixed = rng.sample(words, len(words))
+    spark.createDataFrame([(k, " ".join(words)) for k in range(20)] + [(99, " ".join(mixed))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    scores = {r["doc_id"]: r["mean_log_score"] for r in queries.op9_lm_scoring(spark, str(tmp_path)).collect()}
+    assert scores[99] < scores[0] - 3
+
+
 def test_quality_classifier(spark, empty):
     rng = random.Random(1)
     rows, labels = [], []
