@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from ..operators.matrix import DesignMatrix
 from ..plans.catalog import Block, Categorical, Numeric
 from .levels import LevelTable, clean, observe, resolve, with_code
+from .quantiles import percentiles
 
 # -- parsing -------------------------------------------------------------------
 
@@ -281,7 +282,7 @@ class _Factors:
         if key not in self.spec.state:
             inner = max(0, df - degree)
             at = [k / (inner + 1) for k in range(1, inner + 1)]
-            low, high, *knots = self.df.agg(F.min(x), F.max(x), *[F.percentile(x, F.lit(p)) for p in at]).first()
+            low, high, knots = percentiles(self.df, x, at)
             self.spec.state[key] = [float(low)] * (degree + 1) + [float(k) for k in knots] + [float(high)] * (degree + 1)
         t = self.spec.state[key]
         top = max(k for k in range(len(t) - 1) if t[k] < t[k + 1])

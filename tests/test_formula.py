@@ -103,3 +103,21 @@ def test_levels_sides_and_clusters(spark, df):
     assert m.get_names()[:4] == ["A[a]", "A[b]", "A[c]", "x"]
     numbers = spark.createDataFrame([(10,), (2,)], "k int")
     assert from_formula("C(k)", numbers).get_names() == ["C(k)[10]", "C(k)[2]"]
+
+
+def test_bs_knots_are_exact_without_one_map_of_all_values(spark, monkeypatch):
+    from gramloom.functions.quantiles import percentiles
+
+    def refuse(*a, **k):
+        raise AssertionError("percentile() keeps every distinct value in one task")
+
+    rng = np.random.default_rng(4)
+    cases = [[float(v) for v in np.exp(rng.normal(0, 6, 5000))] + [None] * 5, [1.0] * 50 + [2.0] * 50, [3.0], [0.0, 5e-324, 1e-323], [-np.inf, 1.0, 2.0, 5.0, 7.0, np.inf], [-1e308, 0.0, 1e-300, 2e-300, 1e308], [0.1, 0.2, 0.7, 0.9]]
+    at = [0.0, 1 / 3, 0.5, 2 / 3, 1.0]
+    frames = [spark.createDataFrame([(v,) for v in c], "x double") for c in cases]
+    wants = [list(f.agg(*[F.percentile("x", F.lit(p)) for p in at]).first()) for f in frames]
+    monkeypatch.setattr(F, "percentile", refuse)
+    for f, want in zip(frames, wants):
+        low, high, got = percentiles(f, F.col("x"), at)
+        assert (low, high) == (want[0], want[-1]) and got == want
+    assert from_formula("bs(x, 5)", frames[0]).n_columns == 5
