@@ -205,8 +205,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Addi
                 yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_y"), *[pa.array(x[:, j]) for j in range(x.shape[1])]], ["_id", "_y", *FEATURES])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("_id"), text_of("text").alias("text")).join(F.broadcast(sample), "_id")
-    got = chosen.select("_id", "_y", "text").mapInArrow(rows, "_id long, _y double, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
-    got = got.sort_values(["_id", *FEATURES]).drop_duplicates("_id")
+    made = chosen.select("_id", "_y", "text").mapInArrow(rows, "_id long, _y double, " + ", ".join(f"{f} double" for f in FEATURES))
+    # an id may stand on any number of rows: one of them, the least, goes to the driver
+    got = made.groupBy("_id").agg(F.min(F.struct(*FEATURES, "_y")).alias("least")).select("_id", "least.*").toPandas().sort_values("_id")
     return fit(got[list(FEATURES)].to_numpy(), got["_y"].to_numpy())
 
 

@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from gramloom.llm import exact_dedup, line_dedup, lm_scoring, minhash, mixing, quality_gam, quality_rules, sentencepiece_codec, sharding, wordpiece
@@ -323,6 +324,28 @@ def test_quality_classifier(spark, empty):
     assert quality_gam.quality_report(empty, marks).count() == 0
 
 
+def test_quality_training_brings_one_row_of_an_id(spark, monkeypatch):
+    rows = [(i, "word " * (i + 1)) for i in range(1, 30)] + [(7, f"{'a' * (k % 40)} {k}") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 30)], "doc_id long, quality int, toxic int")
+    sizes, whole, fitted = [], type(docs).toPandas, []
+
+    def counted(self):
+        out = whole(self)
+        sizes.append(len(out))
+        return out
+
+    monkeypatch.setattr(type(docs), "toPandas", counted)
+    monkeypatch.setattr(quality_gam, "fit", lambda x, y: fitted.append((x, y)))
+    quality_gam.train(docs, marks)
+    ids = [i for i in range(1, 30) if zlib.crc32(str(i).encode()) % 5]
+    assert 7 in ids and sizes == [len(ids)]
+    x, y = fitted[0]
+    assert x.shape[0] == len(ids) and list(y) == [i % 2 for i in ids]
+    every = quality_gam.features(pa.array([t for i, t in rows if i == 7]))
+    assert tuple(x[ids.index(7)]) == min(map(tuple, every))
+
+
 @needs_model
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
