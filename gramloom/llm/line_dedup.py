@@ -93,13 +93,9 @@ class LineRuns:
         return self.scratch.put(self._merged(runs).filter(F.col("docs") >= self.min_docs).select("h1", "h2"), f"common-{self.made}")
 
 
-def file_batches(docs: DataFrame, most: int = 8) -> list[DataFrame]:
-    """``docs``, read from files, as up to ``most`` batches of whole files."""
-    files = sorted(docs.inputFiles())
-    if len(files) < 2:
-        return [docs]
-    n = min(most, len(files))
-    return [docs.sparkSession.read.schema(docs.schema).parquet(*files[i::n]) for i in range(n)]
+def hash_batches(docs: DataFrame, n: int = 6) -> list[DataFrame]:
+    """``docs`` as ``n`` batches by a hash of doc_id, above the fanout whatever the number of files."""
+    return [docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == k) for k in range(n)]
 
 
 def drop_common_lines(docs: DataFrame, batches: list[DataFrame] | None = None, min_docs: int = 10, min_length: int = 1, fanout: int = 4) -> DataFrame:

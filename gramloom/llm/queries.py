@@ -40,7 +40,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.common_lines_report(docs, batches=line_dedup.file_batches(docs))
+    return line_dedup.common_lines_report(docs, batches=line_dedup.hash_batches(docs))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -258,6 +258,21 @@ def test_sharding(docs, empty, tmp_path):
     assert sharding.shard_report(empty).count() == 0
 
 
+def test_line_dedup_query_makes_levels_from_one_file(docs, spark, tmp_path, monkeypatch):
+    from gramloom.llm import queries
+
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert len(table.inputFiles()) == 1
+    levels, write = [], line_dedup.LineRuns._write
+    monkeypatch.setattr(line_dedup.LineRuns, "_write", lambda self, counts, level: (levels.append(level), write(self, counts, level)))
+    out = got(queries.op6_line_dedup(spark, str(tmp_path)))
+    assert levels == [0, 0, 0, 0, 1, 0, 0]
+    monkeypatch.undo()
+    assert out == got(line_dedup.common_lines_report(table))
+    assert sum(b.count() for b in line_dedup.hash_batches(table)) == len(ROWS)
+
+
 def test_lm_scoring(docs, empty):
     start = 256
     grams = [[tuple(([start] * 4 + list((t or "").encode()))[k : k + 5]) for k in range(len((t or "").encode()))] for _, t, *_ in ROWS]
