@@ -29,16 +29,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch; a text beyond the limit is a part of its own."""
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    part = np.cumsum(size) // SLICE_CHARS
-    edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(size)]
+def cut(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch of about ``most`` in size; a row beyond that is a part of its own."""
+    part = np.cumsum(sizes) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(sizes)]
     for a, b in zip(edges, edges[1:]):
         if b > a:
             yield batch.slice(a, b - a)
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch by the bytes of a text column."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    yield from cut(batch, size.astype(np.int64), most)
+
+
 def words_of(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """All words ``[^\\x20\\x09-\\x0D]+`` of the texts in a row, and each text's bounds in it.
 

@@ -5,13 +5,15 @@ fallback, and the normaliser (character map, dummy prefix, extra white space).
 tokenizers pipeline is rebuilt: a Unigram model with its scores, or a BPE model whose
 merges follow from the scores, with the metaspace marker and byte fallback.  No piece of
 a usual vocabulary holds the marker after another character; then a normalised text
-falls apart before each run of markers without changing the result, each distinct part
-of a batch is encoded once, and whole batches go to the library's threads.
+falls apart before each run of markers without changing the result, so very long texts
+are cut there.  Batches of texts go to the library's threads.  Where two unigram cuts of
+a text have one score, either is right, and the sentencepiece library may take the other.
 
 Defined results: null and empty texts have no tokens and decode to the empty text; texts
 are read whole; rows are coded one by one, so ties, repeated rows and null ids do not
 matter; an empty table gives no rows.  All columns are kept; ``ids`` and ``ids_crc32``
-(and ``decoded``) are added and replace columns of these names.
+(and ``decoded``) are added and replace columns of these names, in any case of letters.
+Work is cut into slices of a megabyte of text, so memory does not grow with a batch.
 """
 
 from __future__ import annotations
@@ -20,22 +22,26 @@ import functools
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_text import slices
+from .arrow_text import cut, slices
 
 MARK = "▁"
 #: Fixed values of the format: piece kinds and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-_CACHED, _AT_ONCE = 150_000, 4096
+#: Characters that are encoded at once, and beyond which a text is cut.
+_AT_ONCE, _LONG = 1 << 18, 1 << 20
+_BREAK = re.compile(f"[^{MARK}](?={MARK})")
 
 
 @dataclass(frozen=True)
@@ -128,12 +134,9 @@ class Codec:
         self.plain = not steps
         self.clean = normalizers.Sequence(steps)
         self.parts = not any(re.search(f"[^{MARK}]{MARK}", p.text) for p in m.pieces)
-        self.split = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.known: dict[str, np.ndarray] = {}
         out = [bytes([int(p.text[3:5], 16)]) if p.kind == BYTE else b"" if p.kind == CONTROL else " ⁇ ".encode() if p.kind == UNKNOWN else p.text.replace(MARK, " ").encode() for p in m.pieces]
         self.out_bytes = np.frombuffer(b"".join(out), dtype=np.uint8)
-        self.out_len = np.array([len(x) for x in out], dtype=np.int64)
-        self.out_at = np.concatenate([[0], np.cumsum(self.out_len)[:-1]])
+        self.out_ends = np.concatenate([[0], np.cumsum([len(x) for x in out])])
         self.is_byte = np.array([p.kind == BYTE for p in m.pieces])
 
     def normalise(self, text: str) -> str:
@@ -143,43 +146,56 @@ class Codec:
             return ""
         return (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
 
+    def _pieces_of(self, text: str) -> Iterator[str]:
+        """A normalised text, cut before runs of markers where it is long; that changes no token."""
+        at = 0
+        while self.parts and len(text) - at > _LONG:
+            found = _BREAK.search(text, at + _LONG)
+            if not found:
+                break
+            yield text[at : found.start() + 1]
+            at = found.start() + 1
+        if at < len(text):
+            yield text[at:]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and each text's bounds in them."""
-        parts: list[str] = []
-        bounds = [0]
-        for t in texts:
-            s = self.normalise(t)
-            if self.parts:
-                parts.extend(self.split.findall(s))
-            elif s:
-                parts.append(s)
-            bounds.append(len(parts))
-        coded = pa.array(parts, pa.large_string()).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > _CACHED:
-            self.known.clear()
-        new = [p for p in distinct if p not in self.known]
-        for at in range(0, len(new), _AT_ONCE):  # the library's result objects are large
-            some = new[at : at + _AT_ONCE]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, dtype=np.int32)
-        ids = [self.known[p] for p in distinct]
-        return _gather(np.concatenate(ids) if ids else np.zeros(0, np.int32), np.array([len(x) for x in ids], dtype=np.int64), coded.indices.to_numpy().astype(np.int64), np.array(bounds))
+        ids, bounds, parts, owner = array("i"), np.zeros(len(texts) + 1, dtype=np.int64), [], []
+
+        def flush() -> None:
+            # the library's result objects are large, so few texts go to its threads at once
+            for k, e in zip(owner, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
+                ids.extend(e.ids)
+                bounds[k + 1] = len(ids)
+            parts.clear()
+            owner.clear()
+
+        held = 0
+        for k, t in enumerate(texts):
+            for part in self._pieces_of(self.normalise(t)):
+                parts.append(part)
+                owner.append(k)
+                held += len(part)
+                if held > _AT_ONCE:
+                    flush()
+                    held = 0
+        flush()
+        return np.array(ids, dtype=np.int32), np.maximum.accumulate(bounds)
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
-        raw, at = _gather(self.out_bytes, self.out_len, ids.astype(np.int64), bounds)
+        raw, at = _gather(self.out_bytes, self.out_ends, ids.astype(np.int64), bounds)
         data, skip = raw.tobytes(), int(self.model.dummy_prefix)
         texts = (data[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:]))
         return [t[1:] if skip and t.startswith(" ") else t for t in texts]
 
 
-def _gather(values: np.ndarray, lengths: np.ndarray, picks: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pieces of ``values`` (``lengths`` long, one after another) named by ``picks``, joined, and ``bounds`` moved along."""
-    starts = np.concatenate([[0], np.cumsum(lengths)])[:-1] if len(lengths) else np.zeros(0, np.int64)
-    n = lengths[picks]
-    ends = np.concatenate([[0], np.cumsum(n)])
-    index = np.repeat(starts[picks] - ends[:-1], n) + np.arange(ends[-1])
-    return values[index], ends[bounds]
+def _gather(values: np.ndarray, ends: np.ndarray, picks: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of ``values`` (the k-th from ends[k] to ends[k + 1]) named by ``picks``, joined, and ``bounds`` moved along."""
+    starts, n = ends[:-1][picks], np.diff(ends)[picks]
+    at = np.concatenate([[0], np.cumsum(n)])
+    index = np.arange(at[-1])
+    index += np.repeat(starts - at[:-1], n)
+    return values[index], at[bounds]
 
 
 @functools.lru_cache(maxsize=2)
@@ -192,22 +208,52 @@ def _read(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """``docs`` with ids (array of int) and ids_crc32 (of the ids as little-endian int32)."""
-    data = _read(model_path)  # half a megabyte, sent with the task
+#: What coding can add to a table, and its types; the first three come from encoding, the others from decoding.
+OUTPUTS = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "ids_crc32": T.LongType(), "decoded": T.StringType(), "n_byte_tokens": T.LongType()}
+#: Ids are decoded so many at once, whatever the batch.
+_IDS_AT_ONCE = 1 << 19
+
+
+def _encoded(c: Codec, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    ids, bounds = c.encode([t or "" for t in part.column("text").to_pylist()])
+    return ids.astype("<i4"), bounds
+
+
+def _decoded(c: Codec, ids: np.ndarray, bounds: np.ndarray) -> dict[str, pa.Array]:
+    raw = np.concatenate([[0], np.cumsum(c.is_byte[ids])])
+    return {"decoded": pa.array(c.decode(ids, bounds), pa.string()), "n_byte_tokens": pa.array(raw[bounds[1:]] - raw[bounds[:-1]], pa.int64())}
+
+
+def _with(rows: DataFrame, run, *added: str) -> DataFrame:
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *[T.StructField(x, OUTPUTS[x]) for x in added]]))
+
+
+def _without(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names])
+
+
+def encode(docs: DataFrame, model_path: str, *want: str) -> DataFrame:
+    """``docs`` with ids (array of int) and ids_crc32 (of the ids as little-endian int32), or with ``want``.
+
+    ``want`` may name any of OUTPUTS; then a text is encoded and decoded in one pass.
+    """
+    data, want = _read(model_path), want or ("ids", "ids_crc32")  # half a megabyte, sent with the task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(data)
         for batch in batches:
-            for part in slices(batch):
-                ids, bounds = c.encode([t or "" for t in part.column("text").to_pylist()])
-                ids = ids.astype("<i4")
-                sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
-                arrays = [*part.columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())), pa.array(sums, pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, [*part.schema.names, "ids", "ids_crc32"])
+            for part in slices(batch, most=1 << 20):
+                ids, bounds = _encoded(c, part)
+                made = {"n_tokens": pa.array(np.diff(bounds), pa.int64())}
+                if "ids" in want:
+                    made["ids"] = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+                if "ids_crc32" in want:
+                    made["ids_crc32"] = pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])], pa.int64())
+                if "decoded" in want or "n_byte_tokens" in want:
+                    made |= _decoded(c, ids, bounds)
+                yield pa.RecordBatch.from_arrays([*part.columns, *[made[x] for x in want]], [*part.schema.names, *want])
 
-    rows = docs.drop("ids", "ids_crc32")
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ids_crc32", T.LongType())]))
+    return _with(_without(docs, *want), run, *want)
 
 
 def decode(coded: DataFrame, model_path: str) -> DataFrame:
@@ -217,17 +263,18 @@ def decode(coded: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(data)
         for batch in batches:
-            lists = batch.column("ids")
-            n = np.array(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-            ids, bounds = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(n)])
-            raw = np.concatenate([[0], np.cumsum(c.is_byte[ids])])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(c.decode(ids, bounds), pa.string()), pa.array(raw[bounds[1:]] - raw[bounds[:-1]], pa.int64())], [*batch.schema.names, "decoded", "n_byte_tokens"])
+            sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for part in cut(batch, sizes, _IDS_AT_ONCE):
+                lists = part.column("ids")
+                n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                made = _decoded(c, lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(n)]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *made.values()], [*part.schema.names, *made])
 
-    rows = coded.drop("decoded", "n_byte_tokens")
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType()), T.StructField("n_byte_tokens", T.LongType())]))
+    return _with(_without(coded, "decoded", "n_byte_tokens"), run, "decoded", "n_byte_tokens")
 
 
 def codec_report(docs: DataFrame, model_path: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_byte_tokens, ids_crc32, round_trip."""
-    both = decode(encode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), model_path), model_path)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "n_byte_tokens", "ids_crc32", (F.col("decoded") == F.col("text")).alias("round_trip"))
+    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = encode(plain, model_path, "n_tokens", "n_byte_tokens", "ids_crc32", "decoded")
+    return both.select("doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", (F.col("decoded") == F.col("text")).alias("round_trip"))
