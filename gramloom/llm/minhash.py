@@ -4,28 +4,33 @@ Texts are compared as sets of n-word shingles (A-Z in lower case, words
 ``[^\\x20\\x09-\\x0D]+``); two texts are linked when Jaccard similarity reaches the
 threshold; groups are the connected components.
 
-1. *Sketches.*  One hash per shingle; a text keeps the ``K`` smallest.  Rows with the same
-   set (size and two 64-bit sums over the whole set) form a class, which needs no links.
-2. *Inverted lists.*  If two texts are linked, their sketches share at least ``T`` of
-   ``K`` values but for a chance of about 1e-6 at exactly the threshold 0.8, and far
-   less above it.  Hence they share one among the K - T + 1 values of either that occur
-   in the fewest sketches (prefix filtering), and only those values are listed.
-3. *Overlaps.*  Lists of up to ``SMALL`` members give all their pairs; longer lists are
-   dealt over tasks in parts, and each member is paired with the list's smallest member.
-   Lists carry a parity sketch of 64 bytes: the parities of a text's shingles by hash
-   bin; of texts beyond ``DENSE`` shingles, every 2nd, 4th ... shingle counts.  A pair
-   goes on if its parities differ in no more bins than the largest symmetric difference
-   of linked sets allows (5 standard errors above), and then, each pair once, if the
-   union sketch estimates at least ``LEAST`` (5 standard errors below 0.8).
-4. *Verification.*  Both whole texts are read and exact Jaccard on full sets decides.
-5. *The rest.*  Where a long list's members are in several components after that, pairs
-   across components are compared in blocks, closest first, with 32, 2048 ... per member and
-   round, until no pair is left out.  Pairs inside one component add nothing.
+1. *Sketches.*  One hash per shingle; a text keeps the ``K`` smallest (their upper 32
+   bits).  Rows with the same set (size and two 64-bit sums over the whole set) form a
+   class, which needs no links.  Classes are numbered when they are written, and
+   everything below speaks of these numbers, never of doc_ids.
+2. *Inverted lists.*  A list holds the classes that retain the same ``TUPLE`` values, those
+   that come first in one of ``LISTS`` orders of the sketch.  Single values are in more
+   sketches the larger the corpus is; tuples are shared by texts that are alike.  Linked
+   texts share no list with a chance of about 1e-6 at exactly 0.8, far less above it.
+3. *Overlaps.*  Each member of a list is paired with three of its members (the smallest
+   number, the largest, the smallest in another order), which map tasks find, so that a
+   list with a third of all classes is no hot group, and pairs grow with the lists.
+   A pair goes on if the union sketch estimates at least ``LEAST`` (5 standard errors
+   below 0.8) and a parity sketch (the parities of a text's shingles by hash bin; of texts
+   beyond ``DENSE`` shingles, every 2nd, 4th ... counts) differs in no more bins than the
+   largest symmetric difference of linked sets allows (5 standard errors above).
+4. *Verification.*  Both whole texts are read and exact Jaccard on full sets decides.  A
+   hub's text travels once for each ``BLOCK`` of its partners.
+5. *The rest.*  Where a list's members are in several components after that, members of
+   different components are compared by their parity sketches in blocks.  Only pairs that
+   pass leave a block, the closest first, with 8, 512 ... per member and round, until no
+   pair is left out.  Pairs inside one component add nothing.
 
 Defined results: a text without words (or null) has an empty set and is linked with
-nothing; with fewer than n words the whole sequence is one shingle; rows that repeat id
-and text share their class; null ids count as smaller than all others and give a null
-component; an empty table gives no rows.  Extra columns are ignored.
+nothing; with fewer than n words the whole sequence is one shingle; rows that repeat an id
+with other texts are told apart; a null id is never the smallest, so a group of null ids
+alone has a null component and keeps all its rows in :func:`near_groups`; an empty table
+gives no rows.  Extra columns are ignored, and returned by :func:`drop_near_copies`.
 """
 
 from __future__ import annotations
@@ -34,18 +39,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import mix64, shingle_sets, slices
-from .common import Scratch, text_of
+from .common import Scratch, one_of_each, perhaps_in, row_columns, text_of, with_row
 from .components import connected_components
 
-K, T, SMALL, PART, BLOCK, LEAST = 64, 36, 8, 256, 2048, 0.55
-ODD, DENSE = 512, 1024  # bits of the parity sketch, and shingles that all count in it
-PIECE_BITS, MAP_PIECES = 32768, 2048  # bits that one bitmap of Spark holds; 8 MB of them at most
-_NULL_ID = -(2**63)
+K, TUPLE, LISTS, BLOCK, LEAST = 64, 4, 40, 1024, 0.55
+ODD, DENSE = 2048, 4096  # bits of the parity sketch, and shingles that all count in it
 _PAD = np.uint32(0xFFFFFFFF)
+_ORDERS = mix64(np.arange(1, TUPLE * LISTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_OTHER_ORDER = 0x2A5A5A5A5A5A5A5A  # class numbers in another order: what they differ in from this
 
 
 def _halvings(n: np.ndarray) -> np.ndarray:
@@ -60,7 +65,7 @@ def parity_sketch(shingles: np.ndarray) -> bytes:
 
 
 def sketch_rows(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id (null as the smallest number), th, n_shingles, f1, f2, sketch."""
+    """doc_id, th (text hash), n_shingles, f1, f2, sketch, odd."""
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,39 +75,65 @@ def sketch_rows(docs: DataFrame, n: int) -> DataFrame:
                     size.append(len(s))
                     f1.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
                     f2.append(int(mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
-                    kept.append(s[:K].view(np.int64))
+                    kept.append((s[:K] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                     odd.append(parity_sketch(s))
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
-                values = np.concatenate(kept) if kept else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(values)), pa.array(odd, pa.binary())], ["doc_id", "th", "n_shingles", "f1", "f2", "sketch", "odd"])
+                values = np.concatenate(kept) if kept else np.zeros(0, np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("th"), pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(values)), pa.array(odd, pa.binary())],
+                    ["doc_id", "th", "n_shingles", "f1", "f2", "sketch", "odd"],
+                )
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.xxhash64(text_of("text")).alias("th"), text_of("text").alias("text"))
-    return rows.mapInArrow(sketches, "doc_id long, th long, n_shingles long, f1 long, f2 long, sketch array<long>, odd binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of("text")).alias("th"), text_of("text").alias("text"))
+    return rows.mapInArrow(sketches, "doc_id long, th long, n_shingles long, f1 long, f2 long, sketch array<int>, odd binary")
 
 
-def _postings(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(v, m, rep, th, n, odd): the listed values of each class, in lists of m >= 2 members."""
-    values = classes.select("rep", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
-    often = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    # values of one sketch alone come first in a sketch's order and list nobody else
-    # one number for (df, v), rarest first: 15 bits of df and the 48 low bits of v, which name the list
-    key = F.shiftleft(F.least("df", F.lit(32767)), 48).bitwiseOR(F.col("v").bitwiseAND(F.lit((1 << 48) - 1)))
-    own = values.join(often, "v").select("rep", "s", key.alias("v")).groupBy("rep").agg(F.first("s").alias("s"), F.sort_array(F.collect_list("v")).alias("held"))
-    listed = F.col("s") - F.greatest(F.lit(1), F.floor(F.col("s") * T / K)) + 1
-    room = (listed - (F.col("s") - F.size("held"))).cast("int")
-    short = scratch.put(own.filter(room > 0).select("rep", F.explode(F.slice("held", 1, room)).alias("v")), "short-lists")
-    sizes = short.groupBy("v").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    return scratch.put(short.join(sizes, "v").join(classes.select("rep", "th", F.col("n_shingles").alias("n"), "odd"), "rep").select("v", "m", "rep", "th", "n", "odd"), "postings")
+def _classes(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row per set: cid, its key, a member (id, th) to read the text of, the smallest doc_id, sketches."""
+    key = ["n_shingles", "f1", "f2"]
+    found = rows.filter("n_shingles > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "th")).alias("member"), F.min("doc_id").alias("least_id"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd"))
+    # the numbers are read back from the written table, so they stay the same whatever is run again
+    return scratch.put(found.select(F.monotonically_increasing_id().alias("cid"), *key, F.col("member.doc_id").alias("id"), F.col("member.th").alias("th"), "least_id", "sketch", "odd"), "classes")
 
 
 def _matrix(sketches: pa.Array) -> np.ndarray:
-    """Sketches (32-bit prefixes, in the order of their values) as rows of K, padded."""
+    """Sketches, in the order of their values, as rows of K, padded."""
     lengths = np.diff(sketches.offsets.to_numpy())
     out = np.full((len(lengths), K), _PAD, dtype=np.uint32)
     out[np.arange(K) < lengths[:, None]] = sketches.flatten().to_numpy().view(np.uint32)
     return out
 
 
+def list_keys(sketches: np.ndarray) -> np.ndarray:
+    """For each sketch the LISTS lists it is in: hashes of the TUPLE values that come first in an order each."""
+    spread = mix64(sketches.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    absent = sketches == _PAD
+    keys = np.zeros((len(sketches), LISTS), dtype=np.uint64)
+    for k, factor in enumerate(_ORDERS):
+        order = spread * factor
+        order[absent] = np.uint64(2**64 - 1)
+        band = k // TUPLE
+        keys[:, band] = mix64(keys[:, band] * np.uint64(0x9E3779B97F4A7C15) + order.min(axis=1) + np.uint64(band))
+    return keys.view(np.int64)
+
+
+def _lists(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, cid) of the lists with two members or more."""
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                part = batch.slice(at, 4096)
+                keys = list_keys(_matrix(part.column("sketch")))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("cid").to_numpy(), LISTS))], ["key", "cid"])
+
+    every = scratch.put(classes.select("cid", "sketch").mapInArrow(postings, "key long, cid long"), "postings")
+    shared = scratch.put(every.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "shared-keys")
+    found = scratch.put(perhaps_in(every, shared.select("key"), ["key"]).join(shared, "key").select("key", "m", "cid"), "lists")
+    scratch.drop("postings", "shared-keys")
+    return found
+
+
 def union_estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Share of values common to both among the K smallest of each pair's union."""
     found = np.empty(len(a))
@@ -116,7 +147,46 @@ def union_estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return found
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
+def _most_odd(sizes: np.ndarray, halvings: np.ndarray, threshold: float) -> np.ndarray:
+    """Bins of odd parity that the symmetric difference of a linked pair reaches at most.
+
+    ``sizes`` is the sum of both set sizes.  For c elements thrown into m bins the mean and
+    variance of the odd bins are exact; where only a share counts, c varies as well.  Of
+    sets that count whole no more bins can be odd than elements differ.
+    """
+    m, apart, share = ODD, (1 - threshold) / (1 + threshold) * sizes, 0.5**halvings
+    c = apart * share
+    mean = m / 2 * (1 - (1 - 2 / m) ** c)
+    variance = np.maximum(0.0, (m + m * (m - 1) * (1 - 4 / m) ** c - m * m * (1 - 2 / m) ** (2 * c)) / 4) + c * (1 - share)
+    most = mean + 5 * np.sqrt(variance) + 3
+    return np.where(halvings == 0, np.minimum(most, apart + 1e-6), most)
+
+
+def _used(na: np.ndarray, nb: np.ndarray, oa: np.ndarray, ob: np.ndarray, threshold: float) -> np.ndarray:
+    """The share of the allowed difference that each pair's parities use; beyond 1 it cannot be linked.
+
+    Pairs of unlike size are beyond 1.  Parities that count unlike shares of their texts say nothing: 1.
+    """
+    differ = np.bitwise_count(oa ^ ob).sum(axis=1, dtype=np.int64)
+    ha, hb = _halvings(na), _halvings(nb)
+    used = np.where(ha == hb, differ / np.maximum(_most_odd(na + nb, ha, threshold), 1e-9), 1.0)
+    return np.where(np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9, used, 2.0)
+
+
+def _words(odd: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(odd.to_pylist()), dtype=np.uint64).reshape(len(odd), ODD // 64)
+
+
+def _hub_pairs(lists: DataFrame) -> DataFrame:
+    """(a, b): every member with up to three members of its lists, each pair once, a the hub."""
+    other = F.lit(_OTHER_ORDER)
+    hubs = lists.groupBy("key").agg(F.min("cid").alias("h1"), F.max("cid").alias("h2"), F.min(F.col("cid").bitwiseXOR(other)).bitwiseXOR(other).alias("h3"))
+    met = lists.join(hubs, "key").select("cid", F.explode(F.array("h1", "h2", "h3")).alias("hub")).filter("cid <> hub")
+    # one direction for each pair, kept where either may be the hub
+    return met.select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct()
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 4_000) -> Iterator[pa.Table]:
     """Tables of whole groups from batches sorted by ``keys``."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -136,220 +206,162 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
-    """For each row the index of its group's first row."""
-    new = np.ones(len(table), bool)
-    if len(table) > 1:
-        new[1:] = False
-        for k in keys:
-            c = table[k].to_numpy()
-            new[1:] |= c[1:] != c[:-1]
-    return np.maximum.accumulate(np.where(new, np.arange(len(table)), 0))
-
-
-def _most_odd(sizes: np.ndarray, halvings: np.ndarray, threshold: float) -> np.ndarray:
-    """Bins of odd parity that the symmetric difference of a linked pair reaches at most.
-
-    ``sizes`` is the sum of both set sizes.  Of sets that count whole no more bins can be
-    odd than elements differ.
-    """
-    apart = (1 - threshold) / (1 + threshold) * sizes
-    counted = apart / 2.0**halvings
-    mean, variance = ODD / 2 * (1 - np.exp(-2 * counted / ODD)), ODD / 4 * (1 - np.exp(-4 * counted / ODD))
-    most = mean + 5 * np.sqrt(variance) + 2
-    return np.where(halvings == 0, np.minimum(most, apart + 1e-6), most)
-
-
-def _passing(table: pa.Table, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs that sizes and parities let through, with the share of the allowed difference they use.
-
-    Parities that count unlike shares of their texts say nothing; such pairs pass.
-    """
-    n, rep = table["n"].to_numpy(), table["rep"].to_numpy()
-    ok = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9) & (rep[i] != rep[j])
-    i, j = i[ok], j[ok]
-    odd = np.frombuffer(b"".join(table["odd"].to_pylist()), dtype=np.uint64).reshape(len(table), ODD // 64)
-    differ = np.concatenate([np.bitwise_count(odd[i[a : a + 65536]] ^ odd[j[a : a + 65536]]).sum(axis=1) for a in range(0, len(i), 65536)] or [np.zeros(0)])
-    halvings = _halvings(n)
-    used = np.where(halvings[i] == halvings[j], differ / np.maximum(_most_odd(n[i] + n[j], halvings[i], threshold), 1e-9), 1.0)
-    ok = used <= 1
-    return i[ok], j[ok], used[ok]
-
-
-_PAIR = "a long, ta long, b long, tb long"
-
-
-def _emit(table: pa.Table, i: np.ndarray, j: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
-    rep, th = table["rep"].to_numpy(), table["th"].to_numpy()
-    i, j = np.where(rep[i] < rep[j], i, j), np.where(rep[i] < rep[j], j, i)
-    return pa.RecordBatch.from_pydict({"a": rep[i], "ta": th[i], "b": rep[j], "tb": th[j], **more})
-
-
-def _first_pairs(postings: DataFrame, threshold: float) -> DataFrame:
-    parts = F.ceil(F.col("m") / PART).cast("int")
-    members = postings.withColumn("part", F.pmod(F.hash("rep"), parts))
-    long = postings.filter(F.col("m") > PART)
-    hubs = long.groupBy("v", "m").agg(F.min("rep").alias("rep"))
-    hubs = long.join(hubs, ["v", "m", "rep"]).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, ["v", "part"]):
-            first, at, small = _starts(table, ["v", "part"]), np.arange(len(table)), table["m"].to_numpy() <= SMALL
-            found = [(first[~small], at[~small])]
-            for k in range(1, SMALL):
-                x = at[:-k][(first[k:] == first[:-k]) & small[k:]]
-                found.append((x, x + k))
-            i, j = (np.concatenate(x) for x in zip(*found))
-            i, j, _ = _passing(table, i, j, threshold)
-            yield _emit(table, i, j)
-
-    dealt = members.unionByName(hubs.select(*members.columns)).repartition("v", "part").sortWithinPartitions("v", "part", "rep")
-    return dealt.mapInArrow(pairs, _PAIR).distinct()
-
-
-def _later_pairs(postings: DataFrame, labels: DataFrame, threshold: float, most: int) -> DataFrame | None:
-    """Pairs across components in long lists: ``most`` for a member at once; ``more``: some were left out.
+def _later_pairs(lists: DataFrame, labels: DataFrame, classes: DataFrame, threshold: float, most: int) -> DataFrame:
+    """Pairs (a, b) across components in one list: ``most`` for a member at once; ``more``: some were left out.
 
     Members of a list's largest component meet the others only; either kind is dealt in
     blocks of about ``BLOCK`` members, and each pair of blocks is one group.
     """
-    long = postings.filter(F.col("m") > SMALL).join(labels, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "rep")).drop("node", "label")
-    counts = long.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = counts.groupBy("v").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("mc"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("v", "main", "mc")
-    rows = long.join(mixed, "v").withColumn("other", (F.col("comp") != F.col("main")).cast("int"))
+    placed = lists.join(labels, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("label", "cid").alias("comp"))
+    counts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    mixed = counts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("mc"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("key", "main", "mc", "m")
+    rows = placed.join(mixed, "key").withColumn("other", F.col("comp") != F.col("main"))
     n_main, n_other = F.ceil(F.col("mc") / BLOCK).cast("int"), F.ceil((F.col("m") - F.col("mc")) / BLOCK).cast("int")
-    block = F.when(F.col("other") == 1, F.pmod(F.hash("rep"), n_other)).otherwise(n_other + F.pmod(F.hash("rep"), n_main))
-    meets = F.when(F.col("other") == 1, F.sequence(F.lit(0), n_other + n_main - 1)).otherwise(F.sequence(F.lit(0), n_other - 1))
-    dealt = rows.withColumn("block", block).withColumn("with", F.explode(meets)).select("v", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "rep", "th", "n", "odd", "comp", "other")
+    block = F.when(F.col("other"), F.pmod(F.hash("cid"), n_other)).otherwise(n_other + F.pmod(F.hash("cid"), n_main))
+    meets = F.when(F.col("other"), F.sequence(F.lit(0), n_other + n_main - 1)).otherwise(F.sequence(F.lit(0), n_other - 1))
+    dealt = rows.withColumn("block", block).withColumn("with", F.explode(meets)).select("key", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "cid", "comp")
+    dealt = dealt.join(classes.select(F.col("cid").alias("c"), F.col("n_shingles").alias("n"), "odd"), F.col("cid") == F.col("c")).drop("c")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, ["v", "x", "y"]):
-            first = _starts(table, ["v", "x", "y"])
-            comp, own, x, y = (table[c].to_numpy() for c in ("comp", "block", "x", "y"))
-            for a in np.unique(first):
-                b = a + int((first == a).sum())
+        for table in _whole_groups(batches, ["key", "x", "y"]):
+            key, x, y, own, cid, comp, n = (table[c].to_numpy() for c in ("key", "x", "y", "block", "cid", "comp", "n"))
+            odd = _words(table["odd"])
+            new = np.r_[True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+            for a, b in zip(np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(new)]):
                 left = np.arange(a, b)[own[a:b] == x[a]]
-                part = table.slice(a, b - a)
                 right = left if x[a] == y[a] else np.arange(a, b)[own[a:b] == y[a]]
-                found = []
-                for strip in range(0, len(left), 128):
-                    i, j = (z.ravel() for z in np.meshgrid(left[strip : strip + 128], right, indexing="ij"))
+                found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+                for strip in range(0, len(left), 64):
+                    i, j = (z.ravel() for z in np.meshgrid(left[strip : strip + 64], right, indexing="ij"))
                     ok = (comp[i] != comp[j]) & ((i < j) | (x[a] != y[a]))
-                    found.append(_passing(part, i[ok] - a, j[ok] - a, threshold))
-                if not found:
-                    continue
+                    i, j = i[ok], j[ok]
+                    used = _used(n[i], n[j], odd[i], odd[j], threshold)
+                    found.append((i[used <= 1], j[used <= 1], used[used <= 1]))
                 i, j, used = (np.concatenate(z) for z in zip(*found))
-                i, j = i + a, j + a
                 order = np.lexsort((used, i))
                 i, j = i[order], j[order]
                 start = np.maximum.accumulate(np.where(np.r_[True, i[1:] != i[:-1]], np.arange(len(i)), 0)) if len(i) else i
                 taken = np.arange(len(i)) - start < most
-                more = np.full(int(taken.sum()), bool((~taken).any()))
-                yield _emit(table, i[taken], j[taken], more=more)
+                i, j = cid[i[taken]], cid[j[taken]]
+                more = np.full(len(i), bool((~taken).any()))
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(i, j), "b": np.maximum(i, j), "more": more})
 
-    return dealt.repartition("v", "x", "y").sortWithinPartitions("v", "x", "y").mapInArrow(pairs, _PAIR + ", more boolean")
+    return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(pairs, "a long, b long, more boolean")
 
 
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, ta, b, tb) whose union sketch estimates at least ``LEAST``."""
+def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that the union sketch and the parity sketch both let through."""
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = union_estimate(_matrix(batch.column("sa")), _matrix(batch.column("sb"))) >= LEAST
-            yield batch.select(["a", "ta", "b", "tb"]).filter(pa.array(near, pa.bool_()))
+            near &= _used(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), _words(batch.column("oa")), _words(batch.column("ob")), threshold) <= 1
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    prefixes = F.transform("sketch", lambda value: F.shiftright(value, 32).cast("int"))  # estimates need no more bits
-    left = classes.select(F.col("rep").alias("a"), F.col("th").alias("ta"), prefixes.alias("sa"))
-    right = classes.select(F.col("rep").alias("b"), F.col("th").alias("tb"), prefixes.alias("sb"))
-    return pairs.join(left, ["a", "ta"]).join(right, ["b", "tb"]).select("a", "ta", "b", "tb", "sa", "sb").mapInArrow(estimate, _PAIR)
+    wanted = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select("b")).distinct()
+    some = perhaps_in(classes.select("cid", "n_shingles", "sketch", "odd"), wanted, ["cid"])
+    side = lambda x: some.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("odd").alias(f"o{x}"))
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb", "oa", "ob").mapInArrow(estimate, "a long, b long")
 
 
-def _perhaps_in(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """All rows whose keys are in ``wanted`` and few others, by a bitmap of key hashes.
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """The pairs whose full sets reach the threshold, as edges (a, b).
 
-    It keeps unwanted texts out of the shuffle that follows.  The bitmap has about 16 bits
-    for a key and never more than ``MAP_PIECES`` pieces of 4 KB, which bounds what is
-    broadcast; with more keys it lets more rows through, and the join after it decides.
+    Pairs meet at the end that is in more of them, the hub, in blocks of its partners.
     """
-    pieces = max(1, min(MAP_PIECES, wanted.count() * 16 // PIECE_BITS + 1))
-    at = F.pmod(F.xxhash64(*keys), F.lit(pieces * PIECE_BITS)) + 1
-    bits = wanted.select(F.bitmap_bucket_number(at).alias("piece"), F.bitmap_bit_position(at).alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    place = F.bitmap_bit_position(F.col("at"))
-    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    held = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(place, F.lit(8)))), F.lit(2)) == 1
-    return rows.withColumn("at", at).withColumn("piece", F.bitmap_bucket_number("at")).join(F.broadcast(bits), "piece").filter(held).select(*rows.columns)
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, threshold: float, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs whose full sets reach the threshold, as edges (a, b)."""
     percent = round(threshold * 100)
-    wanted = pairs.select(F.col("a").alias("id"), F.col("ta").alias("t")).unionAll(pairs.select("b", "tb")).distinct()
-    wanted = scratch.put(wanted, f"wanted-{name}")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(text_of("text")).alias("t"), text_of("text").alias("text"))
-    # an inner join: Catalyst would push a semi join below the bitmap
-    texts = scratch.put(_perhaps_in(texts, wanted, ["id", "t"]).join(wanted, ["id", "t"]).dropDuplicates(["id", "t"]), f"texts-{name}")
+    ends = pairs.select(F.col("a").alias("e")).unionAll(pairs.select("b"))
+    degree = ends.groupBy("e").agg(F.count(F.lit(1)).alias("d"))
+    da, db = degree.toDF("a", "da"), degree.toDF("b", "db")
+    turned = pairs.join(da, "a").join(db, "b").select(F.when(F.col("da") >= F.col("db"), F.struct(F.col("a").alias("hub"), F.col("b").alias("cid"), F.col("da").alias("d"))).otherwise(F.struct(F.col("b").alias("hub"), F.col("a").alias("cid"), F.col("db").alias("d"))).alias("p")).select("p.*")
+    dealt = turned.withColumn("block", F.pmod(F.hash("cid"), F.ceil(F.col("d") / BLOCK)).cast("int"))
+    needed = dealt.select("hub", "block", F.col("hub").alias("cid")).distinct().unionAll(dealt.select("hub", "block", "cid"))
+    wanted = degree.select(F.col("e").alias("cid"))
+    where = perhaps_in(classes.select("cid", F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("no_id"), "th"), wanted, ["cid"])
+    needed = needed.join(where, "cid")
+    doc_id = F.col("doc_id").cast("long")
+    texts = docs.select(F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("no_id"), F.xxhash64(text_of("text")).alias("th"), text_of("text").alias("text"))
+    key = ["id", "no_id", "th"]
+    texts = perhaps_in(texts, where.select(*key), key).dropDuplicates(key)
+    # the hub's row comes first in its block
+    rows = texts.join(needed, key).select("hub", "block", "cid", (F.col("hub") == F.col("cid")).alias("is_hub"), "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        center = np.zeros(0, np.uint64)
         for batch in batches:
-            for part in slices(batch, "xa"):
-                sets: dict[int, np.ndarray] = {}
+            for part in slices(batch):
+                hit = []
+                for is_hub, s in zip(part.column("is_hub").to_pylist(), shingle_sets(part.column("text"), n)):
+                    if is_hub:
+                        center = s
+                        hit.append(False)
+                        continue
+                    both = len(np.intersect1d(center, s, assume_unique=True))
+                    hit.append(100 * both >= percent * (len(center) + len(s) - both))
+                yield part.select(["hub", "cid"]).filter(pa.array(hit, pa.bool_()))
 
-                def of(side: str, text: str) -> Iterator[np.ndarray]:
-                    ids = part.column(side).to_pylist()
-                    new = {k: i for i, k in enumerate(ids) if k not in sets}
-                    sets.update(zip(new, shingle_sets(part.column(text).take(pa.array(new.values(), pa.int64())), n)))
-                    return (sets[k] for k in ids)
+    ordered = rows.repartition("hub", "block").sortWithinPartitions("hub", "block", F.col("is_hub").desc())
+    return ordered.mapInArrow(check, "a long, b long")
 
-                hit = []
-                for a, b in zip(list(of("a", "xa")), list(of("b", "xb"))):
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    hit.append(100 * both >= percent * (len(a) + len(b) - both))
-                yield part.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    left = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("text").alias("xa"))
-    right = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("text").alias("xb"))
-    return pairs.select("a", "ta", "b", "tb").join(left, ["a", "ta"]).join(right, ["b", "tb"]).select("a", "b", "xa", "xb").mapInArrow(check, "a long, b long")
+def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, threshold: float, scratch: Scratch, name: str) -> DataFrame:
+    likely = scratch.put(_likely(pairs, classes, threshold), f"likely-{name}")
+    edges = scratch.put(_verified(likely, classes, docs, n, threshold), f"edges-{name}")
+    scratch.drop(f"likely-{name}")
+    return edges
 
 
 def near_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """One row per document: doc_id, th (text hash), n_shingles, component_id, kept.
+    """One row per document: doc_id, th (text hash), n_shingles, group, component_id, kept.
 
-    Sketch sizes are set for thresholds of 0.8 and more.
+    ``group`` is one number per component, null for empty sets.  Sketch sizes are set for
+    thresholds of 0.8 and more.
     """
     if threshold < 0.8:
         raise ValueError("the sketches are sized for similarities of 0.8 and more")
     scratch = Scratch(docs.sparkSession, "minhash")
     rows = scratch.put(sketch_rows(docs, n), "sketches")
-    key = ["n_shingles", "f1", "f2"]
-    named = rows.filter("n_shingles > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd"))
-    classes = scratch.put(named.select(*key, F.col("r.doc_id").alias("rep"), F.col("r.th").alias("th"), "sketch", "odd"), "classes")
-    postings = _postings(classes, scratch)
-    pairs = scratch.put(_likely(_first_pairs(postings, threshold), classes), "pairs-0")
-    edges = scratch.put(_verified(pairs, docs, n, threshold, scratch, "0"), "edges-0")
-    scratch.drop("short-lists", "pairs-0", "wanted-0", "texts-0")
+    classes = _classes(rows, scratch)
+    lists = _lists(classes, scratch)
+    pairs = scratch.put(_hub_pairs(lists), "pairs-0")
+    edges = _links(pairs, classes, docs, n, threshold, scratch, "0")
     labels = connected_components(edges, scratch)
-    most, step = 32, 1
-    while postings.filter(F.col("m") > SMALL).limit(1).count():
-        later = scratch.put(_later_pairs(postings, labels, threshold, most), f"pairs-{step}")
-        more = later.agg(F.count(F.lit(1)).alias("n"), F.max("more").alias("more")).first()
-        if not more["n"]:
+    most, step, more = 8, 1, lists.limit(1).count() > 0
+    while more:
+        later = scratch.put(_later_pairs(lists, labels, classes, threshold, most), f"pairs-{step}")
+        state = later.agg(F.count(F.lit(1)).alias("n"), F.max("more").alias("more")).first()
+        if not state["n"]:
             break
-        found = scratch.put(_verified(scratch.put(_likely(later.drop("more").distinct(), classes), f"likely-{step}"), docs, n, threshold, scratch, str(step)), f"edges-{step}")
-        scratch.drop(f"pairs-{step}", f"likely-{step}", f"wanted-{step}", f"texts-{step}")
-        edges = edges.unionAll(found)
+        edges = edges.unionAll(_links(later.select("a", "b").distinct(), classes, docs, n, threshold, scratch, str(step)))
         labels = connected_components(edges, scratch)
-        if not more["more"]:
-            break
-        most, step = most * 64, step + 1
-    reps = classes.select(F.col("n_shingles").alias("_n"), F.col("f1").alias("_1"), F.col("f2").alias("_2"), "rep")
-    found = rows.drop("sketch", "odd").join(reps, (F.col("n_shingles") == F.col("_n")) & (F.col("f1") == F.col("_1")) & (F.col("f2") == F.col("_2")), "left")
-    found = found.join(labels, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("label", "rep", "doc_id"))
-    real = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
-    return found.select(real("doc_id").alias("doc_id"), "th", "n_shingles", real("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
+        more, most, step = bool(state["more"]), most * 64, step + 1
+    placed = classes.join(labels, F.col("cid") == F.col("node"), "left").select(F.col("n_shingles").alias("_n"), F.col("f1").alias("_1"), F.col("f2").alias("_2"), F.coalesce("label", "cid").alias("group"), "least_id")
+    least = placed.groupBy(F.col("group").alias("_g")).agg(F.min("least_id").alias("component_id"))
+    groups = placed.join(least, F.col("group") == F.col("_g")).select("_n", "_1", "_2", "group", "component_id")
+    slim = rows.select("doc_id", "th", "n_shingles", "f1", "f2")
+    found = slim.join(groups, (F.col("n_shingles") == F.col("_n")) & (F.col("f1") == F.col("_1")) & (F.col("f2") == F.col("_2")), "left")
+    component = F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return found.select("doc_id", "th", "n_shingles", "group", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all columns: one document of each group, that with the smallest id."""
-    kept = near_groups(docs, n, threshold).filter("kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), (F.col("n_shingles") == 0).alias("_none")).distinct()
-    keyed = docs.withColumn("_h", F.xxhash64(text_of("text")))
-    return keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th"))).select(*docs.columns)
+    """The rows of ``docs``, all columns: one row of each group, one with the smallest id.
+
+    Where several texts of a group have that id, the text with the smallest hash stays, and
+    one of the rows that repeat it.  Rows without words all stay.
+    """
+    spark = docs.sparkSession
+    groups = Scratch(spark, "near-groups").put(near_groups(docs, n, threshold).filter("kept"), "groups")
+    first = groups.filter("group IS NOT NULL").groupBy("group").agg(F.min("th").alias("th"), F.first("doc_id").alias("doc_id"))
+    rows = groups.select(F.col("group").alias("_g"), F.col("th").alias("_t"))
+    copies = first.join(rows, (F.col("group") == F.col("_g")) & (F.col("th") == F.col("_t"))).groupBy("group", "th", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
+
+    def some_id(c: Column) -> list[Column]:
+        return [F.coalesce(c, F.lit(0).cast("long")), c.isNull()]
+
+    winners = copies.select(*[x.alias(k) for x, k in zip(some_id(F.col("doc_id")), ("id", "no_id"))], "th", "copies")
+    doc_id, text = F.col("doc_id").cast("long"), text_of("text")
+    key = dict(zip(("id", "no_id"), some_id(doc_id))) | {"th": F.xxhash64(text), "worded": text.rlike(r"[^\x20\x09-\x0D]")}
+    keyed = with_row(docs, **key)
+    kept = keyed.filter("worded").join(winners, ["id", "no_id", "th"])
+    return one_of_each(kept, ["id", "no_id", "th"], "copies").select("row").unionAll(keyed.filter("NOT worded").select("row")).select(*row_columns(docs))
