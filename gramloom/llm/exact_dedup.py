@@ -2,21 +2,23 @@
 
 Texts are equal when identical after every character of ``[\\x20\\x09-\\x0D]`` is deleted.
 
-1. Every row gets a 64-bit hash of its normalised text; its top bits choose a bucket.
-2. Index entries are made by grouping on (hash, normalised bytes): rows whose hashes
-   collide form a chain, and Spark's aggregation compares the bytes inside it.  Map
-   tasks combine copies before the shuffle, so that a text with a third of all rows
-   sends one row per map task.
-3. The directory starts at depth 0 and doubles while a bucket holds more than
-   ``bucket_bytes``; only the driver's table of prefixes grows (one row per bucket).
-   The entries are written to the shared folder, dealt by bucket and sorted by hash.
-4. Each row probes its bucket.  The index side has one row per key, so that Spark can
-   split a hot key's rows over tasks.
+1. Every row gets a 64-bit hash of its normalised text: a slim table without texts.
+2. Index entries are one row per hash, with the number of rows and the best of them.  Map
+   tasks combine, so that a text with a third of all rows sends one row per map task.
+3. The directory is grown in Spark.  Entries are counted by the top bits of their hash;
+   a bucket that holds more than ``bucket_entries`` is split in two, and so doubles the
+   directory, until none is overfull: the leaves of that tree are the buckets, and
+   the directory has a slot for each value of as many bits as the deepest bucket uses.
+4. Buckets are ranges of hashes.  Owner tasks take ranges of buckets, sort their entries
+   by hash and write them to the shared folder.
+5. Entries of two rows or more are chains.  Only their texts are fetched, and rows of a
+   chain are told apart by comparing bytes: Spark's aggregation on (hash, text).  Each
+   row probes the chains; rows that are in none are alone.
 
 Defined results: null text is the empty text (all empty or white-space texts are one
 group); a null doc_id never wins against another id; rows that repeat doc_id, length and
 text are not told apart and carry the same result; an empty table gives no rows.  Extra
-columns are ignored.
+columns of any name are ignored, and returned by :func:`drop_exact_copies`.
 """
 
 from __future__ import annotations
@@ -26,16 +28,20 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, text_of
+from .common import SPACE, Scratch, marked, one_of_each, perhaps_in, row_columns, text_of, with_row
 
 _ID_SPAN = Decimal(10) ** 20  # over 2**64: room for any doc_id below the length
 _ID_TOP = Decimal(2**63)
+#: Bits of a hash that a directory uses at most.
+MOST_BITS = 20
 
 
 def _priority(length: Column, doc_id: Column) -> Column:
     """One number that orders rows by more code points, then smaller doc_id, null last."""
     wide = "decimal(38,0)"
-    return (length.cast("decimal(12,0)") * F.lit(_ID_SPAN).cast("decimal(21,0)") + F.coalesce(F.lit(_ID_TOP).cast("decimal(20,0)") - doc_id.cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))).cast(wide)
+    span, top = F.lit(_ID_SPAN).cast("decimal(21,0)"), F.lit(_ID_TOP).cast("decimal(20,0)")
+    rank = F.coalesce(top - doc_id.cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
+    return (length.cast("decimal(12,0)") * span + rank).cast(wide)
 
 
 def _winner(priority: Column) -> Column:
@@ -44,84 +50,84 @@ def _winner(priority: Column) -> Column:
     return F.when(low > 0, (F.lit(_ID_TOP).cast("decimal(38,0)") - low).cast("long"))
 
 
-def _prefix(h: Column, bits: int) -> Column:
+def _top_bits(h: Column, bits: int) -> Column:
+    """The first bits of a hash, read as unsigned."""
     return F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def grow_directory(entries: DataFrame, bucket_bytes: int, step: int = 8, most: int = 48) -> list[tuple[int, int]]:
-    """Buckets as (prefix, local depth), found by doubling until none is overfull.
+def grow_directory(entries: DataFrame, bucket_entries: int, scratch: Scratch) -> DataFrame:
+    """The directory as (slot, bucket, depth): which bucket holds the hashes that begin with ``slot``.
 
-    ``entries`` has ``h`` and ``nbytes``, one row per distinct text.  Loads are counted
-    ``step`` bits at a time, and only below prefixes that are still overfull; a single
-    text beyond ``bucket_bytes`` stops at ``most`` bits with a bucket of its own.
+    ``entries`` has ``h``.  Loads of all tree nodes come from one count by ``fine`` bits, 16
+    times finer than buckets should be; a node is a bucket if it is not overfull and its
+    parent is, or if no bits are left.  ``bucket`` grows with the hash.  Slots have as many
+    bits as the deepest bucket, which the columns' ``bits`` tells.
     """
-    done: list[tuple[int, int]] = []
-    open_at, depth = {0}, 0
-    while open_at and depth < most:
-        at = entries if depth == 0 else entries.filter(_prefix(F.col("h"), depth).isin(sorted(open_at)))
-        fine = depth + step
-        load = {r["p"]: r["b"] for r in at.groupBy(_prefix(F.col("h"), fine).alias("p")).agg(F.sum("nbytes").alias("b")).collect()}
-        overfull: set[int] = set()
-        halves = [(p, depth) for p in open_at]
-        while halves:
-            p, d = halves.pop()
-            total = sum(v for q, v in load.items() if q >> (fine - d) == p) if d < fine else load.get(p, 0)
-            if total <= bucket_bytes and (d or total <= bucket_bytes):
-                done.append((p, d))
-            elif d == fine:
-                overfull.add(p)
-            else:
-                halves += [(2 * p, d + 1), (2 * p + 1, d + 1)]
-        open_at, depth = overfull, fine
-    return sorted(done + [(p, depth) for p in open_at], key=lambda x: (x[0] << (64 - x[1]), x[1]))
-
-
-def _with_bucket(df: DataFrame, buckets: list[tuple[int, int]]) -> DataFrame:
-    """``df`` with ``bucket``: a chain of directory look-ups, one per local depth in use."""
-    spark = df.sparkSession
-    depths = sorted({d for _, d in buckets})
-    number = {b: i for i, b in enumerate(buckets)}
-    if depths == [0]:
-        return df.withColumn("bucket", F.lit(0))
-    rows = [(d, p, number[p, d]) for p, d in buckets]
-    for d in depths:
-        table = spark.createDataFrame([(p, i) for e, p, i in rows if e == d], f"p{d} long, b{d} int")
-        # the directory has one row per bucket; Spark broadcasts it only below its own size limit
-        df = df.join(table, _prefix(F.col("h"), d) == F.col(f"p{d}"), "left").drop(f"p{d}")
-    return df.withColumn("bucket", F.coalesce(*[F.col(f"b{d}") for d in depths])).drop(*[f"b{d}" for d in depths])
-
-
-def exact_groups(docs: DataFrame, bucket_bytes: int = 64 << 20) -> DataFrame:
-    """One row per document: doc_id, n_code_points, text_sha256, keep_id, group_size, kept."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "exact-dedup")
-    text = text_of("text")
+    n = entries.count()
+    fine = min(MOST_BITS, max(0, (n // max(1, bucket_entries)).bit_length()) + 4)
+    cells = entries.groupBy(_top_bits(F.col("h"), fine).alias("cell")).agg(F.count(F.lit(1)).alias("load"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(fine))).alias("depth")
+    nodes = cells.select("load", "cell", every).groupBy("depth", F.expr(f"shiftright(cell, {fine} - depth)").alias("prefix")).agg(F.sum("load").alias("load"))
+    nodes = scratch.put(nodes, "nodes")
+    parents = nodes.select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"), F.col("load").alias("above"))
+    placed = nodes.withColumn("parent", F.shiftright("prefix", 1)).join(parents, ["depth", "parent"], "left")
+    overfull = F.lit(bucket_entries)
+    leaf = (F.coalesce(F.col("above"), overfull + 1) > overfull) & ((F.col("load") <= overfull) | (F.col("depth") == fine))
+    leaves = scratch.put(placed.filter(leaf).select("prefix", "depth"), "leaves")
+    bits = leaves.agg(F.max("depth")).first()[0] or 0
+    first = F.expr(f"shiftleft(prefix, {bits} - depth)")
+    slots = leaves.select(first.alias("bucket"), "depth", F.explode(F.sequence(first, F.expr(f"shiftleft(prefix + 1, {bits} - depth) - 1"))).alias("slot"))
+    return scratch.put(slots.select("slot", "bucket", "depth", F.lit(bits).alias("bits")), "directory")
+
+
+def exact_index(docs: DataFrame, bucket_entries: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The slim table of rows (without texts), and the chains: h, text_sha256, group_size, best."""
+    text, doc_id = text_of("text"), F.col("doc_id").cast("long")
     norm = F.regexp_replace(text, SPACE, "")
-    doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.length(text).cast("long").alias("n_code_points"), norm.alias("norm")).withColumn("h", F.xxhash64("norm"))
-
     keys = scratch.put(rows.select("doc_id", "n_code_points", "h", F.sha2("norm", 256).alias("text_sha256")), "keys")
-    chained = rows.groupBy("h", "norm").agg(F.count(F.lit(1)).alias("group_size"), F.max(_priority(F.col("n_code_points"), F.col("doc_id"))).alias("best"))
-    entries = scratch.put(chained.select("h", F.sha2("norm", 256).alias("sha"), F.octet_length("norm").cast("long").alias("nbytes"), "group_size", _winner(F.col("best")).alias("keep_id"), F.floor(F.col("best") / F.lit(_ID_SPAN)).cast("long").alias("keep_length")), "entries")
-
-    buckets = grow_directory(entries, bucket_bytes)
-    index = scratch.put(_with_bucket(entries, buckets).repartition("bucket").sortWithinPartitions("bucket", "h").withColumnRenamed("h", "eh").withColumnRenamed("bucket", "eb"), "index")
-    scratch.drop("entries")
-    found = _with_bucket(keys, buckets).join(index, (F.col("bucket") == F.col("eb")) & (F.col("h") == F.col("eh")) & (F.col("text_sha256") == F.col("sha")))
-    return found.select("doc_id", "n_code_points", "text_sha256", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_code_points") == F.col("keep_length"))).alias("kept"))
+    entries = scratch.put(keys.groupBy("h").agg(F.count(F.lit(1)).alias("members")), "entries")
+    directory = grow_directory(entries, bucket_entries, scratch)
+    bits = directory.agg(F.max("bits")).first()[0] or 0
+    dealt = entries.withColumn("slot", _top_bits(F.col("h"), bits)).join(directory.select("slot", "bucket"), "slot").drop("slot")
+    index = scratch.put(dealt.repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h"), "index")
+    scratch.drop("entries", "nodes", "leaves")
+    chained = index.filter("members > 1").select("h")
+    fetched = perhaps_in(rows, chained, ["h"]).groupBy("h", "norm").agg(F.count(F.lit(1)).alias("group_size"), F.max(_priority(F.col("n_code_points"), F.col("doc_id"))).alias("best"))
+    chains = fetched.join(chained, "h", "left_semi").select("h", F.sha2("norm", 256).alias("text_sha256"), "group_size", "best")
+    return keys, scratch.put(chains, "chains")
+
+
+def exact_groups(docs: DataFrame, bucket_entries: int = 1 << 20) -> DataFrame:
+    """One row per document: doc_id, n_code_points, text_sha256, keep_id, group_size, kept."""
+    keys, chains = exact_index(docs, bucket_entries, Scratch(docs.sparkSession, "exact-dedup"))
+    named = chains.select("h", "text_sha256", "group_size", _winner(F.col("best")).alias("keep_id"), F.floor(F.col("best") / F.lit(_ID_SPAN)).cast("long").alias("keep_length"))
+    found = keys.join(named, ["h", "text_sha256"], "left")
+    alone = F.col("group_size").isNull()
+    kept = alone | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_code_points") == F.col("keep_length")))
+    return found.select("doc_id", "n_code_points", "text_sha256", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), kept.alias("kept"))
 
 
-def drop_exact_copies(docs: DataFrame, bucket_bytes: int = 64 << 20) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, bucket_entries: int = 1 << 20) -> DataFrame:
     """The rows of ``docs``, all columns, less the copies: one row of each group stays.
 
-    Rows that repeat the doc_id and text of the row that stays are cut to one as well.
+    Rows that repeat the doc_id and text of the row that stays are cut to one as well.  Only
+    rows that may be in a chain are shuffled.
     """
-    text = text_of("text")
-    groups = exact_groups(docs, bucket_bytes).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_code_points").alias("_n"))
-    winners = groups.groupBy("_id", "_sha", "_n").agg(F.count(F.lit(1)).alias("_rows"))
-    with_key = docs.withColumn("_sha0", F.sha2(F.regexp_replace(text, SPACE, ""), 256)).withColumn("_n0", F.length(text).cast("long"))
-    kept = with_key.join(winners, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_sha0") == F.col("_sha")) & (F.col("_n0") == F.col("_n")))
-    single = kept.filter("_rows = 1")
-    if groups.groupBy("_id", "_sha", "_n").count().filter("count > 1").limit(1).count():
-        single = single.unionByName(kept.filter("_rows > 1").dropDuplicates(["_id", "_sha"]))
-    return single.select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "exact-copies")
+    _, chains = exact_index(docs, bucket_entries, scratch)
+    text, doc_id = text_of("text"), F.col("doc_id").cast("long")
+    norm = F.regexp_replace(text, SPACE, "")
+    keyed = with_row(docs, h=F.xxhash64(norm), priority=_priority(F.length(text).cast("long"), doc_id))
+    keyed = marked(keyed, chains.select("h"), ["h"], "perhaps")
+    some = keyed.filter("perhaps").withColumn("sha", F.sha2(F.regexp_replace(F.coalesce(F.col("row.text").cast("string"), F.lit("")), SPACE, ""), 256))
+    best = chains.select(F.col("h").alias("_h"), F.col("text_sha256").alias("_sha"), "best")
+    met = some.join(best, (F.col("h") == F.col("_h")) & (F.col("sha") == F.col("_sha")), "left")
+    met = scratch.put(met.filter("best IS NULL OR priority = best").select("row", "h", "sha", "priority", "best"), "met")
+    alone = met.filter("best IS NULL")
+    winners = met.filter("priority = best")
+    copies = winners.groupBy(F.col("h").alias("_c1"), F.col("sha").alias("_c2")).agg(F.count(F.lit(1)).alias("copies"))
+    repeated = copies.filter("copies > 1")
+    single = winners.join(repeated, (F.col("h") == F.col("_c1")) & (F.col("sha") == F.col("_c2")), "left").withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))
+    kept = one_of_each(single, ["h", "sha"], "copies")
+    return keyed.filter("NOT perhaps").select("row").unionAll(alone.select("row")).unionAll(kept.select("row")).select(*row_columns(docs))

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 import pytest
 
+from gramloom.llm.common import Scratch
 from gramloom.llm import exact_dedup, line_dedup, lm_scoring, minhash, mixing, quality_gam, quality_rules, sentencepiece_codec, sharding, wordpiece
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -68,7 +69,7 @@ def test_exact_dedup(docs, empty):
     for i, t, *_ in ROWS:
         g = sorted(groups[norm(t)])
         want.append((i, g[0][2], len(g), i == g[0][2] and -len(t or "") == g[0][0], hashlib.sha256(norm(t).encode()).hexdigest()))
-    for size in (64 << 20, 2000):  # one bucket, and many splits
+    for size in (1 << 20, 2):  # one bucket, and many splits
         out = exact_dedup.exact_groups(docs, size).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
         assert got(out) == sorted(want, key=repr)
     kept = exact_dedup.drop_exact_copies(docs)
@@ -77,9 +78,20 @@ def test_exact_dedup(docs, empty):
 
 
 def test_directory_splits_only_overfull_buckets(spark):
-    entries = spark.createDataFrame([(h << 56, 10) for h in (1, 2, 3)] + [(-(1 << 60), 500)], "h long, nbytes long")
-    buckets = exact_dedup.grow_directory(entries, 25)
-    assert sum(2.0 ** -d for _, d in buckets) == 1.0 and max(d for _, d in buckets) >= 8
+    rng = random.Random(3)
+    hashes = [rng.randrange(-(2**63), 2**63) for _ in range(300)] + [(5 << 60) + k for k in range(60)]
+    entries = spark.createDataFrame([(h,) for h in hashes], "h long")
+    rows = exact_dedup.grow_directory(entries, 25, Scratch(spark, "test-directory")).collect()
+    bits = {r["bits"] for r in rows}.pop()
+    by_slot = {r["slot"]: (r["bucket"], r["depth"]) for r in rows}
+    assert len(by_slot) == len(rows) and bits <= exact_dedup.MOST_BITS
+    load = Counter(by_slot[(h % 2**64) >> (64 - bits)] for h in hashes)
+    # only the bucket that no bit can split is overfull; halves of a split bucket together are overfull
+    assert sorted(load.values())[-1] >= 60 and sorted(load.values())[-2] <= 25
+    for (bucket, depth), n in load.items():
+        if 0 < depth:
+            parent = bucket >> (bits - depth + 1)
+            assert sum(1 for h in hashes if (h % 2**64) >> (64 - depth + 1) == parent) > 25
 
 
 def test_mixing(docs, empty):
