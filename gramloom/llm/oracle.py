@@ -29,7 +29,8 @@ def mixing_sql(documents: str, seed: int = 17) -> str:
     return rf"""
 d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size,
-         ('0x' || substr(sha256('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS u
+         ('0x' || substr(sha256('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS u,
+         ('0x' || substr(sha256('{seed}:' || coalesce(text, '')), 1, 15))::BIGINT AS t
   FROM {documents}
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 + 1] AS weight
@@ -47,8 +48,8 @@ d AS (
   FROM l, v
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, t.whole, t.target - t.whole * t.source_size AS rest,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u) AS upto,
-         sum(d.size) OVER (PARTITION BY d.source, d.u) AS peers
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.t) AS upto,
+         sum(d.size) OVER (PARTITION BY d.source, d.u, d.t) AS peers
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), mixed AS (
   SELECT doc_id, size, source_size, target,
@@ -62,7 +63,7 @@ WITH {mixing_sql("documents")}
 SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target::DOUBLE AS target, (size * copies)::BIGINT AS taken FROM mixed
 """
 
-_RULES = " AND ".join(f"coalesce({r.accept}, FALSE)" for r in RULES)
+_RULES = " AND ".join(f"coalesce({r.sql}, FALSE)" for r in RULES)
 
 OP5 = rf"""
 WITH d AS (
