@@ -17,7 +17,7 @@ Defined results: null and empty texts get the score of a text with zero counts;
 labelled more than once counts once, with its mean label rounded; null labels are not
 used; without labels every score is 0.5; a null id is held out (crc32 of the empty
 text); rows that repeat get equal scores; an empty table gives no rows.  Extra columns
-are ignored by :func:`quality_report`.
+of any name are ignored by :func:`quality_report` and returned by :func:`keep_good`.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow_text import hash_words, mix64, slices, words_of
-from .common import text_of
+from .common import row_columns, text_of, with_row
 
 FEATURES = ("log_words", "word_bytes", "upper", "digits", "symbols", "exclamations", "stops", "other_punctuation", "wide_bytes", "distinct_words", "repeated_neighbours", "repeated_pairs", "top_word", "repeated_lines", "line_words", "one_byte_words")
 
@@ -211,18 +211,26 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Addi
     return fit(got[list(FEATURES)].to_numpy(), got["_y"].to_numpy())
 
 
-def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
-    """``docs``, all columns, with quality_score added."""
+def _scored(docs: DataFrame, model: AdditiveModel) -> DataFrame:
+    """The whole input row as ``row``, and ``quality_score``."""
+    field = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(features(part.column("text"))), pa.float64())], [*part.schema.names, "quality_score"])
+            texts = pc.struct_field(batch.column("row"), field).cast(pa.string())
+            alone = pa.RecordBatch.from_arrays([texts, batch.column("row")], ["text", "row"])
+            for part in slices(alone):
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(model.score(features(part.column("text"))), pa.float64())], ["row", "quality_score"])
 
-    rows = docs.drop("quality_score")
+    rows = with_row(docs)
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("quality_score", T.DoubleType())]))
 
 
+def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
+    """``docs``, all columns, with quality_score added; it replaces a column of that name."""
+    return _scored(docs, model).select(*row_columns(docs, "quality_score"), "quality_score")
+
+
 THRESHOLD = 0.3
 
 
@@ -234,5 +242,5 @@ def quality_report(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> DataFrame:
     """The rows of ``docs``, all columns, that the classifier predicts to be good."""
-    scored = score(docs, train(docs, labels, sample_rows))
-    return scored.filter(F.col("quality_score") >= THRESHOLD).select(*docs.columns)
+    scored = _scored(docs, train(docs, labels, sample_rows))
+    return scored.filter(F.col("quality_score") >= THRESHOLD).select(*row_columns(docs))

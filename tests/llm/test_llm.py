@@ -214,7 +214,10 @@ def test_quality_rules(docs, empty):
     assert got(out.drop("kept")) == sorted(want, key=repr)
     assert out.filter("base_failed AND kept").count() == 0 and out.filter("kept").count() > 30
     assert got(quality_rules.judge(docs, tuple(reversed(quality_rules.RULES)))) == got(out)
-    assert quality_rules.judge(empty).count() == 0
+    assert quality_rules.judge(empty).count() == 0 and quality_rules.keep(empty).count() == 0
+    kept = quality_rules.keep(docs)
+    assert kept.columns == docs.columns
+    assert got(kept.select("doc_id")) == got(out.filter("kept").select("doc_id"))
 
 
 def test_line_dedup(docs, empty):
@@ -264,7 +267,7 @@ def test_sharding(docs, empty, tmp_path):
     want = sorted((repr(i), len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, *_ in ROWS)
     assert sorted((repr(None if x != x else int(x)), s, c) for x, s, c in zip(out["doc_id"], out["size"], out["text_crc32"])) == want
     assert got(sharding.shard_report(docs.repartition(5))) == got(sharding.shard_report(docs))
-    sharding.write_shards(docs.drop("size"), str(tmp_path / "shards"))
+    sharding.write_shards(docs, str(tmp_path / "shards"), rows_per_file=2)
     back = docs.sparkSession.read.parquet(str(tmp_path / "shards"))
     assert got(back.select("doc_id", "text")) == got(docs.select("doc_id", "text"))
     assert sharding.shard_report(empty).count() == 0
