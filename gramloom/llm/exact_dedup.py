@@ -89,7 +89,10 @@ def exact_index(docs: DataFrame, bucket_entries: int, scratch: Scratch) -> tuple
     entries = scratch.put(keys.groupBy("h").agg(F.count(F.lit(1)).alias("members")), "entries")
     directory = grow_directory(entries, bucket_entries, scratch)
     bits = directory.agg(F.max("bits")).first()[0] or 0
-    dealt = entries.withColumn("slot", _top_bits(F.col("h"), bits)).join(directory.select("slot", "bucket"), "slot").drop("slot")
+    if bits:
+        dealt = entries.withColumn("slot", _top_bits(F.col("h"), bits)).join(directory.select("slot", "bucket"), "slot").drop("slot")
+    else:
+        dealt = entries.withColumn("bucket", F.lit(0).cast("long"))  # never split
     index = scratch.put(dealt.repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h"), "index")
     scratch.drop("entries", "nodes", "leaves")
     chained = index.filter("members > 1").select("h")
@@ -98,7 +101,7 @@ def exact_index(docs: DataFrame, bucket_entries: int, scratch: Scratch) -> tuple
     return keys, scratch.put(chains, "chains")
 
 
-def exact_groups(docs: DataFrame, bucket_entries: int = 1 << 20) -> DataFrame:
+def exact_groups(docs: DataFrame, bucket_entries: int = 1 << 16) -> DataFrame:
     """One row per document: doc_id, n_code_points, text_sha256, keep_id, group_size, kept."""
     keys, chains = exact_index(docs, bucket_entries, Scratch(docs.sparkSession, "exact-dedup"))
     named = chains.select("h", "text_sha256", "group_size", _winner(F.col("best")).alias("keep_id"), F.floor(F.col("best") / F.lit(_ID_SPAN)).cast("long").alias("keep_length"))
@@ -108,7 +111,7 @@ def exact_groups(docs: DataFrame, bucket_entries: int = 1 << 20) -> DataFrame:
     return found.select("doc_id", "n_code_points", "text_sha256", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), kept.alias("kept"))
 
 
-def drop_exact_copies(docs: DataFrame, bucket_entries: int = 1 << 20) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, bucket_entries: int = 1 << 16) -> DataFrame:
     """The rows of ``docs``, all columns, less the copies: one row of each group stays.
 
     Rows that repeat the doc_id and text of the row that stays are cut to one as well.  Only
