@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and
 returns a DataFrame that is written as Parquet and read again as the next one's docs.
+
+Defined results: all stages but the last return the columns of ``docs``, whatever their
+names; null texts are read as empty.  ``classify`` gives repeated rows one verdict and
+judges null ids like others; ``exact`` and ``near`` keep one row of each group, also of rows
+that repeat id and text, prefer an id to a null one, and ``near`` keeps every row without
+words; ``mix`` treats a null source as one of its own; ``encode`` gives empty texts no
+ids.  Texts are worked on whole, and an empty table gives an empty one at every stage.
 """
 
 from __future__ import annotations
@@ -36,13 +43,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document in the mix: doc_id, source, n_tokens, ids, ids_crc32."""
-    coded = sentencepiece_codec.encode(docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")), PIECE_MODEL)
-    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "ids_crc32")
+    plain = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    coded = sentencepiece_codec.encode(plain, PIECE_MODEL, "n_tokens", "ids", "ids_crc32")
+    return coded.select("doc_id", "source", "n_tokens", "ids", "ids_crc32")
 
 
 STAGES = [("classify", classify), ("exact", exact), ("near", near), ("mix", mix), ("encode", encode)]
 
-#: The classifier and the encoder have no SQL form; tests use brute force instead.
+#: The classifier and the encoder have no SQL form; a test runs brute force beside the stages instead.
 ORACLE_SQL = None
 
 
