@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Texts are worked on in slices of about so many characters, whatever the batch.
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

@@ -39,7 +39,7 @@ FEATURES = ("log_words", "word_bytes", "upper", "digits", "symbols", "exclamatio
 
 
 def _class(chars: bytes) -> np.ndarray:
-    table = np.zeros(256, dtype=np.int64)
+    table = np.zeros(256, dtype=np.uint8)
     table[list(chars)] = 1
     return table
 
@@ -48,7 +48,7 @@ _CLASSES = [_class(bytes(range(65, 91))), _class(b"0123456789"), _class(b"#*$%&|
 
 
 def _per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(flags)])
+    total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
     return (total[bounds[1:]] - total[bounds[:-1]]).astype(float)
 
 

@@ -40,7 +40,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Characters that are encoded at once, and beyond which a text is cut.
-_AT_ONCE, _LONG = 1 << 18, 1 << 20
+_AT_ONCE, _LONG = 1 << 17, 1 << 20
 _BREAK = re.compile(f"[^{MARK}](?={MARK})")
 
 
@@ -242,7 +242,7 @@ def encode(docs: DataFrame, model_path: str, *want: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(data)
         for batch in batches:
-            for part in slices(batch, most=1 << 20):
+            for part in slices(batch):
                 ids, bounds = _encoded(c, part)
                 made = {"n_tokens": pa.array(np.diff(bounds), pa.int64())}
                 if "ids" in want:
