@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 MISSING_METHODS = ("fail", "zero", "convert")
 #: Up to so many levels, codes come from a literal array; beyond, from a join with the level table.
 LITERAL_LEVELS = 64
+#: Up to so many declared levels their table is broadcast (a few MB); Spark knows no size of a table made of a list.
+BROADCAST_LEVELS = 100_000
 
 
 @dataclass(frozen=True)
@@ -57,7 +59,11 @@ def clean(df: DataFrame, column: str) -> Column:
 def level_table(df: DataFrame, column: str) -> LevelTable:
     """Distinct values sorted by range and written; codes are positions in a part plus the parts' sizes before it."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-gramloom-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-gramloom-")
     path = f"{root.rstrip('/')}/levels-{uuid.uuid4().hex}"
     values = df.select(clean(df, column).alias("level")).filter("level IS NOT NULL").distinct()
     values.repartitionByRange("level").sortWithinPartitions("level").withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
@@ -81,7 +87,8 @@ def _unseen(df: DataFrame, column: str, declared: Sequence) -> list:
 
 
 def _declared(df: DataFrame, kind: T.DataType, levels: Sequence, level: str = "level", code: str = "code") -> DataFrame:
-    return df.sparkSession.createDataFrame([(x, i) for i, x in enumerate(levels)], T.StructType([T.StructField(level, kind), T.StructField(code, T.IntegerType())]))
+    table = df.sparkSession.createDataFrame([(x, i) for i, x in enumerate(levels)], T.StructType([T.StructField(level, kind), T.StructField(code, T.IntegerType())]))
+    return F.broadcast(table) if len(levels) <= BROADCAST_LEVELS else table
 
 
 def observe(df: DataFrame, columns: Sequence[str], declared: Mapping[str, Sequence | None] | None = None) -> dict[str, tuple[Sequence, bool]]:

@@ -47,6 +47,6 @@ class CooMatrix:
     def split_density(self, threshold: float = 0.1) -> DataFrame:
         """(j, is_dense) of every column, for any number of columns."""
         if not 0 <= threshold <= 1:
-            raise ValueError("Threshold must be between 0 and 1.")
+            raise ValueError(f"a share from 0 to 1 is needed, not {threshold}")
         every = self.df.sparkSession.range(self.n_columns).select(F.col("id").cast("int").alias("j"))
         return every.join(self.densities(), "j", "left").select("j", (F.coalesce("density", F.lit(0.0)) > threshold).alias("is_dense"))

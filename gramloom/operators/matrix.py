@@ -6,8 +6,9 @@ same DataFrame; column vectors are lists.  ``rows`` is a predicate, or a list of
 matvec (row id, value), transpose_matvec (j, value), sandwich (i, j, value).  Cells of a
 sandwich that no row touches are absent; :func:`to_numpy` reads them as 0.
 
-``exact=True`` adds up decimals of six places instead of doubles, so that sums do not
-depend on the order of rows.
+``exact=True`` rounds each term to six decimal places (a number: to so many) and adds up
+decimals instead of doubles, so that sums do not depend on the order of rows; terms need
+18 digits or fewer before the point.
 """
 
 from __future__ import annotations
@@ -27,13 +28,36 @@ from ..plans.catalog import DENSE, SPARSE, Block, Categorical, Numeric
 
 #: Up to so many numeric columns the Gram sums are unrolled into one aggregate; wider ones go through Arrow.
 UNROLLED = 12
+#: Up to so many rows a table made of a list is broadcast (a few MB); Spark knows no size of it.
+BROADCAST_ROWS = 100_000
 #: Up to so many levels a matvec looks the vector up in a literal array; beyond, it joins.
 LOOKUP = 64
 
 
 def total(term: Column, exact: bool) -> Column:
     """The sum of a term over rows; an empty input gives null."""
-    return F.sum(term.cast("decimal(24,6)")).cast("double") if exact else F.sum(term)
+    places = 6 if exact is True else int(exact)
+    return F.sum(term.cast(f"decimal({18 + places},{places})")).cast("double") if exact is not False else F.sum(term)
+
+
+def _ranges(numbers: Sequence[int]) -> list[tuple[int, int]]:
+    """Ascending numbers as ranges (first, last)."""
+    if isinstance(numbers, range) and numbers.step == 1:
+        return [(numbers[0], numbers[-1])] if len(numbers) else []
+    x = np.asarray(numbers)
+    cut = np.flatnonzero(np.diff(x) != 1)
+    return [(int(a), int(b)) for a, b in zip(x[np.r_[0, cut + 1]], x[np.r_[cut, len(x) - 1]])] if len(x) else []
+
+
+def _only(cells: DataFrame, column: str, numbers: Sequence[int], p: int) -> DataFrame:
+    """Cells whose ``column`` is among the ascending numbers: by ranges if they are few, else by a join."""
+    found = _ranges(numbers)
+    if found == [(0, p - 1)]:
+        return cells
+    if len(found) <= LOOKUP:
+        return cells.filter(reduce(lambda a, b: a | b, [F.col(column).between(a, b) for a, b in found], F.lit(False)))
+    wanted = cells.sparkSession.createDataFrame([(int(k),) for k in numbers], f"{column} int")
+    return cells.join(wanted, column, "left_semi")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -62,9 +86,16 @@ class DesignMatrix:
     blocks: tuple[Block, ...]
     row_id: str | None = None
     spec: object = None
+    #: The rows before codes of many levels were joined to them; sums are grouped by value on these.
+    base: DataFrame | None = None
 
     # -- shape and names -------------------------------------------------------
 
+    @property
+    def _rows(self) -> DataFrame:
+        """The rows for sums that need no joined code."""
+        return self.df if self.base is None else self.base
+
     @property
     def n_columns(self) -> int:
         return sum(b.width for b in self.blocks)
@@ -78,7 +109,7 @@ class DesignMatrix:
 
     def get_names(self, type: str = "column", missing_prefix: str | None = None) -> list[str | None]:
         if type not in ("column", "term"):
-            raise ValueError(f"Type must be 'column' or 'term', got {type}")
+            raise ValueError(f"type is 'column' or 'term', not {type!r}")
         out: list[str | None] = []
         for b, at in zip(self.blocks, self.offsets()):
             names = b.names() if type == "column" else b.terms()
@@ -97,11 +128,11 @@ class DesignMatrix:
     def set_names(self, names: Sequence[str | None] | str, type: str = "column") -> "DesignMatrix":
         """A matrix with other names: a full list, or one name per block."""
         if type not in ("column", "term"):
-            raise ValueError(f"Type must be 'column' or 'term', got {type}")
+            raise ValueError(f"type is 'column' or 'term', not {type!r}")
         names = [names] if isinstance(names, str) else list(names)
         per_block = len(names) == len(self.blocks) != self.n_columns
         if not per_block and len(names) != self.n_columns:
-            raise ValueError(f"Length of names must be {self.n_columns} or {len(self.blocks)}")
+            raise ValueError(f"{len(names)} names for {self.n_columns} columns in {len(self.blocks)} blocks")
         blocks, at = [], 0
         for k, b in enumerate(self.blocks):
             own = [names[k]] if per_block else names[at : at + b.width]
@@ -110,10 +141,12 @@ class DesignMatrix:
                 blocks.append(replace(b, term=own[0] if own else None))
             elif isinstance(b, Numeric):
                 blocks.append(replace(b, name=own[0]))
-            elif per_block or len(set(own)) == 1:
+            elif per_block or (len(own) > 1 and len(set(own)) == 1):
                 blocks.append(replace(b, name=own[0], column_names=None))
             else:
-                blocks.append(replace(b, column_names=tuple(own)))
+                # full names that follow the block's format say what its variable is called
+                name = b.variable_of(own)
+                blocks.append(replace(b, column_names=tuple(own)) if name is None else replace(b, name=name, column_names=None))
         return replace(self, blocks=tuple(blocks))
 
     def __repr__(self) -> str:
@@ -125,17 +158,36 @@ class DesignMatrix:
         """Rows by predicate (pushed to the scan) or by a set of row ids."""
         if rows is None:
             return self
+
+        def on_both(f) -> "DesignMatrix":
+            return replace(self, df=f(self.df), base=None if self.base is None else f(self.base))
+
         if isinstance(rows, (Column, str)):
-            return replace(self, df=self.df.filter(rows))
-        rows = list(dict.fromkeys(rows))
-        if not rows:
-            return replace(self, df=self.df.filter(F.lit(False)))
+            return on_both(lambda df: df.filter(rows))
+        if not isinstance(rows, slice):
+            rows = list(dict.fromkeys(rows))
+            if not rows:
+                return on_both(lambda df: df.filter(F.lit(False)))
         if self.row_id is None:
             raise ValueError("row numbers need a row_id")
+        number = F.col(self.row_id)
+        if isinstance(rows, slice):
+            # row ids run over 0 .. n - 1 here; n is counted only where the slice needs it
+            plain = all(x is None or x >= 0 for x in (rows.start, rows.stop, rows.step))
+            if plain and rows.step != 0:
+                start, step = rows.start or 0, rows.step or 1
+                inside = (number >= start) & (F.pmod(number - start, F.lit(step)) == 0)
+                return on_both(lambda df: df.filter(inside if rows.stop is None else inside & (number < rows.stop)))
+            return self.filter(range(self.df.count())[rows])
+        if any(r < 0 for r in rows):
+            n = self.df.count()
+            if any(not -n <= r < n for r in rows):
+                raise IndexError(f"row index out of range for {n} rows")
+            rows = [r % n for r in rows]
         if len(rows) <= 1000:
-            return replace(self, df=self.df.filter(F.col(self.row_id).isin(rows)))
+            return on_both(lambda df: df.filter(number.isin(rows)))
         ids = self.df.sparkSession.createDataFrame([(r,) for r in rows], f"{self.row_id} long")
-        return replace(self, df=self.df.join(ids, self.row_id, "left_semi"))
+        return on_both(lambda df: df.join(ids, self.row_id, "left_semi"))
 
     def _check_cols(self, cols: Sequence[int] | None) -> Sequence[int]:
         p = self.n_columns
@@ -150,7 +202,7 @@ class DesignMatrix:
         (i,) = self._check_cols([i])
         for b, at in zip(self.blocks, self.offsets()):
             if at <= i < at + b.width:
-                return replace(self, blocks=(b if isinstance(b, Numeric) else b.column(i - at),))
+                return replace(self, blocks=(b,)) if isinstance(b, Numeric) else replace(self, blocks=(b.column(i - at),), base=None)
         raise IndexError(i)
 
     def select(self, cols: Sequence[int] | None) -> "DesignMatrix":
@@ -167,13 +219,17 @@ class DesignMatrix:
             else:
                 out += self.getcol(cols[k]).blocks
                 k += 1
-        return replace(self, blocks=tuple(out))
+        # an indicator column needs its block's code beside it
+        own = set(map(id, self.blocks))
+        return replace(self, blocks=tuple(out), base=self.base if all(id(b) in own for b in out) else None)
 
     def __getitem__(self, key) -> "DesignMatrix":
         rows, cols = key if isinstance(key, tuple) else (key, None)
         if isinstance(key, tuple) and len(key) > 2:
             raise ValueError("more than two indexers")
         rows = [rows] if isinstance(rows, int) else None if isinstance(rows, slice) and rows == slice(None) else rows
+        if isinstance(rows, np.ndarray) and rows.dtype == bool or isinstance(rows, list) and rows and all(isinstance(r, bool) for r in rows):
+            rows = [int(r) for r in np.flatnonzero(rows)]
         if isinstance(cols, int):
             cols = [cols]
         elif isinstance(cols, slice):
@@ -243,8 +299,9 @@ class DesignMatrix:
             elif any(own):
                 if b.width <= LOOKUP:
                     hit = F.get(F.array(*[F.lit(x) for x in own]), b.position)
-                else:  # Spark broadcasts the vector where its size allows
+                else:
                     table = df.sparkSession.createDataFrame([(i, x) for i, x in enumerate(own) if x], f"_k{k} int, _v{k} double")
+                    table = F.broadcast(table) if len(own) <= BROADCAST_ROWS else table
                     df, hit = df.join(table, b.position == F.col(f"_k{k}"), "left"), F.col(f"_v{k}")
                 terms.append(F.coalesce(hit if b.multiplier is None else hit * b.weight, F.lit(0.0)))
         value = reduce(lambda a, b: a + b, terms) if terms else F.lit(0.0)
@@ -262,9 +319,10 @@ class DesignMatrix:
         at = m.offsets()
         numeric = [(b, a) for b, a in zip(m.blocks, at) if isinstance(b, Numeric) and a in on]
         cats = [(b, a) for b, a in zip(m.blocks, at) if isinstance(b, Categorical) and bisect_left(on, a) < bisect_left(on, a + b.width)]
-        parts = []
+        parts = [m._sums_by_value(b, a, v, on, exact) for b, a in cats if m._by_value(b)]
+        cats = [(b, a) for b, a in cats if not m._by_value(b)]
         if numeric:
-            sums = m.df.agg(*[total(b.value * v, exact).alias(f"s{a}") for b, a in numeric])
+            sums = m._rows.agg(*[total(b.value * v, exact).alias(f"s{a}") for b, a in numeric])
             parts.append(sums.select(F.explode(F.array(*[F.struct(F.lit(a).alias("j"), F.col(f"s{a}").alias("value")) for _, a in numeric])).alias("e")).select("e.j", F.coalesce("e.value", F.lit(0.0)).alias("value")))
         if cats:
             each = F.array(*[F.struct((b.position + a).cast("int").alias("j"), (v if b.multiplier is None else v * b.weight).alias("x")) for b, a in cats])
@@ -275,37 +333,58 @@ class DesignMatrix:
             return m.df.sparkSession.createDataFrame([], "j int, value double")
         return _union(parts)
 
+    def _by_value(self, b: Block) -> bool:
+        """Whether sums over a block of many levels are grouped by its value, and codes joined to the sums alone."""
+        return isinstance(b, Categorical) and isinstance(b.levels, LevelTable) and b.source is not None and self.base is not None
+
+    def _sums_by_value(self, b: Categorical, at: int, v: Column, on: Sequence[int], exact: bool) -> DataFrame:
+        """(j, value) of one block: rows are summed by value in map tasks, then meet the level table."""
+        term = v if b.multiplier is None else v * b.weight
+        sums = self.base.groupBy(b.source.alias("_value")).agg(total(term, exact).alias("value"))
+        table = b.levels.df.select("level", (F.col("code") + at - int(b.drop_first)).alias("j")).filter(F.col("j") >= at)
+        found = table.join(sums, F.col("level") == F.col("_value"), "left").select("j", F.coalesce("value", F.lit(0.0)).alias("value"))
+        if b.levels.extra:
+            missing = sums.filter("_value IS NULL").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))
+            found = found.unionAll(missing.select(F.lit(at + b.width - 1).alias("j"), "value"))
+        own = on[bisect_left(on, at) : bisect_left(on, at + b.width)]
+        return found if len(own) == b.width else _only(found, "j", own, self.n_columns)
+
     def sandwich(self, d: Column | str, rows=None, cols: Sequence[int] | None = None, exact: bool = False) -> DataFrame:
         """X[rows, cols].T @ diag(d[rows]) @ X[rows, cols] as (i, j, value), both triangles.
 
         Numeric cells are one aggregate (or Arrow partial sums when there are many
-        columns); cells with a categorical are groupings of its codes, all in one pass.
+        columns); cells with a categorical are groupings of its codes, or of its values where
+        it has many, all in one pass.  Of a categorical in ``cols`` in part, cells of the
+        other levels are dropped by their numbers; it is never unrolled.
         """
-        d = F.col(d) if isinstance(d, str) else d
         on = self._check_cols(cols)
         on = on if cols is None else sorted(set(on))
-        m = self.filter(rows).select(None if cols is None else on)
-        upper = m._cells(d, exact)
-        if cols is not None and on != list(range(self.n_columns)):
-            back = F.array(*[F.lit(k) for k in on]) if on else F.array(F.lit(0))
-            upper = upper.select(F.get(back, F.col("i")).alias("i"), F.get(back, F.col("j")).alias("j"), "value")
-        both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
-        return upper.select(F.explode(both).alias("e"), "value").select("e.i", "e.j", "value")
+        upper = self.filter(rows)._cells(F.col(d) if isinstance(d, str) else d, exact, on, on)
+        upper = _only(_only(upper, "i", on, self.n_columns), "j", on, self.n_columns)
+        return _both_triangles(upper)
 
     def cross_sandwich(self, d: Column | str, left: Sequence[int], right: Sequence[int], rows=None, exact: bool = False) -> DataFrame:
-        """X[rows, left].T @ diag(d[rows]) @ X[rows, right] as (i, j, value), numbered in X."""
-        left, right = set(self._check_cols(left)), set(self._check_cols(right))
-        cells = self.sandwich(d, rows, sorted(left | right), exact)
-        return cells.filter(F.col("i").isin(sorted(left)) & F.col("j").isin(sorted(right)))
-
-    def _cells(self, d: Column, exact: bool) -> DataFrame:
-        """Cells i <= j of the whole matrix."""
-        at = self.offsets()
-        numeric = [(b, a) for b, a in zip(self.blocks, at) if isinstance(b, Numeric)]
-        cats = [(b, a) for b, a in zip(self.blocks, at) if isinstance(b, Categorical) and b.width]
-        parts = [_gram(self.df, numeric, d, exact)] if numeric else []
-        if cats:
-            parts += _grouped(self.df, numeric, cats, d, exact)
+        """X[rows, left].T @ diag(d[rows]) @ X[rows, right] as (i, j, value), numbered in X.
+
+        Only blocks that cross are summed.
+        """
+        left, right = sorted(set(self._check_cols(left))), sorted(set(self._check_cols(right)))
+        cells = self.filter(rows)._cells(F.col(d) if isinstance(d, str) else d, exact, left, right)
+        both = _both_triangles(cells)
+        return _only(_only(both, "i", left, self.n_columns), "j", right, self.n_columns)
+
+    def _cells(self, d: Column, exact: bool, left: Sequence[int], right: Sequence[int]) -> DataFrame:
+        """Cells i <= j that rows ``left`` and columns ``right`` of the result need, and some more of their blocks."""
+        inside = lambda on, b, a: bisect_left(on, a) < bisect_left(on, a + b.width)
+        placed = [(b, a, inside(left, b, a), inside(right, b, a)) for b, a in zip(self.blocks, self.offsets()) if b.width]
+        placed = [x for x in placed if x[2] or x[3]]
+        crosses = lambda x, y: x[2] and y[3] or x[3] and y[2]
+        numeric = [x for x in placed if isinstance(x[0], Numeric)]
+        cats = [x for x in placed if isinstance(x[0], Categorical)]
+        pairs = [(x, y) for k, x in enumerate(numeric) for y in numeric[k:] if crosses(x, y)]
+        parts = [_gram(self._rows, pairs, d, exact)] if pairs else []
+        if any(crosses(x, y) for x in cats for y in placed):
+            parts.append(_grouped(self, numeric, cats, crosses, d, exact))
         if not parts:
             return self.df.sparkSession.createDataFrame([], "i int, j int, value double")
         return _union(parts)
@@ -313,7 +392,7 @@ class DesignMatrix:
     def col_means(self, weights: Column | str, exact: bool = False) -> DataFrame:
         """(j, value): means by weights, which need not sum to 1."""
         w = F.col(weights) if isinstance(weights, str) else weights
-        whole = self.df.agg(total(w, exact).alias("w")).first()["w"]
+        whole = self._rows.agg(total(w, exact).alias("w")).first()["w"]
         if not whole:
             raise ValueError("weights sum to 0")
         return self.transpose_matvec(w, exact=exact).select("j", (F.col("value") / F.lit(float(whole))).alias("value"))
@@ -350,32 +429,54 @@ class DesignMatrix:
         shift = -means if mult is None else -means * mult
         return StandardizedView(self, shift, mult), means, stds
 
-    def __matmul__(self, v: Sequence[float]) -> DataFrame:
-        return self.matvec(v)
+    def matmul(self, v: np.ndarray, cols: Sequence[int] | None = None) -> DataFrame:
+        """X @ V for V of one row per column of X: (row id, k, value), k the column of V."""
+        v = np.asarray(v, dtype=float)
+        if v.ndim != 2 or len(v) != self.n_columns:
+            raise ValueError(f"shapes not aligned: {self.n_columns} columns, operand {v.shape}")
+        return _union([self.matvec(list(v[:, k]), cols).withColumn("k", F.lit(k)) for k in range(v.shape[1])]).select(*["row_id"] * bool(self.row_id), "k", "value")
+
+    def transpose_matmul(self, v: Sequence[Column | str], rows=None, cols: Sequence[int] | None = None, exact: bool = False) -> DataFrame:
+        """X.T @ V for several row vectors: (j, k, value), k the place of the vector."""
+        return _union([self.transpose_matvec(x, rows, cols, exact).withColumn("k", F.lit(k)) for k, x in enumerate(v)]).select("j", "k", "value")
+
+    def __matmul__(self, v) -> DataFrame:
+        return self.matmul(v) if np.ndim(v) == 2 else self.matvec(v)
+
+    def __rmatmul__(self, v) -> DataFrame:
+        """v @ X; v is a row vector (a column or expression), or a list of them."""
+        return self.transpose_matmul(v) if isinstance(v, (list, tuple)) else self.transpose_matvec(v)
 
     def densities(self) -> dict[int, float]:
         """Share of non-zero entries of every numeric column; a null counts as non-zero."""
         numeric = [(b, a) for b, a in zip(self.blocks, self.offsets()) if isinstance(b, Numeric)]
         if not numeric:
             return {}
-        row = self.df.agg(*[F.avg(F.coalesce(b.value != 0, F.lit(True)).cast("double")).alias(f"s{a}") for b, a in numeric]).first()
+        row = self._rows.agg(*[F.avg(F.coalesce(b.value != 0, F.lit(True)).cast("double")).alias(f"s{a}") for b, a in numeric]).first()
         return {a: row[f"s{a}"] or 0.0 for _, a in numeric}
 
     def split_density(self, threshold: float = 0.1) -> "DesignMatrix":
         """Numeric columns marked dense where more than ``threshold`` of their entries are not zero."""
         if not 0 <= threshold <= 1:
-            raise ValueError("Threshold must be between 0 and 1.")
+            raise ValueError(f"a share from 0 to 1 is needed, not {threshold}")
         share = self.densities()
         return replace(self, blocks=tuple(replace(b, kind=DENSE if share[a] > threshold else SPARSE) if isinstance(b, Numeric) else b for b, a in zip(self.blocks, self.offsets())))
 
 
-def _gram(df: DataFrame, numeric: list[tuple[Numeric, int]], d: Column, exact: bool) -> DataFrame:
+def _both_triangles(upper: DataFrame) -> DataFrame:
+    turned = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(turned)
+    return upper.select(F.explode(both).alias("e"), "value").select("e.i", "e.j", "value")
+
+
+def _gram(df: DataFrame, pairs: list, d: Column, exact: bool) -> DataFrame:
+    """Cells of pairs of numeric columns."""
+    numeric = list({x[1]: x for p in pairs for x in p}.values())
     if len(numeric) <= UNROLLED or exact:
-        pairs = [(a, b, x, y) for k, (x, a) in enumerate(numeric) for y, b in numeric[k:]]
-        sums = df.agg(*[total(d * x.value * y.value, exact).alias(f"g{a}_{b}") for a, b, x, y in pairs])
-        cells = [F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.coalesce(F.col(f"g{a}_{b}"), F.lit(0.0)).alias("value")) for a, b, *_ in pairs]
+        sums = df.agg(*[total(d * x[0].value * y[0].value, exact).alias(f"g{x[1]}_{y[1]}") for x, y in pairs])
+        cells = [F.struct(F.lit(x[1]).alias("i"), F.lit(y[1]).alias("j"), F.coalesce(F.col(f"g{x[1]}_{y[1]}"), F.lit(0.0)).alias("value")) for x, y in pairs]
         return sums.select(F.explode(F.array(*cells)).alias("e")).select("e.i", "e.j", "e.value")
-    k, at = len(numeric), np.array([a for _, a in numeric], dtype=np.int32)
+    k, at = len(numeric), np.array([x[1] for x in numeric], dtype=np.int32)
     i, j = np.triu_indices(k)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,56 +484,59 @@ def _gram(df: DataFrame, numeric: list[tuple[Numeric, int]], d: Column, exact: b
         for batch in batches:
             x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(k)])
             gram += x.T @ (x * batch.column(k).to_numpy(zero_copy_only=False)[:, None])
-        yield pa.RecordBatch.from_arrays([pa.array(at[i]), pa.array(at[j]), pa.array(gram[i, j])], ["i", "j", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(at[i], at[j])), pa.array(np.maximum(at[i], at[j])), pa.array(gram[i, j])], ["i", "j", "value"])
 
-    wide = df.select(*[b.value.cast("double").alias(f"x{a}") for b, a in numeric], d.cast("double").alias("d"))
+    wide = df.select(*[x[0].value.cast("double").alias(f"x{x[1]}") for x in numeric], d.cast("double").alias("d"))
     return wide.mapInArrow(partial, "i int, j int, value double").groupBy("i", "j").agg(F.sum("value").alias("value"))
 
 
-def _grouped(df: DataFrame, numeric: list[tuple[Numeric, int]], cats: list[tuple[Categorical, int]], d: Column, exact: bool) -> list[DataFrame]:
-    """Cells with at least one categorical: groupings by one code and by pairs of codes.
+def _grouped(m: DesignMatrix, numeric: list, cats: list, crosses, d: Column, exact: bool) -> DataFrame:
+    """Cells with at least one categorical: groupings by one code and by pairs of codes, in one pass (GROUPING SETS).
 
-    Without multipliers all groupings share one pass (GROUPING SETS).  Pairs stay in long
-    form: only combinations that occur become rows.
+    A block of many levels is grouped by its value, and its code is joined to the sums; then
+    no row of the data is shuffled before it is summed.  Pairs stay in long form: only
+    combinations that occur become rows.
     """
-    base = df.select(*[(b.position + a).cast("int").alias(f"c{k}") for k, (b, a) in enumerate(cats)], *[b.weight.alias(f"m{k}") for k, (b, _) in enumerate(cats)], *[b.value.alias(f"x{a}") for b, a in numeric], d.alias("d"))
-    n, out = len(cats), []
-    ones = [(k,) for k in range(n)]
-    pairs = [(k, h) for k in range(n) for h in range(k + 1, n)]
-
-    def single(rows: DataFrame, k: int) -> DataFrame:
-        c = F.col(f"c{k}")
-        cells = [F.struct(c.alias("i"), c.alias("j"), F.col("s").alias("value"))]
-        cells += [F.struct(F.least(c, F.lit(a)).alias("i"), F.greatest(c, F.lit(a)).alias("j"), F.col(f"s{a}").alias("value")) for _, a in numeric]
-        # missing rows go first: least() and greatest() would skip their null
-        return rows.filter(c.isNotNull()).select(F.explode(F.array(*cells)).alias("e")).select("e.i", "e.j", "e.value")
-
-    if all(b.multiplier is None for b, _ in cats):
-        keys = [F.col(f"c{k}") for k in range(n)]
-        sums = base.groupingSets([[keys[k] for k in s] for s in ones + pairs], *keys).agg(F.grouping_id(*keys).alias("set"), total(F.col("d"), exact).alias("s"), *[total(F.col("d") * F.col(f"x{a}"), exact).alias(f"s{a}") for _, a in numeric])
-        # one scan: each grouping's row carries its cells; nulls of a present key are missing rows
-        number = lambda s: sum(1 << (n - 1 - k) for k in range(n) if k not in s)
-        cells = None
-        for s in ones + pairs:
-            here = [F.col(f"c{k}") for k in s]
-            own = [F.struct(here[0].alias("i"), here[-1].alias("j"), F.col("s").alias("value"))]
-            if len(s) == 1:
-                own += [F.struct(F.least(here[0], F.lit(a)).alias("i"), F.greatest(here[0], F.lit(a)).alias("j"), F.col(f"s{a}").alias("value")) for _, a in numeric]
-            whole = reduce(lambda p, q: p & q, [c.isNotNull() for c in here])
-            chosen = (F.col("set") == number(s)) & whole
-            cells = F.when(chosen, F.array(*own)) if cells is None else cells.when(chosen, F.array(*own))
-        return [sums.select(F.explode(cells).alias("e")).select("e.i", "e.j", "e.value")]
-    for (k,) in ones:
-        m = F.col(f"m{k}")
-        out.append(single(base.groupBy(f"c{k}").agg(total(F.col("d") * m * m, exact).alias("s"), *[total(F.col("d") * m * F.col(f"x{a}"), exact).alias(f"s{a}") for _, a in numeric]), k))
-    for k, h in pairs:
-        sums = base.groupBy(f"c{k}", f"c{h}").agg(total(F.col("d") * F.col(f"m{k}") * F.col(f"m{h}"), exact).alias("value"))
-        out.append(sums.select(F.col(f"c{k}").alias("i"), F.col(f"c{h}").alias("j"), "value").filter("i IS NOT NULL AND j IS NOT NULL"))
-    return out
+    n = len(cats)
+    by_value = [m._by_value(b) for b, *_ in cats]
+    source = m.base if m.base is not None and all(v or not isinstance(b.levels, LevelTable) for v, (b, *_) in zip(by_value, cats)) else m.df
+    by_value = [v and source is m.base for v in by_value]
+    keys = [F.col(f"c{k}") for k in range(n)]
+    own = [(b.source if v else (b.position + a).cast("int")).alias(f"c{k}") for k, (v, (b, a, *_)) in enumerate(zip(by_value, cats))]
+    base = source.select(*own, *[b.multiplier.alias(f"m{k}") for k, (b, *_) in enumerate(cats) if b.multiplier is not None], *[x[0].value.alias(f"x{x[1]}") for x in numeric], d.alias("d"))
+
+    def times(*blocks: int) -> Column:
+        return reduce(lambda p, k: p * F.col(f"m{k}") if cats[k][0].multiplier is not None else p, blocks, F.col("d"))
+
+    ones = [(k,) for k in range(n) if any(crosses(cats[k], y) for y in [cats[k], *numeric])]
+    pairs = [(k, h) for k in range(n) for h in range(k + 1, n) if crosses(cats[k], cats[h])]
+    plain = all(b.multiplier is None for b, *_ in cats)
+    sums = {"s": total(F.col("d"), exact)} if plain else {f"s{'_'.join(map(str, s))}": total(times(s[0], s[-1]), exact) for s in ones + pairs}
+    met = [(k, x[1]) for (k,) in ones for x in numeric if crosses(cats[k], x)]
+    sums |= {f"x{a}" if plain else f"x{k}_{a}": total(times(k) * F.col(f"x{a}"), exact) for k, a in met}
+    grouped = base.groupingSets([[keys[k] for k in s] for s in ones + pairs], *keys).agg(F.grouping_id(*keys).alias("set"), *[v.alias(f"t_{k}") for k, v in sums.items()])
+    for k, (b, a, *_) in enumerate(cats):
+        if by_value[k]:
+            table = b.levels.df.select(F.col("level").alias(f"l{k}"), F.col("code").alias(f"n{k}"))
+            grouped = grouped.join(table, F.col(f"c{k}") == F.col(f"l{k}"), "left")
+            code = F.col(f"n{k}") if not b.levels.extra else F.when(F.col(f"c{k}").isNull(), F.lit(b.levels.known)).otherwise(F.col(f"n{k}"))
+            code = F.when(code >= 1, code - 1) if b.drop_first else code
+            grouped = grouped.withColumn(f"c{k}", (code + a).cast("int")).drop(f"l{k}", f"n{k}")
+    # each grouping's row carries its cells; nulls of a present key are missing rows
+    number = lambda s: sum(1 << (n - 1 - k) for k in range(n) if k not in s)
+    cells = None
+    for s in ones + pairs:
+        here = [F.col(f"c{k}") for k in s]
+        made = [F.struct(F.least(here[0], here[-1]).alias("i"), F.greatest(here[0], here[-1]).alias("j"), F.col("t_s" if plain else f"t_s{'_'.join(map(str, s))}").alias("value"))]
+        if len(s) == 1:
+            made += [F.struct(F.least(here[0], F.lit(a)).alias("i"), F.greatest(here[0], F.lit(a)).alias("j"), F.col(f"t_x{a}" if plain else f"t_x{k}_{a}").alias("value")) for k, a in met if k == s[0]]
+        chosen = (F.col("set") == number(s)) & reduce(lambda p, q: p & q, [c.isNotNull() for c in here])
+        cells = F.when(chosen, F.array(*made)) if cells is None else cells.when(chosen, F.array(*made))
+    return grouped.select(F.explode(cells).alias("e")).select("e.i", "e.j", "e.value")
 
 
 def hstack(matrices: Sequence[DesignMatrix]) -> DesignMatrix:
-    """Blocks side by side; matrices over different DataFrames are joined on their row ids."""
+    """Blocks side by side; matrices over different DataFrames are joined on their row ids, which must be the same."""
     if not matrices:
         raise ValueError("Need at least one matrix to concatenate.")
     first = matrices[0]
@@ -451,9 +555,13 @@ def hstack(matrices: Sequence[DesignMatrix]) -> DesignMatrix:
             else:
                 own += [b.code.alias(f"_h{k}_{i}"), b.weight.alias(f"_w{k}_{i}")]
                 new.append(replace(b, code=F.col(f"_h{k}_{i}"), source=None, multiplier=None if b.multiplier is None else F.col(f"_w{k}_{i}")))
-        df = df.join(m.df.select(*own), F.col(first.row_id) == F.col(f"_row{k}")).drop(f"_row{k}")
+        theirs = m.df.select(*own)
+        pairs = df.select(F.col(first.row_id).alias("_a")).join(theirs.select(F.col(f"_row{k}").alias("_b")), F.col("_a") == F.col("_b"), "full")
+        if pairs.filter("_a IS NULL OR _b IS NULL").limit(1).count():
+            raise ValueError(f"matrix {k} has other rows than the first one")
+        df = df.join(theirs, F.col(first.row_id) == F.col(f"_row{k}")).drop(f"_row{k}")
         blocks += new
-    return replace(first, df=df, blocks=tuple(blocks), spec=None)
+    return replace(first, df=df, blocks=tuple(blocks), spec=None, base=first.base if df is first.df else None)
 
 
 def accumulate(*results: DataFrame, exact: bool = False) -> DataFrame:

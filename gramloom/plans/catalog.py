@@ -88,6 +88,19 @@ class Categorical:
     def scaled(self, by: Column) -> "Categorical":
         return replace(self, multiplier=by if self.multiplier is None else self.multiplier * by)
 
+    def variable_of(self, names: Sequence[str | None]) -> str | None:
+        """The variable's name if these are its columns' names in the block's format, else None."""
+        if None in names or not names or "{name}" not in self.form:
+            return None
+        category = self.levels[int(self.drop_first)]
+        before, after = (x.format(category=category) for x in self.form.split("{name}", 1))
+        first = names[0]
+        if not (first.startswith(before) and first.endswith(after) and len(first) >= len(before) + len(after)):
+            return None
+        name = first[len(before) : len(first) - len(after)]
+        made = [self.form.format(name=name, category=c) for c in self.levels[int(self.drop_first) :]]
+        return name if made == list(names) else None
+
     def column(self, k: int) -> Numeric:
         """Its k-th indicator column, as a numeric block."""
         value = F.when(self.position == k, self.weight).otherwise(F.lit(0.0))

@@ -260,11 +260,62 @@ def cross_cat_cat(spark, sf_dir):
 
 @query(f"SELECT (p.k - 1)::INTEGER AS i, ((SELECT count(DISTINCT l_partkey) FROM lineitem) + s.k - 1)::INTEGER AS j, value FROM (SELECT l_partkey, l_suppkey, {S(D)} AS value FROM lineitem GROUP BY 1, 2) g JOIN (SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) AS k FROM (SELECT DISTINCT l_partkey FROM lineitem)) p USING (l_partkey) JOIN (SELECT l_suppkey, row_number() OVER (ORDER BY l_suppkey) AS k FROM (SELECT DISTINCT l_suppkey FROM lineitem)) s USING (l_suppkey)")
 def cross_cat_cat_sparse(spark, sf_dir):
+    m = _parts_and_suppliers(spark, sf_dir)
+    cut = m.blocks[0].width
+    return m.cross_sandwich(D, range(cut), range(cut, m.n_columns), exact=True)
+
+
+def _parts_and_suppliers(spark, sf_dir) -> DesignMatrix:
     a = single_categorical(lineitem(spark, sf_dir), "l_partkey")
     b = single_categorical(a.df, "l_suppkey")
-    m = DesignMatrix(b.df, a.blocks + b.blocks)
-    cut = a.n_columns
-    return m.sandwich(D, exact=True).filter((F.col("i") < cut) & (F.col("j") >= cut))
+    return DesignMatrix(b.df, a.blocks + b.blocks, base=a.base)
+
+
+_RANKED_PARTS = "(SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) - 1 AS k FROM (SELECT DISTINCT l_partkey FROM lineitem))"
+
+
+@query(f"SELECT k::INTEGER AS i, k::INTEGER AS j, {S(D)} AS value FROM lineitem JOIN {_RANKED_PARTS} USING (l_partkey) GROUP BY k")
+def cat_sandwich_high_card(spark, sf_dir):
+    return single_categorical(lineitem(spark, sf_dir), "l_partkey").sandwich(D, exact=True)
+
+
+@query(f"WITH p AS {_RANKED_PARTS}, x AS (SELECT k + 1 AS k, l_discount, {D} FROM lineitem JOIN p USING (l_partkey) WHERE k > 0) SELECT i::INTEGER AS i, j::INTEGER AS j, value FROM (SELECT 0 AS i, 0 AS j, {S(f'{D} * l_discount * l_discount')} AS value FROM lineitem UNION ALL SELECT k, k, {S(D)} FROM x GROUP BY k UNION ALL SELECT 0, k, {S(f'{D} * l_discount')} FROM x GROUP BY k UNION ALL SELECT k, 0, {S(f'{D} * l_discount')} FROM x GROUP BY k)")
+def sandwich_active_cols(spark, sf_dir):
+    """All columns of discount and parts but the first part's."""
+    c = single_categorical(lineitem(spark, sf_dir), "l_partkey")
+    m = DesignMatrix(c.df, (*dense(c.df, NUM[:1]).blocks, *c.blocks), base=c.base)
+    return m.sandwich(D, cols=[0, *range(2, m.n_columns)], exact=True)
+
+
+@query(f"SELECT j, k::INTEGER AS k, value FROM (SELECT j, 0 AS k, value FROM ({rmatvec_sql(NUM_SQL, SPLIT_CATS, D, 'lineitem')}) UNION ALL SELECT j, 1, value FROM ({rmatvec_sql(NUM_SQL, SPLIT_CATS, '(l_quantity * l_quantity)', 'lineitem')}))")
+def split_rmatmul(spark, sf_dir):
+    return split(spark, sf_dir).transpose_matmul([D, F.col(D) * F.col(D)], exact=True)
+
+
+@query("SELECT o_orderkey AS row_id, k::INTEGER AS k, o_totalprice * a + o_custkey::DOUBLE * b AS value FROM orders CROSS JOIN (SELECT 0 AS k, 0.5::DOUBLE AS a, (-2.0)::DOUBLE AS b UNION ALL SELECT 1, 1.0, 4.0)")
+def dense_matmul(spark, sf_dir):
+    return dense(table(spark, sf_dir, "orders"), ["o_totalprice", "o_custkey"], "o_orderkey") @ [[0.5, 1.0], [-2.0, 4.0]]
+
+
+def _rounded(sql: str) -> str:
+    """The same sums in doubles, as few digits as any order of adding agrees on."""
+    return f"SELECT * REPLACE (round(value, 1) AS value) FROM ({sql.replace('::DECIMAL(24,6)', '')})"
+
+
+@query(_rounded(cells_sql(NUM_SQL, [CODE_FLAG, CODE_STATUS], D, "lineitem")))
+def split_sandwich_double(spark, sf_dir):
+    return split(spark, sf_dir).sandwich(D).withColumn("value", F.round("value", 1))
+
+
+@query(_rounded(rmatvec_sql(NUM_SQL, SPLIT_CATS, D, "lineitem")))
+def split_rmatvec_double(spark, sf_dir):
+    return split(spark, sf_dir).transpose_matvec(D).withColumn("value", F.round("value", 1))
+
+
+@query(_rounded(cells_sql({}, [code_sql("l_returnflag", FLAGS, 0)], "(l_quantity * l_tax * l_tax)", "lineitem")))
+def cat_sandwich_scaled(spark, sf_dir):
+    """Rows times tax: a categorical with a multiplier."""
+    return single_categorical(lineitem(spark, sf_dir), "l_returnflag").multiply("l_tax").sandwich(D).withColumn("value", F.round("value", 1))
 
 
 @query(_cross("i BETWEEN 2 AND 4", "j <= 1"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.levels import clean, observe, resolve, with_code
+from ..functions.levels import LITERAL_LEVELS, clean, observe, resolve, with_code
 from ..operators.coo import CooMatrix
 from ..operators.matrix import DesignMatrix
 from ..plans.catalog import DENSE, SPARSE, Categorical, Numeric
@@ -30,9 +30,10 @@ def single_categorical(df: DataFrame, column: str, levels: Sequence | None = Non
     """One categorical variable; ``levels`` declares them in order, also unused ones."""
     seen, missing = observe(df, [column], {column: levels})[column]
     all_levels, last = resolve(column, seen, missing, levels, cat_missing_method, cat_missing_name)
-    df, code = with_code(df, clean(df, column), all_levels, last, column)
+    base, value = df, clean(df, column)
+    df, code = with_code(df, value, all_levels, last, column)
     name = column if name is None else name
-    return DesignMatrix(df, (Categorical(code, all_levels, name, term or name, drop_first, None, categorical_format, None, F.col(f"`{column}`")),), row_id)
+    return DesignMatrix(df, (Categorical(code, all_levels, name, term or name, drop_first, None, categorical_format, None, value),), row_id, base=base)
 
 
 def from_df(
@@ -68,10 +69,10 @@ def from_df(
         elif isinstance(f.dataType, (T.NumericType, T.BooleanType)):
             routes.append((f.name, "num"))
         else:
-            warnings.warn(f"Column {f.name} with type {f.dataType.simpleString()} is ignored", stacklevel=2)
+            warnings.warn(f"left out: column {f.name}, of type {f.dataType.simpleString()}", stacklevel=2)
     if not routes:
-        raise ValueError("DataFrame contained no valid column")
-    observed = observe(df, [c for c, r in routes if r == "cat"], levels)
+        raise ValueError("no column of the DataFrame can be used")
+    observed, base = observe(df, [c for c, r in routes if r == "cat"], levels), df
     placed: list = []
     later: list = []
     for c, route in routes:
@@ -79,15 +80,17 @@ def from_df(
             placed.append(Numeric(F.col(f"`{c}`").cast("double"), c, c))
             continue
         found, last = resolve(c, *observed[c], levels.get(c), cat_missing_method, cat_missing_name)
-        df, code = with_code(df, clean(df, c), found, last, c)
-        block = Categorical(code, found, c, c, drop_first, None, categorical_format, None, F.col(f"`{c}`"))
+        value = clean(base, c)
+        df, code = with_code(df, value, found, last, c)
+        block = Categorical(code, found, c, c, drop_first, None, categorical_format, None, value)
         if len(found) < cat_threshold:
             placed += [block.column(k) for k in range(block.width)]
         elif cat_position == "end":
             later.append(block)
         else:
             placed.append(block)
-    return DesignMatrix(df, tuple(b for b in placed + later if b.width), row_id).split_density(sparse_threshold)
+    # indicator columns of many levels need the joined code
+    return DesignMatrix(df, tuple(b for b in placed + later if b.width), row_id, base=base if cat_threshold <= LITERAL_LEVELS else None).split_density(sparse_threshold)
 
 
 def from_pandas(spark: SparkSession, pdf, **how) -> DesignMatrix:
@@ -109,7 +112,7 @@ def from_csc(df: DataFrame, n_rows: int, n_columns: int, threshold: float = 0.1,
     Rows without an entry are zero rows, so row ids run over 0 .. n_rows - 1.
     """
     if not 0 <= threshold <= 1:
-        raise ValueError("Threshold must be between 0 and 1.")
+        raise ValueError(f"a share from 0 to 1 is needed, not {threshold}")
     coo = from_coo(df, n_rows, n_columns)
     share = {r["j"]: r["density"] for r in coo.densities().collect()}
     wide = coo.df.groupBy("i").agg(*[F.coalesce(F.sum(F.when(F.col("j") == j, F.col("value"))), F.lit(0.0)).alias(f"x{j}") for j in range(n_columns)])
