@@ -294,7 +294,10 @@ class _Factors:
                 right = (t[k + d + 1] - x) / (t[k + d + 1] - t[k + 1]) * basis[k + 1] if t[k + d + 1] > t[k + 1] else F.lit(0.0)
                 nxt.append(left + right)
             basis = nxt
-        return [(str(k), b) for k, b in enumerate(basis[1:], 1)]  # without an intercept's column
+        # rows that a replay finds outside of the knots have no basis
+        outside = (x < t[0]) | (x > t[-1])
+        checked = lambda b: F.when(outside, F.raise_error(F.lit(f"{key}: values outside of [{t[0]}, {t[-1]}]")).cast("double")).otherwise(b)
+        return [(str(k), checked(b)) for k, b in enumerate(basis[1:], 1)]  # without an intercept's column
 
     def get(self, factor: str):
         """A Column, a list of named Columns, or a Coded."""
