@@ -20,7 +20,7 @@ threshold; groups are the connected components.
    beyond ``DENSE`` shingles, every 2nd, 4th ... counts) differs in no more bins than the
    largest symmetric difference of linked sets allows (5 standard errors above).
 4. *Verification.*  Both whole texts are read and exact Jaccard on full sets decides.  A
-   hub's text travels once for each ``BLOCK`` of its partners.
+   hub's text travels once for each ``PARTNERS`` of its partners.
 5. *The rest.*  Where a list's members are in several components after that, members of
    different components are compared by their parity sketches in blocks.  Only pairs that
    pass leave a block, the closest first, with 8, 512 ... per member and round, until no
@@ -46,7 +46,7 @@ from .arrow_text import mix64, shingle_sets, slices
 from .common import Scratch, one_of_each, perhaps_in, row_columns, text_of, with_row
 from .components import connected_components
 
-K, TUPLE, LISTS, BLOCK, LEAST = 64, 4, 40, 1024, 0.55
+K, TUPLE, LISTS, BLOCK, PARTNERS, LEAST = 64, 4, 40, 1024, 256, 0.55
 ODD, DENSE = 2048, 4096  # bits of the parity sketch, and shingles that all count in it
 _PAD = np.uint32(0xFFFFFFFF)
 _ORDERS = mix64(np.arange(1, TUPLE * LISTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -274,7 +274,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, thr
     degree = ends.groupBy("e").agg(F.count(F.lit(1)).alias("d"))
     da, db = degree.toDF("a", "da"), degree.toDF("b", "db")
     turned = pairs.join(da, "a").join(db, "b").select(F.when(F.col("da") >= F.col("db"), F.struct(F.col("a").alias("hub"), F.col("b").alias("cid"), F.col("da").alias("d"))).otherwise(F.struct(F.col("b").alias("hub"), F.col("a").alias("cid"), F.col("db").alias("d"))).alias("p")).select("p.*")
-    dealt = turned.withColumn("block", F.pmod(F.hash("cid"), F.ceil(F.col("d") / BLOCK)).cast("int"))
+    dealt = turned.withColumn("block", F.pmod(F.hash("cid"), F.ceil(F.col("d") / PARTNERS)).cast("int"))
     needed = dealt.select("hub", "block", F.col("hub").alias("cid")).distinct().unionAll(dealt.select("hub", "block", "cid"))
     wanted = degree.select(F.col("e").alias("cid"))
     where = perhaps_in(classes.select("cid", F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("no_id"), "th"), wanted, ["cid"])
