@@ -223,7 +223,12 @@ def dense_sandwich_rows_cols(spark, sf_dir):
     return dense(lineitem(spark, sf_dir), [*NUM, D]).sandwich(D, rows=F.expr("l_shipdate < TIMESTAMP_NTZ '1997-01-01 00:00:00'"), cols=[0, 2], exact=True)
 
 
-@query()
+_WIDE = [f"pow(l_discount + {0.01 * k!r}::DOUBLE, 2)" for k in range(16)]
+_WIDE_SUMS = ", ".join(f"sum(l_quantity * x{i} * x{j}) AS g{i}_{j}" for i in range(16) for j in range(i, 16))
+_WIDE_CELLS = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, g{min(i, j)}_{max(i, j)} AS value FROM w" for i in range(16) for j in range(16))
+
+
+@query(f"WITH x AS (SELECT l_quantity, {', '.join(f'{x} AS x{k}' for k, x in enumerate(_WIDE))} FROM lineitem), w AS (SELECT {_WIDE_SUMS} FROM x) SELECT i::INTEGER AS i, j::INTEGER AS j, round(value, 3) AS value FROM ({_WIDE_CELLS})")
 def dense_sandwich_wide(spark, sf_dir):
     df = lineitem(spark, sf_dir)
     wide = df.select("l_quantity", *[F.pow(F.col("l_discount") + 0.01 * k, F.lit(2)).alias(f"x{k}") for k in range(16)])
