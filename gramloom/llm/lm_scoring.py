@@ -23,19 +23,24 @@ rows.  Extra columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import slices
-from .common import SPACE_CHARS, Scratch, text_of
+from .arrow_text import hash_words, mix64, slices, words_of
+from .common import Scratch, text_of
 
 ORDER, BITS = 5, 9
 _START = 1 << 8  # the start symbol, above every byte
+#: Numbers that keep the hashes of words, contexts and pairs apart; the start symbol; the key of the empty n-gram.
+_PAIR, _CONTEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_START_HASH, _ONE, _EMPTY_GRAM = np.uint64(0x165667B19E3779F9), np.uint64(1), 0
+#: Key ranges of :func:`score_words` for each block of texts.
+BUCKETS_A_BLOCK = 8
 
 
 def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -117,91 +122,109 @@ def score(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, block_bytes:
     return found.select("doc_id", "n_units", "log_score", F.when(F.col("n_units") > 0, F.col("log_score") / F.col("n_units")).otherwise(F.lit(0.0)).alias("mean_log_score"))
 
 
-def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The words of the texts in a row, and each text's bounds among them."""
-    plain = texts.cast(pa.large_string())
-    for c in SPACE_CHARS[1:]:
-        plain = pc.replace_substring(plain, c, " ")
-    lists = pc.split_pattern(plain, " ")
-    words, owner = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
-    whole = pc.not_equal(words, "")
-    counts = np.bincount(owner[whole.to_numpy(zero_copy_only=False)], minlength=len(texts))
-    return words.filter(whole), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+def _word_grams(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every word of the texts in a row the keys of its pair, of itself and of the word before it.
 
-
-def _pairs(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The word before each word (0 at the start of a text; codes count from 1) and the word, in 64 bits."""
-    before = np.concatenate([[0], codes[:-1]]) if len(codes) else codes
-    before[at[:-1][at[:-1] < at[1:]]] = 0
-    return (before << 32) | codes
+    Keys are hashes of 63 bits and one bit for the kind: pairs are odd, words and contexts even.
+    The word before the first word of a text is the start symbol.
+    """
+    before = np.concatenate([[_START_HASH], hashes[:-1]]) if len(hashes) else hashes
+    before[at[:-1][at[:-1] < at[1:]]] = _START_HASH
+    with np.errstate(over="ignore"):
+        pair = mix64(mix64(before) * _PAIR + hashes) | _ONE
+        word, context = mix64(hashes ^ _PAIR) & ~_ONE, mix64(before * _CONTEXT) & ~_ONE
+    return pair.view(np.int64), word.view(np.int64), context.view(np.int64)
 
 
-class _Codes:
-    """Numbers of words inside one block, from 1, in order of first occurrence; 0 is the start."""
+class _Counts:
+    """Counts of keys, merged whenever as many new ones wait as are held."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-
-    def of(self, words: pa.Array) -> np.ndarray:
-        encoded = words.dictionary_encode()
-        own = np.array([self.known.setdefault(w, len(self.known)) for w in encoded.dictionary.to_pylist()], dtype=np.int64)
-        return own[encoded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        self.keys, self.sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.size = 0
 
+    def add(self, keys: np.ndarray) -> None:
+        self.waiting.append(keys)
+        self.size += len(keys)
+        if self.size > max(len(self.keys), 1 << 20):
+            self.merge()
 
-def word_backoff(counts: DataFrame, alpha: float, min_count: int) -> DataFrame:
-    """counts (w1, w2, c) of word pairs -> (w1, w2, score): log of the stupid-backoff score."""
-    first = counts.groupBy(F.col("w1").alias("k1")).agg(F.sum("c").alias("all"))
-    words = counts.groupBy(F.col("w2").alias("k2")).agg(F.sum("c").alias("own"))
-    n = counts.agg(F.sum("c")).first()[0] or 1
-    joined = counts.join(words, F.col("w2") == F.col("k2")).join(first, F.col("w1") == F.col("k1"))
-    return joined.select("w1", "w2", F.when(F.col("c") >= min_count, F.log(F.col("c") / F.col("all"))).otherwise(F.log(F.col("own") / F.lit(float(n))) + F.lit(math.log(alpha))).alias("score"))
+    def merge(self) -> None:
+        code, keys = pd.factorize(np.concatenate([self.keys, *self.waiting]))
+        weights = np.concatenate([self.sums, np.ones(self.size, np.int64)])
+        self.keys, self.sums = keys, np.bincount(code, weights=weights, minlength=len(keys)).astype(np.int64)
+        self.waiting, self.size = [], 0
 
 
-def score_words(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, block_bytes: int = 16 << 20) -> DataFrame:
+def score_words(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, block_bytes: int = 32 << 20) -> DataFrame:
     """As :func:`score`, over word pairs: doc_id, n_units (words), log_score, mean_log_score.
 
     A word is a run of characters that are not white space; before the first word of a text
-    stands the start symbol.  The keys are the two words themselves, so no two pairs meet in
-    one count.  A pair seen fewer than ``min_count`` times backs off to its second word.
+    stands the start symbol.  A pair seen fewer than ``min_count`` times backs off to its second
+    word.
+
+    1. Texts are dealt into blocks of about ``block_bytes``.  A block sends its distinct n-grams
+       (pairs, words, contexts, and the empty one, which counts all words) once each, with their
+       counts.  They are keyed by 63-bit hashes: among 10^12 different pairs, a pair shares its
+       key, and so its count, with another one with a chance of 1e-7.
+    2. The n-grams are partitioned by a hash, and a window adds up each one's counts over all blocks.
+       A very common n-gram is one row per block.
+    3. Each block gets back the totals of its words, of its contexts, and of those pairs that
+       occur often enough; what is missing backs off.  Scores are summed over each document.
+
+    The texts are shuffled once: both uses of the blocks are one exchange.
     """
-    scratch = Scratch(docs.sparkSession, "lm-words")
-    total = docs.agg(F.sum(F.octet_length(text_of("text")).cast("long"))).first()[0] or 0
+    text = text_of("text")
+    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     n_blocks = max(1, math.ceil(total / block_bytes))
-    rows = docs.select("doc_id", text_of("text").alias("text")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
+    n_buckets = n_blocks * BUCKETS_A_BLOCK
+    block = F.pmod(F.xxhash64("doc_id", text), F.lit(n_blocks)).cast("int")
+    rows = docs.select("doc_id", text.alias("text"), block.alias("block"))
 
-    def distinct(key: tuple, table: pa.Table) -> pa.Table:
-        codes, pairs, counts = _Codes(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for batch in table.to_batches():
+    def distinct(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, n = _Counts(), 0
+        for batch in batches:
             for part in slices(batch):
-                words, at = _words(part.column("text"))
-                code, pair = pd.factorize(_pairs(codes.of(words), at))
-                pairs.append(pair)
-                counts.append(np.bincount(code, minlength=len(pair)))
-        code, pair = pd.factorize(np.concatenate(pairs))
-        c = np.bincount(code, weights=np.concatenate(counts), minlength=len(pair)).astype(np.int64)
-        names = pa.array(list(codes.known), pa.string())
-        return pa.table({"block": pa.array(np.full(len(pair), key[0].as_py()), pa.int32()), "w1": names.take(pa.array(pair >> 32)), "w2": names.take(pa.array(pair & 0xFFFFFFFF)), "c": pa.array(c, pa.int64())})
-
-    sent = scratch.put(rows.groupBy("block").applyInArrow(distinct, "block int, w1 string, w2 string, c long"), "sent")
-    counts = scratch.put(sent.groupBy("w1", "w2").agg(F.sum("c").alias("c")), "counts")
-    table = scratch.put(word_backoff(counts, alpha, min_count), "scores")
-    scratch.drop("counts")
-    answers = sent.select("block", "w1", "w2").join(table, ["w1", "w2"]).select("block", "w1", "w2", "score")
+                words, at = words_of(part.column("text"), lower=False)
+                n += len(words)
+                for keys in _word_grams(hash_words(words), at):
+                    counts.add(keys)
+        counts.merge()
+        keys, sums = np.append(counts.keys, _EMPTY_GRAM), np.append(counts.sums, n)
+        bucket = (mix64(keys.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        held, first = np.unique(bucket[order], return_index=True)
+        bounds = pa.array(np.append(first, len(keys)), pa.int32())
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(x[order], t)) for x, t in ((keys, pa.int64()), (sums, pa.int64()))]
+        blocks = pa.array(np.full(len(held), key[0].as_py()), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), blocks, *lists], ["bucket", "block", "keys", "counts"])
+
+    sent = rows.groupBy("block").applyInArrow(distinct, "bucket int, block int, keys array<long>, counts array<long>")
+    each = sent.repartition("bucket").select("bucket", "block", F.explode(F.arrays_zip("keys", "counts")).alias("e"))
+    grams = each.select("bucket", "block", F.col("e.keys").alias("key"), F.col("e.counts").alias("c"))
+    totals = grams.withColumn("total", F.sum("c").over(Window.partitionBy("bucket", "key")))
+    is_pair = F.col("key").bitwiseAND(F.lit(1)) == 1
+    answers = totals.filter(~is_pair | (F.col("total") >= min_count)).select("block", "key", "total")
 
     def add_up(texts: pa.Table, known: pa.Table) -> pa.Table:
-        codes, keys = _Codes(), [np.zeros(0, np.int64)]
-        for batch in known.to_batches():
-            keys.append((codes.of(batch.column("w1")) << 32) | codes.of(batch.column("w2")))
-        index, value = pd.Index(np.concatenate(keys)), known["score"].to_numpy()
+        index = pd.Index(known["key"].to_numpy())
+        count = np.append(known["total"].to_numpy(), 0).astype(np.float64)  # the last one is for what is missing
+        n = count[index.get_indexer([_EMPTY_GRAM])[0]]
         sums, sizes = [np.zeros(0)], [np.zeros(0, np.int64)]
         for batch in texts.to_batches():
             for part in slices(batch):
-                words, at = _words(part.column("text"))
-                each = np.concatenate([[0.0], np.cumsum(value[index.get_indexer(_pairs(codes.of(words), at))])]) if len(words) else np.zeros(1)
-                sums.append(each[at[1:]] - each[at[:-1]])
+                words, at = words_of(part.column("text"), lower=False)
+                pair, word, context = (count[index.get_indexer(k)] for k in _word_grams(hash_words(words), at))
+                often = pair > 0
+                score = np.log(np.where(often, pair, alpha * word) / np.where(often, context, n))
+                of_text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                sums.append(np.bincount(of_text, weights=score, minlength=len(at) - 1))
                 sizes.append(np.diff(at))
-        return pa.table({"doc_id": texts["doc_id"], "n_units": pa.array(np.concatenate(sizes), pa.int64()), "log_score": pa.array(np.concatenate(sums), pa.float64())})
+        columns = [texts["doc_id"], pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(sums), pa.float64())]
+        return pa.table(columns, names=["doc_id", "n_units", "log_score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, f"doc_id {kind}, n_units long, log_score double")
-    return found.select("doc_id", "n_units", "log_score", F.when(F.col("n_units") > 0, F.col("log_score") / F.col("n_units")).otherwise(F.lit(0.0)).alias("mean_log_score"))
+    mean = F.when(F.col("n_units") > 0, F.col("log_score") / F.col("n_units")).otherwise(F.lit(0.0))
+    return found.select("doc_id", "n_units", "log_score", mean.alias("mean_log_score"))
