@@ -28,7 +28,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import hash_words, mix64, slices, words_of
@@ -36,11 +37,11 @@ from .common import Scratch, text_of
 
 ORDER, BITS = 5, 9
 _START = 1 << 8  # the start symbol, above every byte
-#: Numbers that keep the hashes of words, contexts and pairs apart; the start symbol; the key of the empty n-gram.
-_PAIR, _CONTEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Numbers that keep the hashes of words and pairs apart; the start symbol; the key of the empty n-gram.
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 _START_HASH, _ONE, _EMPTY_GRAM = np.uint64(0x165667B19E3779F9), np.uint64(1), 0
-#: Key ranges of :func:`score_words` for each block of texts.
-BUCKETS_A_BLOCK = 8
+#: Buckets of :func:`score_words` for each block of texts, bytes of a key in its bucket, and keys sent at once.
+BUCKETS_A_BLOCK, _KEY_BYTES, BATCH_KEYS = 8, 6, 1 << 18
 
 
 def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -122,18 +123,51 @@ def score(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, block_bytes:
     return found.select("doc_id", "n_units", "log_score", F.when(F.col("n_units") > 0, F.col("log_score") / F.col("n_units")).otherwise(F.lit(0.0)).alias("mean_log_score"))
 
 
-def _word_grams(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every word of the texts in a row the keys of its pair, of itself and of the word before it.
+def _pair_keys(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every word of the texts in a row the key of its pair, and the hash of the word before it.
 
-    Keys are hashes of 63 bits and one bit for the kind: pairs are odd, words and contexts even.
+    Keys are hashes of 63 bits and one bit for the kind: pairs are odd, other n-grams even.
     The word before the first word of a text is the start symbol.
     """
     before = np.concatenate([[_START_HASH], hashes[:-1]]) if len(hashes) else hashes
     before[at[:-1][at[:-1] < at[1:]]] = _START_HASH
-    with np.errstate(over="ignore"):
-        pair = mix64(mix64(before) * _PAIR + hashes) | _ONE
-        word, context = mix64(hashes ^ _PAIR) & ~_ONE, mix64(before * _CONTEXT) & ~_ONE
-    return pair.view(np.int64), word.view(np.int64), context.view(np.int64)
+    return (mix64(mix64(before) * _PAIR + hashes) | _ONE).view(np.int64), before
+
+
+def _word_keys(hashes: np.ndarray) -> np.ndarray:
+    return (mix64(hashes ^ _PAIR) & ~_ONE).view(np.int64)
+
+
+def _lists(group: np.ndarray, keys: np.ndarray, counts: np.ndarray, lasts: np.ndarray) -> list[pa.Array]:
+    """The groups, and for each its keys (cut to _KEY_BYTES) and both counts, in order of counts: long runs compress well."""
+    order = np.lexsort((lasts, counts, group))
+    held, first = np.unique(group[order], return_index=True)
+    bounds = np.append(first, len(keys)).astype(np.int32)
+    raw = np.ascontiguousarray(keys[order].view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES])
+    blobs = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(bounds * _KEY_BYTES), pa.py_buffer(raw)])
+    of = lambda x: pa.ListArray.from_arrays(pa.array(bounds), pa.array(x[order].astype(np.int64)))
+    return [pa.array(held, pa.int32()), blobs, of(counts), of(lasts)]
+
+
+def _from_lists(batch: pa.RecordBatch, label: str) -> tuple[np.ndarray, ...]:
+    """Per key of :func:`_lists` the row's number under ``label``, the key, and both counts."""
+    lists = batch.column("counts")
+    own = np.repeat(batch.column(label).to_numpy(), pc.list_value_length(lists).to_numpy())
+    blobs = batch.column("keys")
+    at = np.frombuffer(blobs.buffers()[1], dtype=np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
+    keys = np.zeros((len(own), 8), np.uint8)
+    if len(own):
+        keys[:, :_KEY_BYTES] = np.frombuffer(blobs.buffers()[2], dtype=np.uint8)[at[0] : at[-1]].reshape(-1, _KEY_BYTES)
+    return own, keys.view(np.int64).ravel(), lists.flatten().to_numpy(), batch.column("lasts").flatten().to_numpy()
+
+
+def _buckets(keys: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (mix64(keys.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
+
+
+def _in_block(keys: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """The cut key below the last bits of its bucket."""
+    return (keys & (1 << 8 * _KEY_BYTES) - 1) | (buckets.astype(np.int64) << 8 * _KEY_BYTES)
 
 
 class _Counts:
@@ -147,7 +181,7 @@ class _Counts:
     def add(self, keys: np.ndarray) -> None:
         self.waiting.append(keys)
         self.size += len(keys)
-        if self.size > max(len(self.keys), 1 << 20):
+        if self.size > max(len(self.keys) // 2, 1 << 20):
             self.merge()
 
     def merge(self) -> None:
@@ -165,13 +199,15 @@ def score_words(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, block_b
     word.
 
     1. Texts are dealt into blocks of about ``block_bytes``.  A block sends its distinct n-grams
-       (pairs, words, contexts, and the empty one, which counts all words) once each, with their
-       counts.  They are keyed by 63-bit hashes: among 10^12 different pairs, a pair shares its
-       key, and so its count, with another one with a chance of 1e-7.
-    2. The n-grams are partitioned by a hash, and a window adds up each one's counts over all blocks.
-       A very common n-gram is one row per block.
-    3. Each block gets back the totals of its words, of its contexts, and of those pairs that
-       occur often enough; what is missing backs off.  Scores are summed over each document.
+       (pairs, words, and the empty one, which counts all words) once each, with their counts, and
+       how often a word is the last of a text, which makes it no context.  They are dealt into
+       buckets by 64-bit hashes, and in a bucket, which holds about half a million n-grams at any
+       size of the corpus, keyed by 48 bits of them: a pair shares its key, and so its count, with
+       another one with a chance of 1e-7 or less up to 10^12 different pairs.
+    2. The n-grams are partitioned by a hash into these buckets, and each one's counts
+       are added up over all blocks.  A very common n-gram is one entry per block.
+    3. Each block gets back the totals of its words, and of those pairs that occur often enough;
+       what is missing backs off.  Scores are summed over each document.
 
     The texts are shuffled once: both uses of the blocks are one exchange.
     """
@@ -183,39 +219,63 @@ def score_words(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, block_b
     rows = docs.select("doc_id", text.alias("text"), block.alias("block"))
 
     def distinct(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = _Counts(), 0
+        counts, ends, n = _Counts(), _Counts(), 0
         for batch in batches:
             for part in slices(batch):
                 words, at = words_of(part.column("text"), lower=False)
+                hashes, last = hash_words(words), at[1:][at[:-1] < at[1:]] - 1
                 n += len(words)
-                for keys in _word_grams(hash_words(words), at):
-                    counts.add(keys)
+                counts.add(_pair_keys(hashes, at)[0])
+                counts.add(_word_keys(np.append(hashes, np.full(len(last), _START_HASH))))
+                ends.add(_word_keys(hashes[last]))
         counts.merge()
+        ends.merge()
+        lasts = np.zeros(len(counts.keys) + 1, np.int64)
+        lasts[pd.Index(counts.keys).get_indexer(ends.keys)] = ends.sums
         keys, sums = np.append(counts.keys, _EMPTY_GRAM), np.append(counts.sums, n)
-        bucket = (mix64(keys.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
+        del counts, ends
+        bucket = _buckets(keys, n_buckets)
         order = np.argsort(bucket, kind="stable")
-        held, first = np.unique(bucket[order], return_index=True)
-        bounds = pa.array(np.append(first, len(keys)), pa.int32())
-        lists = [pa.ListArray.from_arrays(bounds, pa.array(x[order], t)) for x, t in ((keys, pa.int64()), (sums, pa.int64()))]
-        blocks = pa.array(np.full(len(held), key[0].as_py()), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), blocks, *lists], ["bucket", "block", "keys", "counts"])
-
-    sent = rows.groupBy("block").applyInArrow(distinct, "bucket int, block int, keys array<long>, counts array<long>")
-    each = sent.repartition("bucket").select("bucket", "block", F.explode(F.arrays_zip("keys", "counts")).alias("e"))
-    grams = each.select("bucket", "block", F.col("e.keys").alias("key"), F.col("e.counts").alias("c"))
-    totals = grams.withColumn("total", F.sum("c").over(Window.partitionBy("bucket", "key")))
-    is_pair = F.col("key").bitwiseAND(F.lit(1)) == 1
-    answers = totals.filter(~is_pair | (F.col("total") >= min_count)).select("block", "key", "total")
+        # a few buckets at a time
+        edges = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
+        edges = edges[np.append(np.flatnonzero(np.diff(edges[:-1] // BATCH_KEYS, prepend=-1)), len(edges) - 1)]
+        for a, b in zip(edges, edges[1:]):
+            some = order[a:b]
+            held, *lists = _lists(bucket[some], keys[some], sums[some], lasts[some])
+            blocks = pa.array(np.full(len(held), key[0].as_py()), pa.int32())
+            yield pa.RecordBatch.from_arrays([held, blocks, *lists], ["bucket", "block", "keys", "counts", "lasts"])
+
+    def add_blocks(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, keys, counts, lasts = (np.concatenate(x) for x in zip(*[_from_lists(b, "block") for b in batches]))
+        code, _ = pd.factorize(keys)
+        totals, lasts = (np.bincount(code, weights=x).astype(np.int64)[code] for x in (counts, lasts))
+        kept = (keys & 1 == 0) | (totals >= min_count)
+        blocks, *lists = _lists(owner[kept], keys[kept], totals[kept], lasts[kept])
+        buckets = pa.array(np.full(len(blocks), key[0].as_py()), pa.int32())
+        yield pa.RecordBatch.from_arrays([buckets, blocks, *lists], ["bucket", "block", "keys", "counts", "lasts"])
+
+    lists = "bucket int, block int, keys binary, counts array<long>, lasts array<long>"
+    answers = rows.groupBy("block").applyInArrow(distinct, lists).groupBy("bucket").applyInArrow(add_blocks, lists)
 
     def add_up(texts: pa.Table, known: pa.Table) -> pa.Table:
-        index = pd.Index(known["key"].to_numpy())
-        count = np.append(known["total"].to_numpy(), 0).astype(np.float64)  # the last one is for what is missing
-        n = count[index.get_indexer([_EMPTY_GRAM])[0]]
+        parts = [(np.zeros(0, np.int64),) * 3]
+        for batch in known.to_batches():
+            buckets, keys, counts, lasts = _from_lists(batch, "bucket")
+            parts.append((_in_block(keys, buckets), counts, lasts))
+        keys, *sums_of = (np.concatenate(x) for x in zip(*parts))
+        total, last = (np.append(x, 0) for x in sums_of)  # the last ones are for what is missing
+        index = pd.Index(keys)
+        del parts, keys, sums_of
+        find = lambda keys: index.get_indexer(_in_block(keys, _buckets(keys, n_buckets)))
+        n = total[find(np.array([_EMPTY_GRAM], np.int64))[0]]
         sums, sizes = [np.zeros(0)], [np.zeros(0, np.int64)]
         for batch in texts.to_batches():
             for part in slices(batch):
                 words, at = words_of(part.column("text"), lower=False)
-                pair, word, context = (count[index.get_indexer(k)] for k in _word_grams(hash_words(words), at))
+                hashes = hash_words(words)
+                keys, before = _pair_keys(hashes, at)
+                pair, word, at_before = total[find(keys)], total[find(_word_keys(hashes))], find(_word_keys(before))
+                context = total[at_before] - last[at_before]
                 often = pair > 0
                 score = np.log(np.where(often, pair, alpha * word) / np.where(often, context, n))
                 of_text = np.repeat(np.arange(len(at) - 1), np.diff(at))
