@@ -191,7 +191,7 @@ class _Counts:
         self.waiting, self.size = [], 0
 
 
-def score_words(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, block_bytes: int = 32 << 20) -> DataFrame:
+def score_words(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, block_bytes: int = 12 << 20) -> DataFrame:
     """As :func:`score`, over word pairs: doc_id, n_units (words), log_score, mean_log_score.
 
     A word is a run of characters that are not white space; before the first word of a text
@@ -201,7 +201,7 @@ def score_words(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, block_b
     1. Texts are dealt into blocks of about ``block_bytes``.  A block sends its distinct n-grams
        (pairs, words, and the empty one, which counts all words) once each, with their counts, and
        how often a word is the last of a text, which makes it no context.  They are dealt into
-       buckets by 64-bit hashes, and in a bucket, which holds about half a million n-grams at any
+       buckets by 64-bit hashes, and in a bucket, which holds a few hundred thousand n-grams at any
        size of the corpus, keyed by 48 bits of them: a pair shares its key, and so its count, with
        another one with a chance of 1e-7 or less up to 10^12 different pairs.
     2. The n-grams are partitioned by a hash into these buckets, and each one's counts
