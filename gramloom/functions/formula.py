@@ -220,6 +220,16 @@ _FUNCTIONS: dict[str, Callable] = {
 }
 
 
+def stateful_transform(function: Callable) -> Callable:
+    """Marks a function of ``context`` that learns from its data: it also gets ``state`` and ``df``.
+
+    ``state`` is a dict, empty at first, that the spec keeps for replay; what the function puts
+    in it (from aggregates over ``df``) is there again on other rows.
+    """
+    function.is_stateful = True
+    return function
+
+
 class _Factors:
     """Evaluates factors of one formula over one DataFrame, learning state where it is missing."""
 
@@ -257,7 +267,10 @@ class _Factors:
             if name in _FUNCTIONS:
                 return _FUNCTIONS[name](*[F.lit(a) if not isinstance(a, Column) and name == "where" else a for a in args], **named)
             if name in self.spec.context and callable(self.spec.context[name]):
-                return self.spec.context[name](*args, **named)
+                own = self.spec.context[name]
+                if getattr(own, "is_stateful", False):
+                    named |= {"state": self.spec.state.setdefault(ast.unparse(node), {}), "df": self.df}
+                return own(*args, **named)
         raise ValueError(f"{ast.unparse(node)!r} is not supported in a formula")
 
     def _center(self, key: str, x: Column) -> Column:

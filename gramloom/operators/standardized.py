@@ -42,6 +42,19 @@ class StandardizedView:
     def get_names(self, *a, **k):
         return self.base.get_names(*a, **k)
 
+    column_names = property(get_names)
+    term_names = property(lambda self: self.get_names("term"))
+
+    def set_names(self, names: Sequence[str | None] | str, type: str = "column") -> "StandardizedView":
+        return replace(self, base=self.base.set_names(names, type))
+
+    def __matmul__(self, v: Sequence[float]) -> DataFrame:
+        return self.matvec(v)
+
+    def __rmatmul__(self, v: Column | str) -> DataFrame:
+        """v @ view; v is a row vector."""
+        return self.transpose_matvec(v)
+
     def matvec(self, v: Sequence[float], cols: Sequence[int] | None = None) -> DataFrame:
         """The multipliers go into v, the shifts into one constant."""
         on = self.base._check_cols(cols)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gramloom import from_formula
-from gramloom.functions.formula import parse_terms
+from gramloom.functions.formula import parse_terms, stateful_transform
 
 
 @pytest.fixture(scope="module")
@@ -128,3 +128,16 @@ def test_bs_knots_are_exact_without_one_map_of_all_values(spark, monkeypatch):
         low, high, got = percentiles(f, F.col("x"), at)
         assert (low, high) == (want[0], want[-1]) and got == want
     assert from_formula("bs(x, 5)", frames[0]).n_columns == 5
+
+
+def test_stateful_function_of_the_context(df):
+    @stateful_transform
+    def share(x, state, df, times=1.0):
+        if "most" not in state:
+            state["most"] = df.agg(F.max(x)).first()[0]
+        return x / state["most"] * times
+
+    m = from_formula("share(x, times=2.0) + {share(x) + 1}", df, context={"share": share}, row_id="id")
+    assert np.allclose(m.to_wide().toPandas().sort_values("id").drop(columns="id"), [[2 / 3, 4 / 3], [4 / 3, 5 / 3], [2, 2]])
+    again = m.spec.get_model_matrix(df.filter("x < 3"), row_id="id")
+    assert np.allclose(again.to_wide().toPandas().sort_values("id").drop(columns="id"), [[2 / 3, 4 / 3], [4 / 3, 5 / 3]])

@@ -242,3 +242,14 @@ def test_coo_queries_grow_with_the_table(spark, tmp_path):
             np.testing.assert_allclose(g.to_numpy(queries.coo_sandwich_keys(spark, where), n, n), x.T @ x)
             split = {r["j"]: r["is_dense"] for r in queries.density_split_keys(spark, where).collect()}
             assert split == {j: bool(d > 4.0 / n) for j, d in enumerate((x != 0).mean(axis=0))}
+
+
+def test_view_names_and_products(data):
+    view, _, _ = g.dense(data, ["u", "s"], "id").standardize("w")
+    named = view.set_names(["a", "b"]).set_names(["t", "t"], "term")
+    assert named.column_names == ["a", "b"]
+    assert named.term_names == ["t", "t"]
+    assert view.get_names() == ["u", "s"]
+    x = wide(view)
+    assert np.allclose((view @ [1.0, 2.0]).toPandas().sort_values("row_id")["value"], x @ [1.0, 2.0])
+    assert np.allclose(g.to_numpy("w" @ view, 2), weights(data) @ x)
