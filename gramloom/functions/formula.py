@@ -14,12 +14,14 @@ from __future__ import annotations
 
 import ast
 import itertools
+import json
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -207,8 +209,31 @@ class Spec:
     def get_model_matrix(self, df: DataFrame, row_id: str | None = None) -> DesignMatrix:
         return _build(df, replace(self, state=dict(self.state)), row_id)
 
-
-_BINARY: dict[type, Callable] = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: lambda a, b: F.try_divide(a.cast("double"), b) if isinstance(a, Column) else a / b, ast.Pow: lambda a, b: F.pow(a, F.lit(b)) if isinstance(a, Column) else a**b}
+    def to_json(self, folder: str | None = None) -> str:
+        """The spec as text, without ``context``; long lists of levels are written as tables to ``folder``."""
+        state = {}
+        for key, known in self.state.items():
+            if isinstance(known, dict) and isinstance(known.get("levels"), LevelTable):
+                if folder is None:
+                    raise ValueError(f"{key} has {len(known['levels'])} levels; a folder is needed for them")
+                path = f"{folder.rstrip('/')}/levels-{uuid.uuid4().hex}"
+                known["levels"].df.write.parquet(path)
+                known = known | {"levels": {"table": path, "known": known["levels"].known, "extra": list(known["levels"].extra)}}
+            state[key] = known
+        return json.dumps({"formula": self.formula, "options": self.options, "state": state, "names": self.names})
+
+    @classmethod
+    def from_json(cls, spark: SparkSession, text: str, context: Mapping[str, object] | None = None) -> "Spec":
+        """The spec that ``to_json`` wrote."""
+        read = json.loads(text)
+        for known in read["state"].values():
+            if isinstance(known, dict) and isinstance(known.get("levels"), dict):
+                levels = known["levels"]
+                known["levels"] = LevelTable(spark.read.parquet(levels["table"]), levels["known"], tuple(levels["extra"]))
+        return cls(**read, context=dict(context or {}))
+
+
+_BINARY: dict[type, Callable] = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: lambda a, b: F.try_divide(F.lit(a).cast("double"), F.lit(b)) if isinstance(a, Column) or isinstance(b, Column) else a / b, ast.Pow: lambda a, b: F.pow(a, F.lit(b)) if isinstance(a, Column) else a**b}
 _COMPARE: dict[type, Callable] = {ast.Eq: lambda a, b: a == b, ast.NotEq: lambda a, b: a != b, ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b}
 _FUNCTIONS: dict[str, Callable] = {
     "log": lambda x: F.log(x),
@@ -479,7 +504,13 @@ def _build(df: DataFrame, spec: Spec, row_id: str | None) -> DesignMatrix:
                     blocks.append(Numeric(F.lit(1.0), o["intercept_name"], o["intercept_name"]))
                 continue
             blocks += [replace(b, term=o["interaction_separator"].join(f.strip("`") for f in term)) for b in _piece(factors, part, o)]
+    few = o.get("cat_threshold") or 0
+    blocks = [x for b in blocks for x in ([b.column(k) for k in range(b.width)] if isinstance(b, Categorical) and len(b.levels) < few else [b])]
     m = DesignMatrix(factors.df, tuple(blocks), row_id, spec)
+    if o.get("sparse_threshold") is not None:
+        m = m.split_density(o["sparse_threshold"])
+    if o.get("dtype") is not None:
+        m = m.astype(o["dtype"])
     # many names follow from the levels, which a replay takes from the spec
     names = [n for b in blocks for n in ([f"{b.name} x {b.width}"] if isinstance(b, Categorical) and isinstance(b.levels, Names) else b.names())]
     if spec.names is None:
@@ -504,14 +535,20 @@ def from_formula(
     cluster_by: str | None = None,
     context: Mapping[str, object] | None = None,
     row_id: str | None = None,
+    dtype: str | None = None,
+    sparse_threshold: float | None = None,
+    cat_threshold: int | None = None,
 ) -> DesignMatrix | tuple[DesignMatrix, DesignMatrix]:
     """The matrix of a formula, with ``spec`` for replay; with ``~``, left and right side.
 
     ``context`` gives scalars and Column-returning functions that the formula may name.
+    ``sparse_threshold`` marks numeric columns dense or sparse, at the price of a pass over
+    the data; categoricals of fewer than ``cat_threshold`` levels become numeric columns.
+    Neither changes a value, so neither is done unless asked for.
     """
     if na_action not in ("ignore", "drop", "raise"):
         raise ValueError("na_action must be 'ignore', 'drop' or 'raise'")
-    options = dict(ensure_full_rank=ensure_full_rank, na_action=na_action, include_intercept=include_intercept, add_column_for_intercept=add_column_for_intercept, intercept_name=intercept_name, interaction_separator=interaction_separator, categorical_format=categorical_format, cat_missing_method=cat_missing_method, cat_missing_name=cat_missing_name, cluster_by=cluster_by)
+    options = dict(ensure_full_rank=ensure_full_rank, na_action=na_action, include_intercept=include_intercept, add_column_for_intercept=add_column_for_intercept, intercept_name=intercept_name, interaction_separator=interaction_separator, categorical_format=categorical_format, cat_missing_method=cat_missing_method, cat_missing_name=cat_missing_name, cluster_by=cluster_by, dtype=dtype, sparse_threshold=sparse_threshold, cat_threshold=cat_threshold)
     left, tilde, right = formula.rpartition("~")
     rhs = _build(df, Spec(right, options, context=dict(context or {})), row_id)
     if not tilde or not left.strip():

@@ -100,11 +100,20 @@ def observe(df: DataFrame, columns: Sequence[str], declared: Mapping[str, Sequen
     if not columns:
         return {}
     declared = {c: x for c, x in (declared or {}).items() if x is not None}
-    missing = [F.coalesce(F.bool_or(clean(df, c).isNull()), F.lit(False)).alias(f"m{i}") for i, c in enumerate(columns)]
-    row = df.agg(*[F.approx_count_distinct(clean(df, c)).alias(f"n{i}") for i, c in enumerate(columns) if c not in declared], *missing).first()
+    asked = [F.coalesce(F.bool_or(clean(df, c).isNull()), F.lit(False)).alias(f"m{i}") for i, c in enumerate(columns)]
+    asked += [F.approx_count_distinct(clean(df, c)).alias(f"n{i}") for i, c in enumerate(columns) if c not in declared]
+    # whether short declared lists hold all values is told by the same pass
+    short = [i for i, c in enumerate(columns) if c in declared and not isinstance(declared[c], LevelTable) and len(declared[c]) <= LITERAL_LEVELS]
+    asked += [F.coalesce(F.bool_or(~clean(df, columns[i]).isin([x for x in declared[columns[i]] if x is not None])), F.lit(False)).alias(f"u{i}") for i in short]
+    row = df.agg(*asked).first()
     few = [i for i, c in enumerate(columns) if c not in declared and row[f"n{i}"] <= LITERAL_LEVELS]
     sets = df.agg(*[F.sort_array(F.collect_set(clean(df, columns[i]))).alias(f"v{i}") for i in few]).first() if few else {}
-    seen = lambda i, c: _unseen(df, c, declared[c]) if c in declared else list(sets[f"v{i}"]) if i in few else level_table(df, c)
+
+    def seen(i: int, c: str) -> Sequence:
+        if c in declared:
+            return [] if i in short and not row[f"u{i}"] else _unseen(df, c, declared[c])
+        return list(sets[f"v{i}"]) if i in few else level_table(df, c)
+
     return {c: (seen(i, c), bool(row[f"m{i}"])) for i, c in enumerate(columns)}
 
 

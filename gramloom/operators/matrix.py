@@ -13,6 +13,7 @@ decimals instead of doubles, so that sums do not depend on the order of rows; te
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
@@ -34,10 +35,19 @@ BROADCAST_ROWS = 100_000
 LOOKUP = 64
 
 
+#: Up to so many combinations of codes rows are first summed by all codes at once, and the sums are regrouped.
+COMBINED = 4096
+
+
+def _addend(term: Column, exact: bool) -> Column:
+    """The term as it is added up: a double, or a decimal of so many places."""
+    places = 6 if exact is True else int(exact)
+    return term if exact is False else term.cast(f"decimal({18 + places},{places})")
+
+
 def total(term: Column, exact: bool) -> Column:
     """The sum of a term over rows; an empty input gives null."""
-    places = 6 if exact is True else int(exact)
-    return F.sum(term.cast(f"decimal({18 + places},{places})")).cast("double") if exact is not False else F.sum(term)
+    return F.sum(_addend(term, exact)).cast("double")
 
 
 def _ranges(numbers: Sequence[int]) -> list[tuple[int, int]]:
@@ -269,7 +279,7 @@ class DesignMatrix:
             extra = F.when(b.code >= b.levels.known, F.lit(b.levels.extra[0])) if b.levels.extra else F.lit(None)
             table = b.levels.df.toDF("_level", "_level_code")
             return self.df.join(table, b.code == F.col("_level_code"), "left").select(*self._ids(), F.coalesce("_level", extra).alias("value"))
-        value = b.source if b.source is not None else F.element_at(F.array(*[F.lit(x) for x in b.levels]), b.code + 1)
+        value = b.source if b.source is not None else F.get(F.array(*[F.lit(x) for x in b.levels]), b.code)
         return self.df.select(*self._ids(), value.alias("value"))
 
     def astype(self, dtype: str) -> "DesignMatrix":
@@ -325,8 +335,12 @@ class DesignMatrix:
             sums = m._rows.agg(*[total(b.value * v, exact).alias(f"s{a}") for b, a in numeric])
             parts.append(sums.select(F.explode(F.array(*[F.struct(F.lit(a).alias("j"), F.col(f"s{a}").alias("value")) for _, a in numeric])).alias("e")).select("e.j", F.coalesce("e.value", F.lit(0.0)).alias("value")))
         if cats:
-            each = F.array(*[F.struct((b.position + a).cast("int").alias("j"), (v if b.multiplier is None else v * b.weight).alias("x")) for b, a in cats])
-            sums = m.df.select(F.explode(each).alias("e")).filter("e.j IS NOT NULL").groupBy(F.col("e.j").alias("j")).agg(total(F.col("e.x"), exact).alias("value"))
+            plain = all(b.multiplier is None for b, _ in cats)
+            terms = {"t0": v} if plain else {f"t{k}": v * b.weight for k, (b, _) in enumerate(cats)}
+            rows_in = m.df.select(*[(b.position + a).cast("int").alias(f"c{k}") for k, (b, a) in enumerate(cats)], *[_addend(t, exact).alias(n) for n, t in terms.items()])
+            rows_in = _combined(rows_in, [b for b, _ in cats], list(terms))
+            each = F.array(*[F.struct(F.col(f"c{k}").alias("j"), F.col("t0" if plain else f"t{k}").alias("x")) for k in range(len(cats))])
+            sums = rows_in.select(F.explode(each).alias("e")).filter("e.j IS NOT NULL").groupBy(F.col("e.j").alias("j")).agg(F.sum("e.x").cast("double").alias("value"))
             wanted = _union([_numbers(m.df, on[bisect_left(on, a) : bisect_left(on, a + b.width)]) for b, a in cats])
             parts.append(wanted.join(sums, "j", "left").select("j", F.coalesce("value", F.lit(0.0)).alias("value")))
         if not parts:
@@ -490,6 +504,13 @@ def _gram(df: DataFrame, pairs: list, d: Column, exact: bool) -> DataFrame:
     return wide.mapInArrow(partial, "i int, j int, value double").groupBy("i", "j").agg(F.sum("value").alias("value"))
 
 
+def _combined(rows: DataFrame, cats: Sequence[Categorical], terms: Sequence[str]) -> DataFrame:
+    """Terms summed by all codes c0, c1, ... at once, if these have few combinations; else the rows as they are."""
+    if math.prod(len(b.levels) + 1 for b in cats) > COMBINED:
+        return rows
+    return rows.groupBy(*[f"c{k}" for k in range(len(cats))]).agg(*[F.sum(t).alias(t) for t in terms])
+
+
 def _grouped(m: DesignMatrix, numeric: list, cats: list, crosses, d: Column, exact: bool) -> DataFrame:
     """Cells with at least one categorical: groupings by one code and by pairs of codes, in one pass (GROUPING SETS).
 
@@ -503,18 +524,21 @@ def _grouped(m: DesignMatrix, numeric: list, cats: list, crosses, d: Column, exa
     by_value = [v and source is m.base for v in by_value]
     keys = [F.col(f"c{k}") for k in range(n)]
     own = [(b.source if v else (b.position + a).cast("int")).alias(f"c{k}") for k, (v, (b, a, *_)) in enumerate(zip(by_value, cats))]
-    base = source.select(*own, *[b.multiplier.alias(f"m{k}") for k, (b, *_) in enumerate(cats) if b.multiplier is not None], *[x[0].value.alias(f"x{x[1]}") for x in numeric], d.alias("d"))
 
     def times(*blocks: int) -> Column:
-        return reduce(lambda p, k: p * F.col(f"m{k}") if cats[k][0].multiplier is not None else p, blocks, F.col("d"))
+        return reduce(lambda p, k: p * cats[k][0].multiplier if cats[k][0].multiplier is not None else p, blocks, d)
 
     ones = [(k,) for k in range(n) if any(crosses(cats[k], y) for y in [cats[k], *numeric])]
     pairs = [(k, h) for k in range(n) for h in range(k + 1, n) if crosses(cats[k], cats[h])]
     plain = all(b.multiplier is None for b, *_ in cats)
-    sums = {"s": total(F.col("d"), exact)} if plain else {f"s{'_'.join(map(str, s))}": total(times(s[0], s[-1]), exact) for s in ones + pairs}
-    met = [(k, x[1]) for (k,) in ones for x in numeric if crosses(cats[k], x)]
-    sums |= {f"x{a}" if plain else f"x{k}_{a}": total(times(k) * F.col(f"x{a}"), exact) for k, a in met}
-    grouped = base.groupingSets([[keys[k] for k in s] for s in ones + pairs], *keys).agg(F.grouping_id(*keys).alias("set"), *[v.alias(f"t_{k}") for k, v in sums.items()])
+    terms = {"s": d} if plain else {f"s{'_'.join(map(str, s))}": times(s[0], s[-1]) for s in ones + pairs}
+    met = [(k, x) for (k,) in ones for x in numeric if crosses(cats[k], x)]
+    terms |= {f"x{x[1]}" if plain else f"x{k}_{x[1]}": times(k) * x[0].value for k, x in met}
+    met = [(k, x[1]) for k, x in met]
+    # terms are made once a row, before rows are multiplied by the groupings
+    base = source.select(*own, *[_addend(t, exact).alias(f"t_{k}") for k, t in terms.items()])
+    base = _combined(base, [b for b, *_ in cats], [f"t_{k}" for k in terms])
+    grouped = base.groupingSets([[keys[k] for k in s] for s in ones + pairs], *keys).agg(F.grouping_id(*keys).alias("set"), *[F.sum(f"t_{k}").cast("double").alias(f"t_{k}") for k in terms])
     for k, (b, a, *_) in enumerate(cats):
         if by_value[k]:
             table = b.levels.df.select(F.col("level").alias(f"l{k}"), F.col("code").alias(f"n{k}"))
@@ -565,6 +589,11 @@ def hstack(matrices: Sequence[DesignMatrix]) -> DesignMatrix:
 
 
 def accumulate(*results: DataFrame, exact: bool = False) -> DataFrame:
-    """Sum of long-form results by their keys: what adding into an ``out`` array does."""
+    """Sum of long-form results by their keys: what adding into an ``out`` array does.
+
+    A result of some columns leaves the entries of all others as they are.
+    """
     keys = results[0].columns[:-1]
+    if any(r.columns != results[0].columns for r in results):
+        raise ValueError("results of different shapes cannot be added: " + "; ".join(", ".join(r.columns) for r in results))
     return _union(list(results)).groupBy(*keys).agg(total(F.col("value"), exact).alias("value"))

@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .matrix import DesignMatrix, total
+from ..plans.catalog import Numeric
+from .matrix import BROADCAST_ROWS, DesignMatrix, total
 
 
 @dataclass(frozen=True)
@@ -70,20 +71,30 @@ class StandardizedView:
         return sums.join(self._table(), F.col("j") == F.col("k")).select("j", (F.col("m") * F.col("value") + F.col("s") * F.lit(whole)).alias("value"))
 
     def sandwich(self, d: Column | str, rows=None, cols: Sequence[int] | None = None, exact: bool = False) -> DataFrame:
-        """Four terms from X'DX, X'd and sum(d); every cell of the result is present."""
-        d = F.col(d) if isinstance(d, str) else d
-        on = sorted(set(self.base._check_cols(cols)))
-        cells = self.base.sandwich(d, rows, cols, exact)
-        sums = {r["j"]: r["value"] for r in self.base.transpose_matvec(d, rows, cols, exact).collect()}
-        whole = self.base.filter(rows).df.agg(F.coalesce(total(d, exact), F.lit(0.0)).alias("t")).first()["t"]
-        m, s = self._mult, self.shift
-        spark = self.base.df.sparkSession
-        rest = spark.createDataFrame([(a, float(m[a]), float(s[a]), float(sums[a])) for a in on], "i int, mi double, si double, ti double")
-        other = F.array(*[F.struct(F.lit(b).alias("j"), F.lit(float(m[b])).alias("mj"), F.lit(float(s[b])).alias("sj"), F.lit(float(sums[b])).alias("tj")) for b in on])
-        grid = rest.select("*", F.explode(other).alias("o")).select("i", "mi", "si", "ti", "o.*")
+        """Four terms from X'DX, X'd and sum(d); every cell of the result is present.
+
+        The result is full, p rows for each of p columns, and is made where it is needed;
+        ``sandwich_parts`` gives the same in what is sparse and what is a vector.
+        """
+        cells, vectors, whole = self.sandwich_parts(d, rows, cols, exact)
+        spark, n = self.base.df.sparkSession, len(vectors)
+        table = spark.createDataFrame([(k, *v) for k, v in enumerate(vectors)], "k int, i int, mi double, si double, ti double")
+        table = F.broadcast(table) if n <= BROADCAST_ROWS else table
+        other = table.toDF("h", "j", "mj", "sj", "tj")
+        grid = spark.range(n * n).select(F.expr(f"CAST(id DIV {n} AS INT)").alias("k"), (F.col("id") % n).cast("int").alias("h")).join(table, "k").join(other, "h")
         value = F.col("mi") * F.col("mj") * F.coalesce("value", F.lit(0.0)) + F.col("mi") * F.col("ti") * F.col("sj") + F.col("si") * F.col("mj") * F.col("tj") + F.col("si") * F.col("sj") * F.lit(whole)
         return grid.join(cells, ["i", "j"], "left").select("i", "j", value.alias("value"))
 
+    def sandwich_parts(self, d: Column | str, rows=None, cols: Sequence[int] | None = None, exact: bool = False) -> tuple[DataFrame, list[tuple[int, float, float, float]], float]:
+        """X'DX in sparse cells, (j, mult, shift, X'd) of every column, and sum(d): what a sandwich of the view is made of."""
+        d = F.col(d) if isinstance(d, str) else d
+        on, p = sorted(set(self.base._check_cols(cols))), self.base.n_columns
+        # a column of ones has sum(d) come with X'd
+        with_ones = replace(self.base, blocks=(*self.base.blocks, Numeric(F.lit(1.0))))
+        sums = {r["j"]: r["value"] for r in with_ones.transpose_matvec(d, rows, [*on, p], exact).collect()}
+        m, s = self._mult, self.shift
+        return self.base.sandwich(d, rows, cols, exact), [(j, float(m[j]), float(s[j]), float(sums[j])) for j in on], float(sums[p])
+
     def multiply(self, d: Column | str) -> DesignMatrix:
         """Row scaling needs the values themselves: numeric columns."""
         return self.materialize().multiply(d)

@@ -303,24 +303,24 @@ def dense_matmul(spark, sf_dir):
 
 
 def _rounded(sql: str) -> str:
-    """The same sums in doubles, as few digits as any order of adding agrees on."""
-    return f"SELECT * REPLACE (round(value, 1) AS value) FROM ({sql.replace('::DECIMAL(24,6)', '')})"
+    """The same sums in doubles, to five places: terms have four, so no order of adding meets a tie."""
+    return f"SELECT * REPLACE (round(value, 5) AS value) FROM ({sql.replace('::DECIMAL(24,6)', '')})"
 
 
 @query(_rounded(cells_sql(NUM_SQL, [CODE_FLAG, CODE_STATUS], D, "lineitem")))
 def split_sandwich_double(spark, sf_dir):
-    return split(spark, sf_dir).sandwich(D).withColumn("value", F.round("value", 1))
+    return split(spark, sf_dir).sandwich(D).withColumn("value", F.round("value", 5))
 
 
 @query(_rounded(rmatvec_sql(NUM_SQL, SPLIT_CATS, D, "lineitem")))
 def split_rmatvec_double(spark, sf_dir):
-    return split(spark, sf_dir).transpose_matvec(D).withColumn("value", F.round("value", 1))
+    return split(spark, sf_dir).transpose_matvec(D).withColumn("value", F.round("value", 5))
 
 
 @query(_rounded(cells_sql({}, [code_sql("l_returnflag", FLAGS, 0)], "(l_quantity * l_tax * l_tax)", "lineitem")))
 def cat_sandwich_scaled(spark, sf_dir):
     """Rows times tax: a categorical with a multiplier."""
-    return single_categorical(lineitem(spark, sf_dir), "l_returnflag").multiply("l_tax").sandwich(D).withColumn("value", F.round("value", 1))
+    return single_categorical(lineitem(spark, sf_dir), "l_returnflag").multiply("l_tax").sandwich(D).withColumn("value", F.round("value", 5))
 
 
 @query(_cross("i BETWEEN 2 AND 4", "j <= 1"))

@@ -36,6 +36,36 @@ def single_categorical(df: DataFrame, column: str, levels: Sequence | None = Non
     return DesignMatrix(df, (Categorical(code, all_levels, name, term or name, drop_first, None, categorical_format, None, value),), row_id, base=base)
 
 
+def from_codes(
+    df: DataFrame,
+    column: str,
+    categories: Sequence,
+    drop_first: bool = False,
+    name: str | None = None,
+    term: str | None = None,
+    categorical_format: str = "{name}[{category}]",
+    cat_missing_method: str = "fail",
+    cat_missing_name: str = "(MISSING)",
+    row_id: str | None = None,
+) -> DesignMatrix:
+    """One categorical variable from a column of codes: places in ``categories``, null or -1 where missing.
+
+    Codes are used as they are, without a join, however many categories there are.
+    """
+    c, n = F.col(f"`{column}`").cast("int"), len(categories)
+    given = F.coalesce(c, F.lit(-1))
+    seen = df.agg(F.max(given).alias("high"), F.min(given).alias("low")).first()
+    if seen["high"] is not None and seen["high"] >= n:
+        raise ValueError(f"column {column} has code {seen['high']}, but there are {n} categories")
+    if seen["low"] is not None and seen["low"] < -1:
+        raise ValueError(f"column {column} has code {seen['low']}; only -1 stands for a missing value")
+    levels, last = resolve(column, [], seen["low"] == -1, list(categories), cat_missing_method, cat_missing_name)
+    code = F.when(c >= 0, c)
+    code = F.coalesce(code, F.lit(n)) if last else code
+    name = column if name is None else name
+    return DesignMatrix(df, (Categorical(code, levels, name, term or name, drop_first, None, categorical_format),), row_id)
+
+
 def from_df(
     df: DataFrame,
     sparse_threshold: float = 0.1,
@@ -48,8 +78,9 @@ def from_df(
     cat_missing_name: str = "(MISSING)",
     levels: Mapping[str, Sequence] | None = None,
     row_id: str | None = None,
+    dtype: str | None = None,
 ) -> DesignMatrix:
-    """A matrix of all usable columns of ``df`` but ``row_id``.
+    """A matrix of all usable columns of ``df`` but ``row_id``, of doubles or of ``dtype``.
 
     Columns named in ``levels`` are categorical with these levels (Spark has no categorical
     type).  Categoricals of fewer than ``cat_threshold`` levels become numeric indicator
@@ -90,7 +121,8 @@ def from_df(
         else:
             placed.append(block)
     # indicator columns of many levels need the joined code
-    return DesignMatrix(df, tuple(b for b in placed + later if b.width), row_id, base=base if cat_threshold <= LITERAL_LEVELS else None).split_density(sparse_threshold)
+    made = DesignMatrix(df, tuple(b for b in placed + later if b.width), row_id, base=base if cat_threshold <= LITERAL_LEVELS else None).split_density(sparse_threshold)
+    return made if dtype is None else made.astype(dtype)
 
 
 def from_pandas(spark: SparkSession, pdf, **how) -> DesignMatrix:
