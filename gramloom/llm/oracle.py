@@ -63,6 +63,24 @@ WITH {mixing_sql("documents")}
 SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target::DOUBLE AS target, (size * copies)::BIGINT AS taken FROM mixed
 """
 
+OP3 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 2 THEN w ELSE w[i:i + 1] END AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), k AS (SELECT doc_id, n, shingle_id FROM (SELECT doc_id, dense_rank() OVER (ORDER BY shingle) AS shingle_id FROM s) JOIN n USING (doc_id)
+), e AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM k a JOIN k b ON a.shingle_id = b.shingle_id AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
+"""
+
 _RULES = " AND ".join(f"coalesce({r.sql}, FALSE)" for r in RULES)
 
 OP5 = rf"""
@@ -99,4 +117,4 @@ FROM j GROUP BY rid
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op2_mixing": OP2, "op5_quality_rules": OP5, "op6_line_dedup": OP6}
+    return {"op1_exact_dedup": OP1, "op2_mixing": OP2, "op3_minhash": OP3, "op5_quality_rules": OP5, "op6_line_dedup": OP6}
