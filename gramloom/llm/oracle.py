@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .license_rules import BASE, RULES as LICENSE_RULES, SURENESS, on_places
+from .license_scan import LOWER_WORD
 from .mixing import BITS, LEVELS
 from .quality_rules import BASE_FAILED, RULES
 
@@ -115,6 +117,72 @@ SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER
 FROM j GROUP BY rid
 """
 
+#: Per part the sums of 32 masks, and the orders as all arrangements of the letters.
+OP11 = rf"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents
+), m AS (
+  SELECT doc_id, part, (CASE WHEN len(w) < 100 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END)
+         + (CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+         + (CASE WHEN min(doc_id) OVER (PARTITION BY t) < doc_id THEN 16 ELSE 0 END) AS mask
+  FROM t
+), g AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good,
+         count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS toxic
+  FROM m GROUP BY part, mask
+), f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS own
+), o(filter_order, used) AS (
+  SELECT '', 0 UNION ALL SELECT filter_order || letter, used | own FROM o, f WHERE used & own = 0
+), s AS (
+  SELECT o.filter_order, b.used AS before, f.letter, f.own, length(b.filter_order) + 1 AS step
+  FROM o JOIN o b ON length(o.filter_order) = 5 AND length(b.filter_order) < 5 AND starts_with(o.filter_order, b.filter_order) JOIN f ON f.letter = o.filter_order[length(b.filter_order) + 1]
+), r AS (
+  SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (mask & (before | own) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & own <> 0 AND mask & before = 0), 0) AS removed,
+         coalesce(sum(n) FILTER (mask & own <> 0 AND mask & before <> 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (mask & own <> 0 AND mask & before = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & own <> 0 AND mask & before = 0), 0) AS toxic_lost
+  FROM g, s GROUP BY part, filter_order, step, letter
+)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM r
+"""
+
+_CLASSES = range(1, len(SURENESS) + 1)
+
+
+def _placed_rules(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+
+
+#: All rules on all texts, without gates; containment by running extremes of each class.
+OP12 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{LOWER_WORD}') AS w FROM documents
+), p AS (
+  SELECT rid, doc_id, len(w)::BIGINT AS n_words, array_to_string(list_transform(w, lambda x, i: ' ' || x || '#' || (i - 1)::VARCHAR), '') AS placed FROM d
+), b AS (
+  SELECT rid, label, regexp_extract(m, '#([0-9]+)', 1)::BIGINT AS place
+  FROM (SELECT rid, label, unnest(regexp_extract_all(placed, pattern)) AS m FROM p, (VALUES {_placed_rules([(v, on_places(k)) for k, v in BASE.items()])}) v(label, pattern))
+), bb AS (
+  SELECT rid, count(*)::BIGINT AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS base_labels FROM b GROUP BY rid
+), s AS (
+  SELECT rid, rank, label, regexp_extract(m, '#([0-9]+)', 1)::INT AS s, regexp_extract(m, '#([0-9]+)$', 1)::INT AS e
+  FROM (SELECT rid, rank, label, unnest(regexp_extract_all(placed, pattern)) AS m FROM p, (VALUES {_placed_rules([(r.rank, r.label, on_places(r.pattern)) for r in LICENSE_RULES])}) v(rank, label, pattern))
+), o AS (
+  SELECT *, {", ".join(f"max(CASE WHEN rank = {c} THEN e END) OVER before AS most{c}, min(CASE WHEN rank = {c} THEN e END) OVER later AS least{c}" for c in _CLASSES)}
+  FROM s WINDOW before AS (PARTITION BY rid ORDER BY s, e DESC, rank, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                later AS (PARTITION BY rid ORDER BY s, e DESC, rank, label ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+), k AS (
+  SELECT rid, min(rank) AS rank, list(DISTINCT label) AS own FROM o
+  WHERE NOT ({" OR ".join(f"(rank >= {c} AND coalesce(most{c}, -1) >= e) OR (rank > {c} AND coalesce(least{c}, 2147483647) <= e)" for c in _CLASSES)})
+  GROUP BY rid
+)
+SELECT doc_id, n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base_labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base_labels, []), coalesce(own, [])))), ','), '') AS labels,
+       coalesce([{", ".join(map(str, SURENESS))}][rank], 0)::DOUBLE AS score
+FROM p LEFT JOIN bb USING (rid) LEFT JOIN k USING (rid)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op2_mixing": OP2, "op3_minhash": OP3, "op5_quality_rules": OP5, "op6_line_dedup": OP6}
+    return {"op1_exact_dedup": OP1, "op2_mixing": OP2, "op3_minhash": OP3, "op5_quality_rules": OP5, "op6_line_dedup": OP6, "op11_filter_audit": OP11, "op12_license_scans": OP12}

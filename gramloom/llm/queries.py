@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, lm_scoring, minhash, mixing, quality_gam, quality_rules, sentencepiece_codec, sharding, spelling, wordpiece
+from . import exact_dedup, filter_audit, license_scan, line_dedup, lm_scoring, minhash, mixing, quality_gam, quality_rules, sentencepiece_codec, sharding, spelling, wordpiece
 
 #: The vocabulary file that the coding queries use; a parameter of their operators.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -59,11 +59,19 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spelling.word_counts(_table(spark, sf_dir, "documents"), shortest=6, least=5, typo_every=199)
     return spelling.group_variants(words, factor=5, shortest=6)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_exact_dedup, op2_mixing, op3_minhash, op4_token_counts, op5_quality_rules, op6_line_dedup, op7_sentencepiece, op8_sharding, op9_lm_scoring, op10_quality_classifier, op13_spelling_variants)
+    own = (op1_exact_dedup, op2_mixing, op3_minhash, op4_token_counts, op5_quality_rules, op6_line_dedup, op7_sentencepiece, op8_sharding, op9_lm_scoring, op10_quality_classifier, op11_filter_audit, op12_license_scans, op13_spelling_variants)
     return {f.__name__: f for f in own}
