@@ -6,16 +6,17 @@ DataFrame that codes and zeros are joined from, which no single task or driver h
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass, replace
+from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.level_table import LevelTable
+from ..plans.scratch import written
+
 MISSING_METHODS = ("fail", "zero", "convert")
 #: Up to so many levels, codes come from a literal array; beyond, from a join with the level table.
 LITERAL_LEVELS = 64
@@ -23,33 +24,6 @@ LITERAL_LEVELS = 64
 BROADCAST_LEVELS = 100_000
 
 
-@dataclass(frozen=True)
-class LevelTable:
-    """``df`` has level and code, in order of the levels; ``extra`` is the name of the missing level."""
-
-    df: DataFrame
-    known: int
-    extra: tuple = ()
-
-    def __len__(self) -> int:
-        return self.known + len(self.extra)
-
-    def __iter__(self) -> Iterator:
-        """All levels on the driver, for those who ask for names."""
-        yield from (r["level"] for r in self.df.orderBy("code").toLocalIterator())
-        yield from self.extra
-
-    def __getitem__(self, k):
-        if isinstance(k, slice):
-            return list(self)[k]
-        k = range(len(self))[k]
-        return self.extra[0] if k >= self.known else self.df.filter(F.col("code") == k).first()["level"]
-
-    def __contains__(self, level) -> bool:
-        of_kind = isinstance(level, str) == isinstance(self.df.schema["level"].dataType, T.StringType)
-        return level in self.extra or (of_kind and bool(self.df.filter(F.col("level") == F.lit(level)).limit(1).count()))
-
-
 def clean(df: DataFrame, column: str) -> Column:
     """The column with NaN as null, since either is missing."""
     c = F.col(f"`{column}`")
@@ -58,16 +32,9 @@ def clean(df: DataFrame, column: str) -> Column:
 
 def level_table(df: DataFrame, column: str) -> LevelTable:
     """Distinct values sorted by range and written; codes are positions in a part plus the parts' sizes before it."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-gramloom-")
-    path = f"{root.rstrip('/')}/levels-{uuid.uuid4().hex}"
     values = df.select(clean(df, column).alias("level")).filter("level IS NOT NULL").distinct()
-    values.repartitionByRange("level").sortWithinPartitions("level").withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
-    table = spark.read.parquet(path).select("level", F.shiftright("at", 33).cast("int").alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    placed = written(values.repartitionByRange("level").sortWithinPartitions("level").withColumn("at", F.monotonically_increasing_id()), "levels")
+    table = placed.select("level", F.shiftright("at", 33).cast("int").alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
     sizes = sorted((r["part"], r["count"]) for r in table.groupBy("part").count().collect())
     before = dict(zip((k for k, _ in sizes), accumulate((n for _, n in sizes), initial=0)))
     first = F.element_at(F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)]), F.col("part")) if before else F.lit(0)

@@ -1,8 +1,10 @@
 """DesignMatrix: blocks over one DataFrame, and the reductions on them.
 
 Row vectors (weights ``d``, ``v`` of transpose_matvec) are columns or expressions of the
-same DataFrame; column vectors are lists.  ``rows`` is a predicate, or a list of row ids;
-``cols`` a list of column numbers, in any order.  Results are DataFrames in long form:
+same DataFrame (``with_row_vector`` brings them from another table); column vectors are lists,
+or tables (j, value).  ``rows`` is a predicate, or a list of row ids; ``numbered`` gives rows
+places, by which ``take`` and indexing pick them in any order and as often as asked.
+``cols`` is a list of column numbers, in any order.  Results are DataFrames in long form:
 matvec (row id, value), transpose_matvec (j, value), sandwich (i, j, value).  Cells of a
 sandwich that no row touches are absent; :func:`to_numpy` reads them as 0.
 
@@ -14,7 +16,7 @@ decimals instead of doubles, so that sums do not depend on the order of rows; te
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -26,6 +28,9 @@ from pyspark.sql import functions as F
 
 from ..functions.levels import LevelTable
 from ..plans.catalog import DENSE, SPARSE, Block, Categorical, Numeric
+from . import moments
+from . import rows as by_position
+from . import several
 
 #: Up to so many numeric columns the Gram sums are unrolled into one aggregate; wider ones go through Arrow.
 UNROLLED = 12
@@ -98,6 +103,8 @@ class DesignMatrix:
     spec: object = None
     #: The rows before codes of many levels were joined to them; sums are grouped by value on these.
     base: DataFrame | None = None
+    #: Whether row ids are places 0 .. n - 1.
+    placed: bool = False
 
     # -- shape and names -------------------------------------------------------
 
@@ -199,6 +206,18 @@ class DesignMatrix:
         ids = self.df.sparkSession.createDataFrame([(r,) for r in rows], f"{self.row_id} long")
         return on_both(lambda df: df.join(ids, self.row_id, "left_semi"))
 
+    def numbered(self, order_by: Sequence[Column | str] = (), name: str = "_row") -> "DesignMatrix":
+        """The matrix with places as row ids, in the order of ``order_by`` or as the rows stand; see :mod:`rows`."""
+        return by_position.numbered(self, order_by, name)
+
+    def take(self, rows: Sequence[int] | DataFrame, cols: Sequence[int] | None = None) -> "DesignMatrix":
+        """Rows by place with order and repeats kept, a list or a table (place, row), and columns in the order given."""
+        return by_position.take(self, rows, BROADCAST_ROWS).select(cols)
+
+    def with_row_vector(self, vector: DataFrame, name: str, checked: bool = True) -> "DesignMatrix":
+        """A table (id, value) beside the rows, as the column ``name``; it must have each row's id once."""
+        return by_position.with_row_vector(self, vector, name, checked)
+
     def _check_cols(self, cols: Sequence[int] | None) -> Sequence[int]:
         p = self.n_columns
         if cols is None:
@@ -212,26 +231,60 @@ class DesignMatrix:
         (i,) = self._check_cols([i])
         for b, at in zip(self.blocks, self.offsets()):
             if at <= i < at + b.width:
-                return replace(self, blocks=(b,)) if isinstance(b, Numeric) else replace(self, blocks=(b.column(i - at),), base=None)
+                if isinstance(b, Numeric):
+                    return replace(self, blocks=(b,))
+                # of many levels, one is a block of a single level, whose name is looked up when asked for
+                return self._masked(b, [i - at]) if isinstance(b.levels, LevelTable) else replace(self, blocks=(b.column(i - at),), base=None)
         raise IndexError(i)
 
+    def _masked(self, b: Categorical, places: Sequence[int]) -> "DesignMatrix":
+        """A matrix of some distinct columns of a categorical block in a given order, as a block again."""
+        block, kept = b.masked(places, LOOKUP)
+        if kept is None:
+            return replace(self, blocks=(block,))
+        table = self.df.sparkSession.createDataFrame(kept, f"{block.marks[0]} int, {block.marks[1]} int")
+        table = F.broadcast(table) if len(kept) <= BROADCAST_ROWS else table
+        levels = b.levels
+        if isinstance(levels, LevelTable):
+            place = F.col("code") - int(b.drop_first)
+            own = levels.df.join(table, place == F.col(block.marks[0])).select("level", F.col(block.marks[1]).alias("code"))
+            block = replace(block, levels=replace(block.levels, df=own))
+        df = self.df.join(table, b.position == F.col(block.marks[0]), "left").drop(block.marks[0])
+        return replace(self, df=df, blocks=(replace(block, marks=None),))
+
     def select(self, cols: Sequence[int] | None) -> "DesignMatrix":
-        """Columns in the order given; whole categorical blocks stay categorical."""
+        """Columns in the order given; what is taken of a categorical block in a row stays a categorical block."""
         if cols is None:
             return self
-        cols, out, k = self._check_cols(cols), [], 0
-        at = dict(zip(self.offsets(), self.blocks))
+        cols, out, k, df, indicators = self._check_cols(cols), [], 0, self.df, False
+        starts = self.offsets()
         while k < len(cols):
-            b = at.get(cols[k])
-            if isinstance(b, Categorical) and b.width and cols[k : k + b.width] == list(range(cols[k], cols[k] + b.width)):
+            of = bisect_right(starts, cols[k]) - 1
+            while not self.blocks[of].width:
+                of -= 1
+            b, at = self.blocks[of], starts[of]
+            if isinstance(b, Numeric):
                 out.append(b)
-                k += b.width
-            else:
-                out += self.getcol(cols[k]).blocks
                 k += 1
+                continue
+            run, seen, missing = k, set(), b.width - 1 if isinstance(b.levels, LevelTable) and b.levels.extra else None
+            while run < len(cols) and at <= cols[run] < at + b.width and cols[run] not in seen and not (run > k and cols[run - 1] - at == missing):
+                seen.add(cols[run])
+                run += 1
+            places = [c - at for c in cols[k:run]]
+            if places == list(range(b.width)):
+                out.append(b)
+            elif len(places) == 1 and not isinstance(b.levels, LevelTable):
+                out.append(b.column(places[0]))
+                indicators = True
+            else:
+                part = replace(self, df=df)._masked(b, places)
+                df, indicators = part.df, indicators or not isinstance(b.levels, LevelTable)
+                out += part.blocks
+            k = run
         # an indicator column needs its block's code beside it
-        own = set(map(id, self.blocks))
-        return replace(self, blocks=tuple(out), base=self.base if all(id(b) in own for b in out) else None)
+        long = any(isinstance(getattr(b, "levels", None), LevelTable) for b in self.blocks)
+        return replace(self, df=df, blocks=tuple(out), base=None if indicators and not long else self.base)
 
     def __getitem__(self, key) -> "DesignMatrix":
         rows, cols = key if isinstance(key, tuple) else (key, None)
@@ -240,6 +293,8 @@ class DesignMatrix:
         rows = [rows] if isinstance(rows, int) else None if isinstance(rows, slice) and rows == slice(None) else rows
         if isinstance(rows, np.ndarray) and rows.dtype == bool or isinstance(rows, list) and rows and all(isinstance(r, bool) for r in rows):
             rows = [int(r) for r in np.flatnonzero(rows)]
+        elif self.placed and isinstance(rows, (list, tuple, range, np.ndarray, DataFrame)):
+            return self.take(rows, [cols] if isinstance(cols, int) else range(self.n_columns)[cols] if isinstance(cols, slice) else cols)
         if isinstance(cols, int):
             cols = [cols]
         elif isinstance(cols, slice):
@@ -279,7 +334,7 @@ class DesignMatrix:
             extra = F.when(b.code >= b.levels.known, F.lit(b.levels.extra[0])) if b.levels.extra else F.lit(None)
             table = b.levels.df.toDF("_level", "_level_code")
             return self.df.join(table, b.code == F.col("_level_code"), "left").select(*self._ids(), F.coalesce("_level", extra).alias("value"))
-        value = b.source if b.source is not None else F.get(F.array(*[F.lit(x) for x in b.levels]), b.code)
+        value = F.when(b.code.isNotNull(), b.source) if b.source is not None else F.get(F.array(*[F.lit(x) for x in b.levels]), b.code)
         return self.df.select(*self._ids(), value.alias("value"))
 
     def astype(self, dtype: str) -> "DesignMatrix":
@@ -294,8 +349,12 @@ class DesignMatrix:
 
     # -- reductions ------------------------------------------------------------
 
-    def matvec(self, v: Sequence[float], cols: Sequence[int] | None = None) -> DataFrame:
-        """X[:, cols] @ v[cols] as (row id, value); v has one number per column of X."""
+    def matvec(self, v: Sequence[float] | DataFrame, cols: Sequence[int] | None = None) -> DataFrame:
+        """X[:, cols] @ v[cols] as (row id, value); v has one number per column of X, in a list or a table (j, value)."""
+        if isinstance(v, DataFrame):
+            from .vectors import matvec_table
+
+            return matvec_table(self, v, cols)
         if len(v) != self.n_columns:
             raise ValueError(f"shapes not aligned: {self.n_columns} columns, {len(v)} numbers")
         on = self._check_cols(cols)
@@ -412,18 +471,17 @@ class DesignMatrix:
         return self.transpose_matvec(w, exact=exact).select("j", (F.col("value") / F.lit(float(whole))).alias("value"))
 
     def col_stds(self, weights: Column | str, exact: bool = False) -> DataFrame:
-        """(j, value): population standard deviations; numeric columns in two passes."""
+        """(j, value): population standard deviations in one pass; with ``exact``, in two with decimals, for few columns."""
+        if exact is False:
+            return moments.col_stds(self, weights)
         w = F.col(weights) if isinstance(weights, str) else weights
         found = self.col_means(w, exact)
         plain = [(a, a + b.width) for b, a in zip(self.blocks, self.offsets()) if isinstance(b, Categorical) and b.multiplier is None and b.width]
         of_plain = reduce(lambda p, q: p | q, [F.col("j").between(a, e - 1) for a, e in plain], F.lit(False))
+        scaled = [(b, a) for b, a in zip(self.blocks, self.offsets()) if isinstance(b, Categorical) and b.multiplier is not None and b.width]
         means = {r["j"]: r["value"] for r in found.filter(~of_plain).collect()}
-        parts = []
-        for b, a in zip(self.blocks, self.offsets()):
-            if isinstance(b, Numeric):
-                parts.append((a, total(w * (b.value - F.lit(means[a])) * (b.value - F.lit(means[a])), exact)))
-            elif b.multiplier is not None:
-                parts += [(a + k, total(w * (b.column(k).value - F.lit(means[a + k])) ** 2, exact)) for k in range(b.width)]
+        parts = [(a, total(w * (b.value - F.lit(means[a])) * (b.value - F.lit(means[a])), exact)) for b, a in zip(self.blocks, self.offsets()) if isinstance(b, Numeric)]
+        parts += [(a + k, total(w * (b.column(k).value - F.lit(means[a + k])) ** 2, exact)) for b, a in scaled for k in range(b.width)]
         spark, out = self.df.sparkSession, []
         if parts:
             row = self.df.agg(total(w, exact).alias("w"), *[s.alias(f"s{j}") for j, s in parts])
@@ -448,11 +506,11 @@ class DesignMatrix:
         v = np.asarray(v, dtype=float)
         if v.ndim != 2 or len(v) != self.n_columns:
             raise ValueError(f"shapes not aligned: {self.n_columns} columns, operand {v.shape}")
-        return _union([self.matvec(list(v[:, k]), cols).withColumn("k", F.lit(k)) for k in range(v.shape[1])]).select(*["row_id"] * bool(self.row_id), "k", "value")
+        return several.matmul(self, v, cols)
 
     def transpose_matmul(self, v: Sequence[Column | str], rows=None, cols: Sequence[int] | None = None, exact: bool = False) -> DataFrame:
-        """X.T @ V for several row vectors: (j, k, value), k the place of the vector."""
-        return _union([self.transpose_matvec(x, rows, cols, exact).withColumn("k", F.lit(k)) for k, x in enumerate(v)]).select("j", "k", "value")
+        """X.T @ V for several row vectors: (j, k, value), k the place of the vector; all of them in the same passes."""
+        return several.transpose_matmul(self, [F.col(x) if isinstance(x, str) else x for x in v], rows, cols, exact)
 
     def __matmul__(self, v) -> DataFrame:
         return self.matmul(v) if np.ndim(v) == 2 else self.matvec(v)
@@ -559,10 +617,15 @@ def _grouped(m: DesignMatrix, numeric: list, cats: list, crosses, d: Column, exa
     return grouped.select(F.explode(cells).alias("e")).select("e.i", "e.j", "e.value")
 
 
-def hstack(matrices: Sequence[DesignMatrix]) -> DesignMatrix:
-    """Blocks side by side; matrices over different DataFrames are joined on their row ids, which must be the same."""
+def hstack(matrices: Sequence[DesignMatrix], by_place: bool = False) -> DesignMatrix:
+    """Blocks side by side; matrices over different DataFrames are joined on their row ids, which must be the same.
+
+    ``by_place`` numbers the rows of each first, as they stand, so that no ids are needed.
+    """
     if not matrices:
-        raise ValueError("Need at least one matrix to concatenate.")
+        raise ValueError("hstack was given no matrix")
+    if by_place and any(m.df is not matrices[0].df for m in matrices):
+        matrices = by_position.by_place(matrices)
     first = matrices[0]
     blocks, df = list(first.blocks), first.df
     for k, m in enumerate(matrices[1:], 1):

@@ -7,12 +7,15 @@ variable.  A categorical block is never expanded in reductions; it is a code exp
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .level_table import LevelTable
+
 DENSE, SPARSE, CATEGORICAL = "dense", "sparse", "categorical"
 
 
@@ -57,6 +60,8 @@ class Categorical:
     form: str = "{name}[{category}]"
     column_names: Sequence[str] | None = None
     source: Column | None = None
+    #: Of a block that waits for a join: the columns with the old and the new places.
+    marks: tuple[str, str] | None = None
 
     kind = CATEGORICAL
 
@@ -101,6 +106,40 @@ class Categorical:
         made = [self.form.format(name=name, category=c) for c in self.levels[int(self.drop_first) :]]
         return name if made == list(names) else None
 
+    def masked(self, places: Sequence[int], most: int) -> tuple["Categorical", list[tuple[int, int]] | None]:
+        """Some distinct columns of the block in the order given, as a block: codes are moved, never unrolled.
+
+        Up to ``most`` runs of consecutive places become one expression; beyond, the second
+        result lists (old place, new place) for the join that ``marks`` names.  Where the
+        missing level is taken, it comes last.  Names are not looked up.
+        """
+        runs: list[list[int]] = []  # first place, last place, first new place
+        for new, old in enumerate(places):
+            if runs and old == runs[-1][1] + 1:
+                runs[-1][1] = old
+            else:
+                runs.append([old, old, new])
+
+        def moved(place: Column) -> Column:
+            out = F.when(F.lit(False), F.lit(None).cast("int"))
+            for a, b, new in runs:
+                out = out.when(place.between(a, b), (place - a + new).cast("int"))
+            return out
+
+        own = None if self.column_names is None else [self.column_names[k] for k in places] if isinstance(self.column_names, (list, tuple)) else None
+        if isinstance(self.levels, LevelTable):
+            takes_missing = bool(self.levels.extra) and self.width - 1 in places
+            place = F.col("code") - int(self.drop_first)
+            table = self.levels.df if len(runs) > most else self.levels.df.select("level", moved(place).alias("code")).filter("code IS NOT NULL")
+            levels: Sequence = LevelTable(table, len(places) - takes_missing, self.levels.extra if takes_missing else ())
+        else:
+            levels = [self.levels[k + self.drop_first] for k in places] if isinstance(self.levels, (list, tuple)) else list(self.levels[int(self.drop_first) :][k] for k in places)
+        block = replace(self, levels=levels, drop_first=False, column_names=own)
+        if len(runs) <= most:
+            return replace(block, code=moved(self.position)), None
+        marks = tuple(f"_mask{uuid.uuid4().hex[:12]}_{x}" for x in ("old", "new"))
+        return replace(block, code=F.col(marks[1]), marks=marks), [(int(old), new) for new, old in enumerate(places)]
+
     def column(self, k: int) -> Numeric:
         """Its k-th indicator column, as a numeric block."""
         value = F.when(self.position == k, self.weight).otherwise(F.lit(0.0))
