@@ -13,7 +13,7 @@ from dataclasses import dataclass
 #: Licences by label, identifier in tags, and name in running text.
 FAMILIES = """
 mit | mit | (?:mit|expat|mit x11|x11) licen[sc]e
-mit-0 | mit 0 | mit no attribution(?: licen[sc]e)?
+mit-0 | mit 0 | mit no attribution licen[sc]e
 apache-1.1 | apache 1 1 | apache (?:software )?licen[sc]e(?: version)?(?: v1| 1) 1
 apache-2.0 | apache 2 0 | apache (?:software )?licen[sc]e(?: version)?(?: v2| 2)(?: 0)?
 bsd-2-clause | bsd 2 clause | (?:(?:simplified|freebsd) bsd|bsd 2 clause|2 clause bsd) licen[sc]e
@@ -82,7 +82,7 @@ OTHERS = """
 2 | ncsa | permission | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software
 2 | bsd-2-clause | redistribut | redistribution and use in source and binary forms with or without modification are permitted
 2 | bsd-3-clause | permission | may be used to endorse or promote products derived from this software without specific prior written permission
-2 | bsd-4-clause | software | redistribut[^ #]+(?: ~){0,30} all advertising materials mentioning features or use of this software
+2 | bsd-4-clause | software | redistributions?(?: ~){0,30} all advertising materials mentioning features or use of this software
 2 | apache-2.0 | compliance | you may not use this file except in compliance with the licen[sc]e
 2 | apache-2.0 | licenses | a copy of the licen[sc]e at http www apache org licenses license 2 0
 2 | gpl-2.0 | redistribut | you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation either version 2
@@ -148,7 +148,7 @@ OTHERS = """
 5 | dual-license | licen | dual licen[sc]ed
 5 | copyleft | copyleft | (?:strong |weak )?copyleft
 5 | unknown-license | licen | (?:licen[sc]ed|sublicen[sc]ed) under
-5 | unknown-license | licen | see(?: the)? (?:licen[sc]e|copying)(?: ~)? file
+5 | unknown-license | licen | see(?: the)? licen[sc]e(?: ~)? file
 5 | unknown-license | licen | (?:terms and conditions|terms) of(?: the| this| a)? licen[sc]e
 5 | unknown-license | licen | released under(?: ~){1,4} licen[sc]e
 5 | unknown-license | licen | this licen[sc]e
