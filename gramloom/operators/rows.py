@@ -102,10 +102,10 @@ def with_row_vector(m: DesignMatrix, vector: DataFrame, name: str, checked: bool
         raise ValueError("a vector from another table needs row ids")
     if name in m.df.columns:
         raise ValueError(f"there is a column {name} already")
-    key, value = vector.columns
+    key, _ = vector.columns
     if checked:
-        check_ids(m.df.select(m.row_id), vector.select(key), f"row vector {name}")
-    other = vector.select(F.col(key).alias("_vector_id"), F.col(value).alias(name))
+        check_ids(m.df.select(F.col(f"`{m.row_id}`")), vector.select(F.col(f"`{key}`")), f"row vector {name}")
+    other = vector.toDF("_vector_id", name)
 
     def on(df: DataFrame) -> DataFrame:
         return df.join(other, F.col(m.row_id) == F.col("_vector_id")).drop("_vector_id")

@@ -26,8 +26,7 @@ FLAT = 1e-7
 
 def check_column_vector(v: DataFrame, p: int) -> DataFrame:
     """(j int, value double) of a vector that has each of the columns 0 .. p - 1 once, or ValueError."""
-    key, value = v.columns
-    v = v.select(F.col(key).cast("int").alias("j"), F.col(value).cast("double").alias("value"))
+    v = v.toDF("j", "value").select(F.col("j").cast("int"), F.col("value").cast("double"))
     n, distinct, low, high = v.agg(F.count(F.lit(1)), F.count_distinct("j"), F.min("j"), F.max("j")).first()
     if (n, distinct) != (p, p) or p and (low, high) != (0, p - 1):
         raise ValueError(f"shapes not aligned: {p} columns, a vector of {n} entries over {distinct} columns from {low} to {high}")
@@ -53,7 +52,7 @@ def matvec_table(m: DesignMatrix, v: DataFrame, cols: Sequence[int] | None = Non
             if a in few:
                 terms.append(b.value * F.lit(few[a]))
             continue
-        if (b, a) in long:
+        if isinstance(b.levels, LevelTable):
             known, missing = b.width - len(b.levels.extra), F.lit(few.get(a + b.width - 1, 0.0))
             entries = v.filter(F.col("j").between(a, a + known - 1)).select((F.col("j") - a).alias("_at"), F.col("value").alias(f"_x{k}"))
             if by_value:
