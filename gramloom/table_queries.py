@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import hstack, single_categorical
 from .operators.moments import moments
+from .operators.tiles import TiledMatrix
 from .operators.vectors import matvec_table, standardize_table
 from .queries import CODE_FLAG, CODE_STATUS, D, S, lineitem, query, split, table
 from .sources import dense
@@ -184,3 +185,54 @@ def select_level_list(spark, sf_dir):
 def getcol_long_factor(spark, sf_dir):
     m = replace(single_categorical(lineitem(spark, sf_dir), "l_partkey"), row_id="l_orderkey")
     return m.getcol(7).matvec([1.0])
+
+# -- sparse matrices in tiles ------------------------------------------------------------
+
+
+def _tiled(spark, sf_dir, **how):
+    """Order keys by part keys, both growing with the table, the sum of discounts in each cell."""
+    cells = lineitem(spark, sf_dir).groupBy(F.col("l_orderkey").alias("i"), F.col("l_partkey").alias("j")).agg(F.sum("l_discount").alias("value"))
+    n, p = (cells.agg(F.max(c)).first()[0] + 1 for c in ("i", "j"))
+    return TiledMatrix.from_coo(cells, n, p, **how)
+
+
+_CELLS_SQL = "x AS (SELECT l_orderkey AS i, l_partkey AS j, sum(l_discount) AS value FROM lineitem GROUP BY 1, 2 HAVING sum(l_discount) <> 0)"
+
+
+@query(f"WITH {_CELLS_SQL}, d AS (SELECT o_orderkey AS i, o_totalprice AS x FROM orders) SELECT a.j AS i, b.j AS j, round(sum(a.value * b.value * x), 4) AS value FROM x a JOIN x b USING (i) JOIN d USING (i) GROUP BY 1, 2")
+def tiled_sandwich(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return _tiled(spark, sf_dir).sandwich(d).withColumn("value", F.round("value", 4))
+
+
+@query(f"WITH {_CELLS_SQL}, d AS (SELECT o_orderkey AS i, o_totalprice AS x FROM orders WHERE o_orderstatus = 'F') SELECT a.j AS i, b.j AS j, round(sum(a.value * b.value * x), 4) AS value FROM x a JOIN x b USING (i) JOIN d USING (i) WHERE a.j IN (SELECT p_partkey FROM part WHERE p_size < 10) AND b.j IN (SELECT p_partkey FROM part WHERE p_size < 10) GROUP BY 1, 2")
+def tiled_sandwich_rows_cols(spark, sf_dir):
+    """Columns cut into blocks, and both restrictions as tables."""
+    d = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    m = _tiled(spark, sf_dir, col_block=500)
+    rows = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey")
+    cols = table(spark, sf_dir, "part").filter("p_size < 10").select("p_partkey")
+    return m.sandwich(d, rows, cols).withColumn("value", F.round("value", 4))
+
+
+@query(f"WITH {_CELLS_SQL}, y AS (SELECT p_partkey AS j, p_size AS k, p_retailprice AS r FROM part) SELECT i, k::BIGINT AS j, round(sum(value * r), 4) AS value FROM x JOIN y USING (j) GROUP BY 1, 2")
+def tiled_dot(spark, sf_dir):
+    """Orders by parts times parts by sizes."""
+    part = table(spark, sf_dir, "part")
+    p = part.agg(F.max("p_partkey")).first()[0] + 1
+    m = _tiled(spark, sf_dir)
+    sizes = TiledMatrix.from_coo(part.select(F.col("p_partkey").alias("i"), F.col("p_size").alias("j"), F.col("p_retailprice").alias("value")), max(p, m.n_columns), 100)
+    wide = TiledMatrix(m.tiles, m.n_rows, sizes.n_rows, m.row_block, m.col_block)
+    return wide.dot(sizes).withColumn("value", F.round("value", 4))
+
+
+@query(f"WITH {_CELLS_SQL} SELECT i AS row_id, round(sum(value * p_retailprice), 4) AS value FROM x JOIN part ON j = p_partkey WHERE i % 2 = 0 AND p_size > 25 GROUP BY 1")
+def tiled_matvec_rows_cols(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    even = table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select("o_orderkey").unionAll(lineitem(spark, sf_dir).filter("l_orderkey % 2 = 0").select("l_orderkey"))
+    return _tiled(spark, sf_dir).matvec(part.select("p_partkey", "p_retailprice"), even, part.filter("p_size > 25").select("p_partkey")).withColumn("value", F.round("value", 4))
+
+
+@query(f"WITH {_CELLS_SQL} SELECT j, round(sum(value * o_totalprice), 4) AS value FROM x JOIN orders ON i = o_orderkey GROUP BY 1")
+def tiled_rmatvec(spark, sf_dir):
+    return _tiled(spark, sf_dir).transpose_matvec(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")).withColumn("value", F.round("value", 4))
