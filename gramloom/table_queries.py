@@ -199,20 +199,20 @@ def _tiled(spark, sf_dir, **how):
 _CELLS_SQL = "x AS (SELECT l_orderkey AS i, l_partkey AS j, sum(l_discount) AS value FROM lineitem GROUP BY 1, 2 HAVING sum(l_discount) <> 0)"
 
 
-@query(f"WITH {_CELLS_SQL}, d AS (SELECT o_orderkey AS i, o_totalprice AS x FROM orders) SELECT a.j AS i, b.j AS j, round(sum(a.value * b.value * x), 4) AS value FROM x a JOIN x b USING (i) JOIN d USING (i) GROUP BY 1, 2")
+@query(f"WITH {_CELLS_SQL}, d AS (SELECT o_orderkey AS i, o_totalprice AS x FROM orders) SELECT a.j AS i, b.j AS j, round(sum(a.value * b.value * x), 6) AS value FROM x a JOIN x b USING (i) JOIN d USING (i) GROUP BY 1, 2")
 def tiled_sandwich(spark, sf_dir):
     d = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return _tiled(spark, sf_dir).sandwich(d).withColumn("value", F.round("value", 4))
+    return _tiled(spark, sf_dir).sandwich(d).withColumn("value", F.round("value", 6))
 
 
-@query(f"WITH {_CELLS_SQL}, d AS (SELECT o_orderkey AS i, o_totalprice AS x FROM orders WHERE o_orderstatus = 'F') SELECT a.j AS i, b.j AS j, round(sum(a.value * b.value * x), 4) AS value FROM x a JOIN x b USING (i) JOIN d USING (i) WHERE a.j IN (SELECT p_partkey FROM part WHERE p_size < 10) AND b.j IN (SELECT p_partkey FROM part WHERE p_size < 10) GROUP BY 1, 2")
+@query(f"WITH {_CELLS_SQL}, d AS (SELECT o_orderkey AS i, o_totalprice AS x FROM orders WHERE o_orderstatus = 'F') SELECT a.j AS i, b.j AS j, round(sum(a.value * b.value * x), 6) AS value FROM x a JOIN x b USING (i) JOIN d USING (i) WHERE a.j IN (SELECT p_partkey FROM part WHERE p_size < 10) AND b.j IN (SELECT p_partkey FROM part WHERE p_size < 10) GROUP BY 1, 2")
 def tiled_sandwich_rows_cols(spark, sf_dir):
     """Columns cut into blocks, and both restrictions as tables."""
     d = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     m = _tiled(spark, sf_dir, col_block=500)
     rows = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey")
     cols = table(spark, sf_dir, "part").filter("p_size < 10").select("p_partkey")
-    return m.sandwich(d, rows, cols).withColumn("value", F.round("value", 4))
+    return m.sandwich(d, rows, cols).withColumn("value", F.round("value", 6))
 
 
 @query(f"WITH {_CELLS_SQL}, y AS (SELECT p_partkey AS j, p_size AS k, p_retailprice AS r FROM part) SELECT i, k::BIGINT AS j, round(sum(value * r), 4) AS value FROM x JOIN y USING (j) GROUP BY 1, 2")
