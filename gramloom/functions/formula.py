@@ -1,9 +1,11 @@
 """Wilkinson formulas over Spark DataFrames.
 
-Grammar: ``lhs ~ rhs``; terms joined by ``+`` and ``-``, crossed by ``*``, interacted by
-``:``; ``0``, ``1`` and ``-1`` for the intercept; parentheses; factors are names
-(backticks allowed), calls, or ``{expression}``.  Expressions are read with Python's own
-parser and turned into Columns from a whitelist; formula text is never evaluated.
+Grammar: ``lhs ~ rhs``; terms joined by ``+`` and ``-``, crossed by ``*``, nested by ``/``
+(``a / b`` is ``a + a:b``), interacted by ``:``, and ``(a + b) ** n`` (or ``^``) for all
+interactions of up to n of them; ``.`` for every column that the left side does not use; ``0``,
+``1`` and ``-1`` for the intercept; parentheses; factors are names (backticks allowed), calls, or
+``{expression}``.  Expressions are read with Python's own parser and turned into Columns by
+:mod:`expressions`; formula text is never evaluated.
 
 Terms are ordered by degree.  With ``ensure_full_rank``, a term is expanded into its
 scoped parts (each categorical reduced or absent), parts spanned by earlier terms are
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.matrix import DesignMatrix
-from ..plans.catalog import Block, Categorical, Numeric
+from ..plans.catalog import SPARSE, Block, Categorical, Numeric
+from .expressions import BUILT_IN, Compiler, Flag, StructureError, flag
 from .levels import LevelTable, clean, observe, resolve, with_code
 from .quantiles import percentiles
 
@@ -57,8 +60,11 @@ def tokens(text: str) -> list[str]:
         c = text[i]
         if c.isspace():
             i += 1
-        elif c in "+-*:~()":
-            out.append(c)
+        elif text.startswith("**", i):
+            out.append("**")
+            i += 2
+        elif c in "+-*/^:~()":
+            out.append("**" if c == "^" else c)
             i += 1
         elif c == "{":
             end = closing(i)
@@ -81,11 +87,28 @@ def tokens(text: str) -> list[str]:
     return out
 
 
+def sides(text: str) -> tuple[str, str, str]:
+    """Left side, tilde, right side; a tilde inside of brackets is no separator."""
+    depth, quote, at = 0, "", -1
+    for k, c in enumerate(text):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"`":
+            quote = c
+        elif c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+        elif c == "~" and not depth:
+            at = k
+    return ("", "", text) if at < 0 else (text[:at], "~", text[at + 1 :])
+
+
 Term = tuple[str, ...]
 
 
-def parse_terms(text: str, intercept: bool) -> list[Term]:
-    """Terms in order of degree; the empty tuple is the intercept."""
+def parse_terms(text: str, intercept: bool, others: Sequence[str] = ()) -> list[Term]:
+    """Terms in order of degree; the empty tuple is the intercept.  ``others`` is what ``.`` stands for."""
     items = tokens(text)
     at = 0
 
@@ -102,28 +125,43 @@ def parse_terms(text: str, intercept: bool) -> list[Term]:
                 raise ValueError(f"missing ) in {text!r}")
             at += 1
             return inner
-        if t is None or t in "+-*:~)":
+        if t == ".":
+            return [(c if c.isidentifier() else f"`{c}`",) for c in others]
+        if t is None or t in ("+", "-", "*", "/", ":", "~", ")", "**"):
             raise ValueError(f"unexpected {t!r} in formula {text!r}")
         return [()] if t == "1" else [("0",)] if t == "0" else [(t,)]
 
     def crossed(a: list[Term], b: list[Term]) -> list[Term]:
         return list(dict.fromkeys(tuple(dict.fromkeys(x + y)) for x in a for y in b))
 
+    def power() -> list[Term]:
+        nonlocal at
+        base = atom()
+        while peek() == "**":
+            n = items[at + 1] if at + 1 < len(items) else ""
+            if not n.isdigit() or int(n) < 1:
+                raise ValueError(f"terms can be raised to a whole number from 1 only, not to {n!r}")
+            at += 2
+            picks = [tuple(dict.fromkeys(f for t in pick for f in t)) for k in range(1, int(n) + 1) for pick in itertools.combinations(base, k)]
+            base = list({frozenset(t): t for t in reversed(picks)}.values())[::-1]
+        return base
+
     def interaction() -> list[Term]:
         nonlocal at
-        left = atom()
+        left = power()
         while peek() == ":":
             at += 1
-            left = crossed(left, atom())
+            left = crossed(left, power())
         return left
 
     def product() -> list[Term]:
         nonlocal at
         left = interaction()
-        while peek() == "*":
-            at += 1
+        while peek() in ("*", "/"):
+            nested, at = items[at] == "/", at + 1
             right = interaction()
-            left = list(dict.fromkeys([*left, *right, *crossed(left, right)]))
+            within = [tuple(dict.fromkeys(f for t in left for f in t))] if nested else left
+            left = list(dict.fromkeys([*left, *([] if nested else right), *crossed(within, right)]))
         return left
 
     def expression() -> list[Term]:
@@ -204,7 +242,11 @@ class Spec:
     options: dict
     state: dict = field(default_factory=dict)
     names: list[str] | None = None
+    #: (term, names of its columns) in order; what a replay is held against.
+    structure: list | None = None
     context: Mapping[str, object] = field(default_factory=dict)
+    #: The columns that ``.`` stood for.
+    others: list[str] | None = None
 
     def get_model_matrix(self, df: DataFrame, row_id: str | None = None) -> DesignMatrix:
         return _build(df, replace(self, state=dict(self.state)), row_id)
@@ -220,7 +262,7 @@ class Spec:
                 known["levels"].df.write.parquet(path)
                 known = known | {"levels": {"table": path, "known": known["levels"].known, "extra": list(known["levels"].extra)}}
             state[key] = known
-        return json.dumps({"formula": self.formula, "options": self.options, "state": state, "names": self.names})
+        return json.dumps({"formula": self.formula, "options": self.options, "state": state, "names": self.names, "structure": self.structure, "others": self.others})
 
     @classmethod
     def from_json(cls, spark: SparkSession, text: str, context: Mapping[str, object] | None = None) -> "Spec":
@@ -233,18 +275,6 @@ class Spec:
         return cls(**read, context=dict(context or {}))
 
 
-_BINARY: dict[type, Callable] = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: lambda a, b: F.try_divide(F.lit(a).cast("double"), F.lit(b)) if isinstance(a, Column) or isinstance(b, Column) else a / b, ast.Pow: lambda a, b: F.pow(a, F.lit(b)) if isinstance(a, Column) else a**b}
-_COMPARE: dict[type, Callable] = {ast.Eq: lambda a, b: a == b, ast.NotEq: lambda a, b: a != b, ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b}
-_FUNCTIONS: dict[str, Callable] = {
-    "log": lambda x: F.log(x),
-    "log1p": lambda x: F.log1p(x),
-    "exp": lambda x: F.exp(x),
-    "sqrt": lambda x: F.sqrt(x),
-    "abs": lambda x: F.abs(x),
-    "where": lambda c, a, b: F.when(c, a).otherwise(b),
-}
-
-
 def stateful_transform(function: Callable) -> Callable:
     """Marks a function of ``context`` that learns from its data: it also gets ``state`` and ``df``.
 
@@ -268,35 +298,26 @@ class _Factors:
             raise ValueError(f"no column {name!r}")
         kind = self.types[name]
         c = clean(self.df, name)
+        if isinstance(kind, T.BooleanType):
+            return flag(c)
         return c.cast("double") if isinstance(kind, (T.NumericType, T.BooleanType)) else c
 
     def evaluate(self, node: ast.AST):
-        if isinstance(node, ast.Constant):
-            return node.value
-        if isinstance(node, ast.Name):
-            return self.column(node.id) if node.id in self.types else self.spec.context[node.id] if node.id in self.spec.context else self.column(node.id)
-        if isinstance(node, ast.List):
-            return [self.evaluate(x) for x in node.elts]
-        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
-            return -self.evaluate(node.operand)
-        if isinstance(node, ast.BinOp) and type(node.op) in _BINARY:
-            return _BINARY[type(node.op)](self.evaluate(node.left), self.evaluate(node.right))
-        if isinstance(node, ast.Compare) and len(node.ops) == 1 and type(node.ops[0]) in _COMPARE:
-            return _COMPARE[type(node.ops[0])](self.evaluate(node.left), self.evaluate(node.comparators[0]))
-        if isinstance(node, ast.Call):
-            name = node.func.attr if isinstance(node.func, ast.Attribute) else node.func.id if isinstance(node.func, ast.Name) else None
-            args = [self.evaluate(a) for a in node.args]
-            named = {k.arg: self.evaluate(k.value) for k in node.keywords}
-            if name in ("center", "poly", "bs"):
-                return getattr(self, f"_{name}")(ast.unparse(node), *args, **named)
-            if name in _FUNCTIONS:
-                return _FUNCTIONS[name](*[F.lit(a) if not isinstance(a, Column) and name == "where" else a for a in args], **named)
-            if name in self.spec.context and callable(self.spec.context[name]):
-                own = self.spec.context[name]
-                if getattr(own, "is_stateful", False):
-                    named |= {"state": self.spec.state.setdefault(ast.unparse(node), {}), "df": self.df}
-                return own(*args, **named)
-        raise ValueError(f"{ast.unparse(node)!r} is not supported in a formula")
+        """The value of an expression: a Column, a number, text, or a list."""
+        return Compiler(self.named, self.called).value(node)
+
+    def named(self, name: str):
+        return self.column(name) if name in self.types or name not in self.spec.context else self.spec.context[name]
+
+    def called(self, node: ast.Call, name: str | None, args: Callable[[], list], named: Callable[[], dict]):
+        """Functions that learn, and those of the context; NotImplemented for others."""
+        if name in ("center", "poly", "bs"):
+            return getattr(self, f"_{name}")(ast.unparse(node), *args(), **named())
+        own = self.spec.context.get(name) if name else None
+        if name in BUILT_IN or not callable(own):
+            return NotImplemented
+        more = {"state": self.spec.state.setdefault(ast.unparse(node), {}), "df": self.df} if getattr(own, "is_stateful", False) else {}
+        return own(*args(), **named(), **more)
 
     def _center(self, key: str, x: Column) -> Column:
         if key not in self.spec.state:
@@ -355,6 +376,8 @@ class _Factors:
             options = {k.arg: self.evaluate(k.value) for k in node.keywords}
             node = node.args[0]
         value = self.evaluate(node)
+        if isinstance(value, Flag):
+            value = value.column
         if isinstance(value, (int, float)):
             return F.lit(float(value))
         if isinstance(value, list):
@@ -481,7 +504,7 @@ def _joined(a: dict, b: dict, sep: str) -> dict:
 
 def _build(df: DataFrame, spec: Spec, row_id: str | None) -> DesignMatrix:
     o = spec.options
-    terms = parse_terms(spec.formula, o["include_intercept"])
+    terms = parse_terms(spec.formula, o["include_intercept"], spec.others if spec.others is not None else df.columns)
     used = list(dict.fromkeys(f for t in terms for f in t))
     if o["na_action"] != "ignore":
         names = {n.id for f in used for n in ast.walk(ast.parse(f.strip("`") if f.startswith("`") else f, mode="eval")) if isinstance(n, ast.Name) and n.id in df.columns}
@@ -496,14 +519,21 @@ def _build(df: DataFrame, spec: Spec, row_id: str | None) -> DesignMatrix:
         numeric = lambda t: tuple(f for f in t if not isinstance(kinds[f], Coded))
         groups = list(dict.fromkeys(numeric(t) for t in terms))
         terms = sorted(terms, key=lambda t: (groups.index(numeric(t)), len(t)))
-    blocks: list[Block] = []
+    made: list[tuple[str, list[Block]]] = []
     for term, parts in zip(terms, scoped_terms(terms, spans, o["ensure_full_rank"])):
+        own: list[Block] = []
         for part in parts:
             if not part:
                 if o["add_column_for_intercept"]:
-                    blocks.append(Numeric(F.lit(1.0), o["intercept_name"], o["intercept_name"]))
+                    own.append(Numeric(F.lit(1.0), o["intercept_name"], o["intercept_name"]))
                 continue
-            blocks += [replace(b, term=o["interaction_separator"].join(f.strip("`") for f in term)) for b in _piece(factors, part, o)]
+            own += [replace(b, term=o["interaction_separator"].join(f.strip("`") for f in term)) for b in _piece(factors, part, o)]
+        made.append((o["interaction_separator"].join(f.strip("`") for f in term) or o["intercept_name"], own))
+    if spec.structure is None:
+        spec.structure = [[term, _column_names(own)] for term, own in made]
+    else:
+        made = repaired(made, spec.structure)
+    blocks = [b for _, own in made for b in own]
     few = o.get("cat_threshold") or 0
     blocks = [x for b in blocks for x in ([b.column(k) for k in range(b.width)] if isinstance(b, Categorical) and len(b.levels) < few else [b])]
     m = DesignMatrix(factors.df, tuple(blocks), row_id, spec)
@@ -511,15 +541,37 @@ def _build(df: DataFrame, spec: Spec, row_id: str | None) -> DesignMatrix:
         m = m.split_density(o["sparse_threshold"])
     if o.get("dtype") is not None:
         m = m.astype(o["dtype"])
-    # many names follow from the levels, which a replay takes from the spec
-    names = [n for b in blocks for n in ([f"{b.name} x {b.width}"] if isinstance(b, Categorical) and isinstance(b.levels, Names) else b.names())]
-    if spec.names is None:
-        spec.names = names
-    elif spec.names != names:
-        raise ValueError(f"the data give other columns than the training data: {names} instead of {spec.names}")
+    spec.names = [n for _, names in spec.structure for n in names]
     return m
 
 
+def _column_names(blocks: Sequence[Block]) -> list[str]:
+    """Names of columns; many of them follow from the levels, which a replay takes from the spec."""
+    return [n for b in blocks for n in ([f"{b.name} x {b.width}"] if isinstance(b, Categorical) and isinstance(b.levels, Names) else b.names())]
+
+
+def repaired(made: Sequence[tuple[str, list[Block]]], structure: Sequence) -> list[tuple[str, list[Block]]]:
+    """The rebuilt terms in the columns that training had, term by term.
+
+    A term that gives no column now is zero in all columns it had.  One that gives a single
+    numeric column has it under each of their names.  Any other difference is a StructureError.
+    """
+    if [t for t, _ in made] != [t for t, _ in structure]:
+        raise StructureError(f"the data give the terms {[t for t, _ in made]}, training had {[t for t, _ in structure]}")
+    out = []
+    for (term, own), (_, wanted) in zip(made, structure):
+        names = _column_names(own)
+        if names == list(wanted):
+            out.append((term, own))
+        elif not names:
+            out.append((term, [Numeric(F.lit(0.0), n, term, SPARSE) for n in wanted]))
+        elif len(names) == 1 < len(wanted) and isinstance(own[0], Numeric):
+            out.append((term, [replace(own[0], name=n) for n in wanted]))
+        else:
+            raise StructureError(f"term {term} gives the columns {names}, training had {list(wanted)}")
+    return out
+
+
 def from_formula(
     formula: str,
     df: DataFrame,
@@ -549,8 +601,11 @@ def from_formula(
     if na_action not in ("ignore", "drop", "raise"):
         raise ValueError("na_action must be 'ignore', 'drop' or 'raise'")
     options = dict(ensure_full_rank=ensure_full_rank, na_action=na_action, include_intercept=include_intercept, add_column_for_intercept=add_column_for_intercept, intercept_name=intercept_name, interaction_separator=interaction_separator, categorical_format=categorical_format, cat_missing_method=cat_missing_method, cat_missing_name=cat_missing_name, cluster_by=cluster_by, dtype=dtype, sparse_threshold=sparse_threshold, cat_threshold=cat_threshold)
-    left, tilde, right = formula.rpartition("~")
-    rhs = _build(df, Spec(right, options, context=dict(context or {})), row_id)
+    left, tilde, right = sides(formula)
+    asked = {f for t in (parse_terms(left, False, df.columns) if left.strip() else []) for f in t}
+    named = {n.id for f in asked for n in ast.walk(ast.parse(f.strip("`") if not f.startswith("`") else repr(f), mode="eval")) if isinstance(n, ast.Name)} | {f.strip("`") for f in asked}
+    others = [c for c in df.columns if c not in named and c != row_id]
+    rhs = _build(df, Spec(right, options, context=dict(context or {}), others=others), row_id)
     if not tilde or not left.strip():
         return rhs
-    return _build(df, Spec(left, options | {"include_intercept": False}, context=dict(context or {})), row_id), rhs
+    return _build(df, Spec(left, options | {"include_intercept": False}, context=dict(context or {}), others=others), row_id), rhs
