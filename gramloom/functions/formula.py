@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from ..operators.matrix import DesignMatrix
 from ..plans.catalog import SPARSE, Block, Categorical, Numeric
 from .expressions import BUILT_IN, Compiler, Flag, StructureError, flag
-from .levels import LevelTable, clean, observe, resolve, with_code
+from .levels import LevelTable, clean, level_table, observe, resolve, with_code
 from .quantiles import percentiles
 
 # -- parsing -------------------------------------------------------------------
@@ -467,6 +467,8 @@ def scoped_terms(terms: list[Term], spans: Callable[[str], bool | None], full_ra
 def _piece(factors: _Factors, part: tuple[tuple[str, bool], ...], options: dict) -> list[Block]:
     """The product of a scoped part's factors as blocks."""
     sep, form = options["interaction_separator"], options["categorical_format"]
+    if options.get("interactions") == "observed" and sum(isinstance(factors.get(f), Coded) for f, _ in part) > 1:
+        return _observed_piece(factors, part, options)
     # names: one per level; code: of the level, None while all factors are numeric; value: the numeric product
     items: list[dict] = [{"names": [""], "code": None, "value": None}]
     for factor, reduced in part:
@@ -494,11 +496,50 @@ def _piece(factors: _Factors, part: tuple[tuple[str, bool], ...], options: dict)
     return out
 
 
+def _observed_piece(factors: _Factors, part: tuple[tuple[str, bool], ...], options: dict) -> list[Block]:
+    """A scoped part with two categoricals or more, with a column only for combinations of levels that training had.
+
+    They are ordered as in the full product, earlier factors varying fastest, and kept in the
+    spec as a table; on other rows a combination without a column is zero.
+    """
+    sep, form = options["interaction_separator"], options["categorical_format"]
+    coded = [(f.strip("`"), factors.get(f), int(reduced)) for f, reduced in part if isinstance(factors.get(f), Coded)]
+    codes = [F.when(c.code >= first, c.code) for _, c, first in coded]
+    whole = reduce(lambda a, b: a & b, [c.isNotNull() for c in codes])
+    value = F.when(whole, F.struct(*[c.cast("int").alias(f"c{k}") for k, c in reversed(list(enumerate(codes)))]))
+    key = "combinations of " + sep.join(f"{f}{'-' * first}" for f, _, first in coded)
+    if key not in factors.spec.state:
+        factors.spec.state[key] = {"levels": level_table(factors.df.select(value.alias("_combination")), "_combination", wide=True), "missing_last": False}
+    table: LevelTable = factors.spec.state[key]["levels"]
+    label = lambda level: sep.join(form.format(name=f, category=c.levels[level[f"c{k}"]]) for k, (f, c, _) in enumerate(coded))
+
+    def every() -> Iterator[str]:
+        lists = [[form.format(name=f, category=x) for x in c.levels] for f, c, _ in coded]
+        yield from (sep.join(names[level[f"c{k}"]] for k, names in enumerate(lists)) for level in table)
+
+    names = Names(len(table), lambda k: label(table[k]), every)
+    mark = f"_combination_{len(factors.spec.state)}_{len(factors.df.columns)}"
+    factors.df = factors.df.join(table.df.toDF("_level", mark), value == F.col("_level"), "left").drop("_level")
+    others = [factors.get(f) for f, _ in part if not isinstance(factors.get(f), Coded)]
+    labels = [f.strip("`") for f, _ in part if not isinstance(factors.get(f), Coded)]
+    lists = [x if isinstance(x, list) else [("", x)] for x in others]
+    out: list[Block] = []
+    for pick in itertools.product(*lists[::-1]):
+        number = reduce(lambda a, b: a * b, [v for _, v in pick[::-1]]) if pick else None
+        suffix = sep.join(f"{n}[{k}]" if k else n for n, (k, _) in zip(labels, pick[::-1]))
+        own = names if not suffix else Names(len(table), lambda k, t=suffix: f"{names[k]}{sep}{t}", lambda t=suffix: (f"{n}{sep}{t}" for n in names))
+        term = sep.join(f.strip("`") for f, _ in part)
+        out.append(Categorical(F.col(mark), table, term, term, False, number, "{category}", own, value))
+    return out
+
+
 def _joined(a: dict, b: dict, sep: str) -> dict:
     names = _product_names(a["names"], b["names"], sep)
     value = b["value"] if a["value"] is None else a["value"] if b["value"] is None else a["value"] * b["value"]
     if a["code"] is None or b["code"] is None:
         return {"names": names, "code": b["code"] if a["code"] is None else a["code"], "value": value}
+    if len(names) >= 2**31:
+        raise OverflowError(f"an interaction of {len(names)} columns; interactions='observed' makes those that occur")
     return {"names": names, "code": b["code"] * F.lit(len(a["names"])) + a["code"], "value": value}
 
 
@@ -536,7 +577,8 @@ def _build(df: DataFrame, spec: Spec, row_id: str | None) -> DesignMatrix:
     blocks = [b for _, own in made for b in own]
     few = o.get("cat_threshold") or 0
     blocks = [x for b in blocks for x in ([b.column(k) for k in range(b.width)] if isinstance(b, Categorical) and len(b.levels) < few else [b])]
-    m = DesignMatrix(factors.df, tuple(blocks), row_id, spec)
+    by_combination = any(isinstance(getattr(b, "levels", None), LevelTable) for b in blocks)
+    m = DesignMatrix(factors.df, tuple(blocks), row_id, spec, factors.df if by_combination else None)
     if o.get("sparse_threshold") is not None:
         m = m.split_density(o["sparse_threshold"])
     if o.get("dtype") is not None:
@@ -547,7 +589,7 @@ def _build(df: DataFrame, spec: Spec, row_id: str | None) -> DesignMatrix:
 
 def _column_names(blocks: Sequence[Block]) -> list[str]:
     """Names of columns; many of them follow from the levels, which a replay takes from the spec."""
-    return [n for b in blocks for n in ([f"{b.name} x {b.width}"] if isinstance(b, Categorical) and isinstance(b.levels, Names) else b.names())]
+    return [n for b in blocks for n in ([f"{b.name} x {b.width}"] if isinstance(b, Categorical) and isinstance(b.levels, (Names, LevelTable)) else b.names())]
 
 
 def repaired(made: Sequence[tuple[str, list[Block]]], structure: Sequence) -> list[tuple[str, list[Block]]]:
@@ -590,17 +632,21 @@ def from_formula(
     dtype: str | None = None,
     sparse_threshold: float | None = None,
     cat_threshold: int | None = None,
+    interactions: str = "all",
 ) -> DesignMatrix | tuple[DesignMatrix, DesignMatrix]:
     """The matrix of a formula, with ``spec`` for replay; with ``~``, left and right side.
 
     ``context`` gives scalars and Column-returning functions that the formula may name.
     ``sparse_threshold`` marks numeric columns dense or sparse, at the price of a pass over
     the data; categoricals of fewer than ``cat_threshold`` levels become numeric columns.
-    Neither changes a value, so neither is done unless asked for.
+    Neither changes a value, so neither is done unless asked for.  With ``interactions``
+    "observed", an interaction of categoricals has columns only for combinations that occur.
     """
+    if interactions not in ("all", "observed"):
+        raise ValueError("interactions must be 'all' or 'observed'")
     if na_action not in ("ignore", "drop", "raise"):
         raise ValueError("na_action must be 'ignore', 'drop' or 'raise'")
-    options = dict(ensure_full_rank=ensure_full_rank, na_action=na_action, include_intercept=include_intercept, add_column_for_intercept=add_column_for_intercept, intercept_name=intercept_name, interaction_separator=interaction_separator, categorical_format=categorical_format, cat_missing_method=cat_missing_method, cat_missing_name=cat_missing_name, cluster_by=cluster_by, dtype=dtype, sparse_threshold=sparse_threshold, cat_threshold=cat_threshold)
+    options = dict(ensure_full_rank=ensure_full_rank, na_action=na_action, include_intercept=include_intercept, add_column_for_intercept=add_column_for_intercept, intercept_name=intercept_name, interaction_separator=interaction_separator, categorical_format=categorical_format, cat_missing_method=cat_missing_method, cat_missing_name=cat_missing_name, cluster_by=cluster_by, dtype=dtype, sparse_threshold=sparse_threshold, cat_threshold=cat_threshold, interactions=interactions)
     left, tilde, right = sides(formula)
     asked = {f for t in (parse_terms(left, False, df.columns) if left.strip() else []) for f in t}
     named = {n.id for f in asked for n in ast.walk(ast.parse(f.strip("`") if not f.startswith("`") else repr(f), mode="eval")) if isinstance(n, ast.Name)} | {f.strip("`") for f in asked}

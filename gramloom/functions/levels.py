@@ -30,15 +30,18 @@ def clean(df: DataFrame, column: str) -> Column:
     return F.when(~F.isnan(c), c) if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)) else c
 
 
-def level_table(df: DataFrame, column: str) -> LevelTable:
-    """Distinct values sorted by range and written; codes are positions in a part plus the parts' sizes before it."""
+def level_table(df: DataFrame, column: str, wide: bool = False) -> LevelTable:
+    """Distinct values sorted by range and written; codes are positions in a part plus the parts' sizes before it.
+
+    ``wide`` makes codes long, for more than 2^31 values.
+    """
     values = df.select(clean(df, column).alias("level")).filter("level IS NOT NULL").distinct()
     placed = written(values.repartitionByRange("level").sortWithinPartitions("level").withColumn("at", F.monotonically_increasing_id()), "levels")
     table = placed.select("level", F.shiftright("at", 33).cast("int").alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
     sizes = sorted((r["part"], r["count"]) for r in table.groupBy("part").count().collect())
     before = dict(zip((k for k, _ in sizes), accumulate((n for _, n in sizes), initial=0)))
     first = F.element_at(F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)]), F.col("part")) if before else F.lit(0)
-    return LevelTable(table.select("level", (first + F.col("at")).cast("int").alias("code")), sum(n for _, n in sizes))
+    return LevelTable(table.select("level", (first + F.col("at")).cast("long" if wide else "int").alias("code")), sum(n for _, n in sizes))
 
 
 def _unseen(df: DataFrame, column: str, declared: Sequence) -> list:

@@ -339,7 +339,7 @@ class DesignMatrix:
 
     def astype(self, dtype: str) -> "DesignMatrix":
         """Numeric columns and multipliers cast; a new matrix."""
-        cast = lambda b: replace(b, value=b.value.cast(dtype)) if isinstance(b, Numeric) else b if b.multiplier is None else replace(b, multiplier=b.multiplier.cast(dtype))
+        cast = lambda b: replace(b, value=b.value.cast(dtype), packed=None) if isinstance(b, Numeric) else b if b.multiplier is None else replace(b, multiplier=b.multiplier.cast(dtype))
         return replace(self, blocks=tuple(map(cast, self.blocks)))
 
     def multiply(self, d: Column | str) -> "DesignMatrix":
@@ -554,12 +554,17 @@ def _gram(df: DataFrame, pairs: list, d: Column, exact: bool) -> DataFrame:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram = np.zeros((k, k))
         for batch in batches:
-            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(k)])
-            gram += x.T @ (x * batch.column(k).to_numpy(zero_copy_only=False)[:, None])
+            rows = batch.column(0)
+            x = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), k)  # all columns in one buffer
+            gram += x.T @ (x * batch.column(1).to_numpy(zero_copy_only=False)[:, None])
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(at[i], at[j])), pa.array(np.maximum(at[i], at[j])), pa.array(gram[i, j])], ["i", "j", "value"])
 
-    wide = df.select(*[x[0].value.cast("double").alias(f"x{x[1]}") for x in numeric], d.cast("double").alias("d"))
-    return wide.mapInArrow(partial, "i int, j int, value double").groupBy("i", "j").agg(F.sum("value").alias("value"))
+    held = {x[0].packed[0] for x in numeric if x[0].packed}
+    whole = len(held) == 1 and [x[0].packed and x[0].packed[1] for x in numeric] == list(range(k))
+    # an array of other columns too cannot stand for these; it is cut down to them
+    values = F.slice(F.col(f"`{held.pop()}`"), 1, k).cast("array<double>") if whole else F.array(*[x[0].value.cast("double") for x in numeric])
+    packed = df.select(values.alias("x"), d.cast("double").alias("d"))
+    return packed.mapInArrow(partial, "i int, j int, value double").groupBy("i", "j").agg(F.sum("value").alias("value"))
 
 
 def _combined(rows: DataFrame, cats: Sequence[Categorical], terms: Sequence[str]) -> DataFrame:
@@ -603,7 +608,7 @@ def _grouped(m: DesignMatrix, numeric: list, cats: list, crosses, d: Column, exa
             grouped = grouped.join(table, F.col(f"c{k}") == F.col(f"l{k}"), "left")
             code = F.col(f"n{k}") if not b.levels.extra else F.when(F.col(f"c{k}").isNull(), F.lit(b.levels.known)).otherwise(F.col(f"n{k}"))
             code = F.when(code >= 1, code - 1) if b.drop_first else code
-            grouped = grouped.withColumn(f"c{k}", (code + a).cast("int")).drop(f"l{k}", f"n{k}")
+            grouped = grouped.withColumn(f"c{k}", (code + a).cast("int" if m.n_columns < 2**31 else "long")).drop(f"l{k}", f"n{k}")
     # each grouping's row carries its cells; nulls of a present key are missing rows
     number = lambda s: sum(1 << (n - 1 - k) for k in range(n) if k not in s)
     cells = None
@@ -638,7 +643,7 @@ def hstack(matrices: Sequence[DesignMatrix], by_place: bool = False) -> DesignMa
         for i, b in enumerate(m.blocks):
             if isinstance(b, Numeric):
                 own.append(b.value.alias(f"_h{k}_{i}"))
-                new.append(replace(b, value=F.col(f"_h{k}_{i}")))
+                new.append(replace(b, value=F.col(f"_h{k}_{i}"), packed=None))
             else:
                 own += [b.code.alias(f"_h{k}_{i}"), b.weight.alias(f"_w{k}_{i}")]
                 new.append(replace(b, code=F.col(f"_h{k}_{i}"), source=None, multiplier=None if b.multiplier is None else F.col(f"_w{k}_{i}")))
@@ -651,6 +656,24 @@ def hstack(matrices: Sequence[DesignMatrix], by_place: bool = False) -> DesignMa
     return replace(first, df=df, blocks=tuple(blocks), spec=None, base=first.base if df is first.df else None)
 
 
+def arranged(matrices: Sequence[DesignMatrix], indices: Sequence[Sequence[int]], by_place: bool = False) -> DesignMatrix:
+    """Matrices side by side with each column at a place of its own: ``indices[k]`` are the places of the k-th matrix's columns.
+
+    The places must be 0 .. n - 1, each once.  Categorical blocks are cut where other columns
+    come between, and stay blocks.
+    """
+    if len(indices) != len(matrices):
+        raise ValueError(f"{len(indices)} lists of places for {len(matrices)} matrices")
+    for k, (m, own) in enumerate(zip(matrices, indices)):
+        if len(own) != m.n_columns:
+            raise ValueError(f"matrix {k} has {m.n_columns} columns and {len(own)} places")
+    flat = np.array([int(x) for own in indices for x in own], dtype=np.int64)
+    order = np.argsort(flat, kind="stable")
+    if not np.array_equal(flat[order], np.arange(len(flat))):
+        raise ValueError(f"places must be 0 to {len(flat) - 1}, each once")
+    return hstack(matrices, by_place).select([int(k) for k in order])
+
+
 def accumulate(*results: DataFrame, exact: bool = False) -> DataFrame:
     """Sum of long-form results by their keys: what adding into an ``out`` array does.
 

@@ -155,7 +155,7 @@ def moments(m: DesignMatrix, weights: Column | str) -> DataFrame:
         here = F.coalesce("weight", F.lit(0.0))
         mean, share = F.coalesce("mean", F.lit(0.0)), here / F.lit(float(whole))
         with_zeros = F.coalesce("m2", F.lit(0.0)) + mean * mean * here * (1 - share)
-        out.append(found.select((F.col("at") + a).cast("int").alias("j"), F.lit(float(whole)).alias("weight"), (mean * share).alias("mean"), with_zeros.alias("m2")))
+        out.append(found.select((F.col("at") + a).alias("j"), F.lit(float(whole)).alias("weight"), (mean * share).alias("mean"), with_zeros.alias("m2")))
     if not out:
         return source.sparkSession.createDataFrame([], "j int, weight double, mean double, m2 double")
     result = out[0]

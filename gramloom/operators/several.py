@@ -66,7 +66,7 @@ def _some(m: DesignMatrix, vectors: Sequence[Column], first: int, rows, cols: Se
         out.append(_long(wanted.join(sums, "j", "left"), n, first))
     for b, a in long:
         sums = m.base.groupBy(b.source.alias("_value")).agg(*[total(v if b.multiplier is None else v * b.weight, exact).alias(f"s{k}") for k, v in enumerate(vectors)])
-        table = b.levels.df.select("level", (F.col("code") + a - int(b.drop_first)).cast("int").alias("j")).filter(F.col("j") >= a)
+        table = b.levels.df.select("level", (F.col("code") + a - int(b.drop_first)).alias("j")).filter(F.col("j") >= a)
         found = table.join(sums, F.col("level") == F.col("_value"), "left").select("j", *[f"s{k}" for k in range(n)])
         if b.levels.extra:
             missing = sums.filter("_value IS NULL").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(n)])

@@ -104,7 +104,8 @@ class StandardizedView:
         blocks = []
         for j in range(self.base.n_columns):
             (b,) = self.base.getcol(j).blocks
-            blocks.append(replace(b, value=b.value * F.lit(float(self._mult[j])) + F.lit(float(self.shift[j])), kind="dense"))
+            b = b if isinstance(b, Numeric) else b.column(0)
+            blocks.append(replace(b, value=b.value * F.lit(float(self._mult[j])) + F.lit(float(self.shift[j])), kind="dense", packed=None))
         return replace(self.base, blocks=tuple(blocks))
 
     def to_wide(self) -> DataFrame:

@@ -27,6 +27,8 @@ class Numeric:
     name: str | None = None
     term: str | None = None
     kind: str = DENSE
+    #: The array column and the place in it that hold the value as it is, if one does.
+    packed: tuple[str, int] | None = None
 
     width = 1
 
@@ -37,7 +39,7 @@ class Numeric:
         return [self.term if self.term is not None else self.name]
 
     def scaled(self, by: Column) -> "Numeric":
-        return replace(self, value=self.value * by)
+        return replace(self, value=self.value * by, packed=None)
 
     def entries(self, first: int) -> list[tuple[Column, Column]]:
         return [(F.lit(first), self.value)]
@@ -131,7 +133,7 @@ class Categorical:
             takes_missing = bool(self.levels.extra) and self.width - 1 in places
             place = F.col("code") - int(self.drop_first)
             table = self.levels.df if len(runs) > most else self.levels.df.select("level", moved(place).alias("code")).filter("code IS NOT NULL")
-            levels: Sequence = LevelTable(table, len(places) - takes_missing, self.levels.extra if takes_missing else ())
+            levels: Sequence = replace(self.levels, df=table, known=len(places) - takes_missing, extra=self.levels.extra if takes_missing else ())
         else:
             levels = [self.levels[k + self.drop_first] for k in places] if isinstance(self.levels, (list, tuple)) else list(self.levels[int(self.drop_first) :][k] for k in places)
         block = replace(self, levels=levels, drop_first=False, column_names=own)

@@ -26,6 +26,22 @@ def dense(df: DataFrame, columns: Sequence[str], row_id: str | None = None, kind
     return DesignMatrix(df, tuple(Numeric(F.col(f"`{c}`").cast("double"), c, c, kind) for c in columns), row_id)
 
 
+def packed(df: DataFrame, column: str, names: Sequence[str] | None = None, row_id: str | None = None) -> DesignMatrix:
+    """The entries of an array column as numeric columns; wide Grams read the array as one buffer.
+
+    All arrays must be of one length, without nulls: one pass looks at that.
+    """
+    c = F.col(f"`{column}`")
+    low, high, nulls = df.agg(F.min(F.size(c)), F.max(F.size(c)), F.count_if(c.isNull() | F.exists(c, lambda x: x.isNull()))).first()
+    if low is not None and (low != high or nulls):
+        raise ValueError(f"arrays of {column} are not all of one length and whole: {low} to {high} entries, {nulls} with nulls")
+    width = low or 0
+    if names is not None and len(names) != width:
+        raise ValueError(f"{len(names)} names for arrays of {width}")
+    names = [f"{column}[{k}]" for k in range(width)] if names is None else list(names)
+    return DesignMatrix(df, tuple(Numeric(F.get(c, F.lit(k)).cast("double"), names[k], column, DENSE, (column, k)) for k in range(width)), row_id)
+
+
 def single_categorical(df: DataFrame, column: str, levels: Sequence | None = None, drop_first: bool = False, name: str | None = None, term: str | None = None, categorical_format: str = "{name}[{category}]", cat_missing_method: str = "fail", cat_missing_name: str = "(MISSING)", row_id: str | None = None) -> DesignMatrix:
     """One categorical variable; ``levels`` declares them in order, also unused ones."""
     seen, missing = observe(df, [column], {column: levels})[column]

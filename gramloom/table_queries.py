@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from . import hstack, single_categorical
+from . import arranged, from_formula, from_pandas, hstack, single_categorical
 from .operators.moments import moments
+from .operators.pairs import interaction, product_numbers, with_interaction
 from .operators.tiles import TiledMatrix
 from .operators.vectors import matvec_table, standardize_table
-from .queries import CODE_FLAG, CODE_STATUS, D, S, lineitem, query, split, table
-from .sources import dense
+from .queries import CODE_FLAG, CODE_STATUS, D, S, lineitem, query, rmatvec_sql, split, table
+from .sources import dense, packed
 
 # -- rows by place ---------------------------------------------------------------
 
@@ -236,3 +239,74 @@ def tiled_matvec_rows_cols(spark, sf_dir):
 @query(f"WITH {_CELLS_SQL} SELECT j, round(sum(value * o_totalprice), 4) AS value FROM x JOIN orders ON i = o_orderkey GROUP BY 1")
 def tiled_rmatvec(spark, sf_dir):
     return _tiled(spark, sf_dir).transpose_matvec(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")).withColumn("value", F.round("value", 4))
+
+# -- interactions of factors with many levels ------------------------------------------------
+
+_PAIRS = "c AS (SELECT *, dense_rank() OVER (ORDER BY l_suppkey, l_partkey) - 1 AS code, dense_rank() OVER (ORDER BY l_partkey) - 1 AS p, dense_rank() OVER (ORDER BY l_suppkey) - 1 AS s FROM lineitem)"
+
+
+@query(f"WITH {_PAIRS} SELECT code::BIGINT AS j, {S('l_quantity * l_tax')} AS value FROM c GROUP BY code")
+def interaction_rmatvec(spark, sf_dir):
+    """Suppliers by parts: a column for each pair that occurs, summed by the pair."""
+    return interaction(lineitem(spark, sf_dir), ["l_suppkey", "l_partkey"]).transpose_matvec(F.col("l_quantity") * F.col("l_tax"), exact=True)
+
+
+@query(f"WITH {_PAIRS} SELECT (s + p * (SELECT max(s) + 1 FROM c))::BIGINT AS full, {S(D)} AS value FROM c GROUP BY s, p")
+def interaction_product_numbers(spark, sf_dir):
+    """The same sums under the numbers that the full product has."""
+    df = lineitem(spark, sf_dir)
+    m = interaction(df, ["l_suppkey", "l_partkey"])
+    factors = [single_categorical(df, c).blocks[0].levels for c in ("l_suppkey", "l_partkey")]
+    return m.transpose_matvec(D, exact=True).join(product_numbers(m, factors), "j").select("full", "value")
+
+
+@query(f"""WITH f AS (SELECT *, l_suppkey > (SELECT min(l_suppkey) FROM lineitem) AS kept FROM lineitem),
+k AS (SELECT l_suppkey, l_returnflag, row_number() OVER (ORDER BY l_suppkey, l_returnflag) AS j FROM (SELECT DISTINCT l_suppkey, l_returnflag FROM f WHERE kept)),
+x AS (SELECT f.*, k.j FROM f LEFT JOIN k USING (l_suppkey, l_returnflag))
+SELECT 0 AS i, 0 AS j, {S(f'{D} * l_tax * l_tax')} AS value FROM x UNION ALL SELECT j, j, {S(D)} FROM x WHERE j IS NOT NULL GROUP BY j
+UNION ALL SELECT 0, j, {S(f'{D} * l_tax')} FROM x WHERE j IS NOT NULL GROUP BY j UNION ALL SELECT j, 0, {S(f'{D} * l_tax')} FROM x WHERE j IS NOT NULL GROUP BY j""")
+def interaction_sandwich(spark, sf_dir):
+    """A number beside a reduced interaction."""
+    m = with_interaction(dense(lineitem(spark, sf_dir), ["l_tax"]), ["l_suppkey", "l_returnflag"], reduced=["l_suppkey"])
+    return m.sandwich(D, exact=True)
+
+
+@query(f"""WITH {_PAIRS}, k AS (SELECT s, p, row_number() OVER (ORDER BY p, s) AS j FROM (SELECT DISTINCT s, p FROM c))
+SELECT 0::BIGINT AS j, {S(f'{D} * l_discount')} AS value FROM c UNION ALL SELECT any_value(j)::BIGINT, {S(f'{D} * l_tax')} FROM c JOIN k USING (s, p) GROUP BY s, p""")
+def formula_observed_interaction(spark, sf_dir):
+    """A formula's interaction of two long factors and a number, for pairs that occur only."""
+    df = lineitem(spark, sf_dir)
+    m = from_formula("l_discount + C(l_suppkey):C(l_partkey):l_tax", df.withColumn("l_suppkey", F.format_string("%09d", "l_suppkey")).withColumn("l_partkey", F.format_string("%09d", "l_partkey")), interactions="observed")
+    return m.transpose_matvec(D, exact=True)
+
+# -- packed columns, places of columns ---------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS j FROM embeddings)
+SELECT a.j::INTEGER AS i, b.j::INTEGER AS j, round(sum(a.x * b.x * (1 + a.label % 3)), 6) AS value FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2""")
+def packed_gram(spark, sf_dir):
+    """The weighted Gram of an array column, read as one buffer."""
+    df = table(spark, sf_dir, "embeddings").withColumn("weight", (1 + F.col("label") % 3).cast("double"))
+    return packed(df, "embedding", row_id="vec_id").sandwich("weight").withColumn("value", F.round("value", 6))
+
+
+_ARRANGED = "CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 2 WHEN 'R' THEN 3 END"
+
+
+@query(rmatvec_sql({1: "l_tax", 4: "l_discount"}, [(_ARRANGED.replace("WHEN 'N' THEN 2 WHEN 'R' THEN 3 ", ""), 0, 1), (_ARRANGED.replace("WHEN 'A' THEN 0 ", ""), 2, 2)], D, "lineitem"))
+def arranged_columns(spark, sf_dir):
+    """A number between the columns of a factor, and one behind them."""
+    df = lineitem(spark, sf_dir)
+    return arranged([dense(df, ["l_discount", "l_tax"]), single_categorical(df, "l_returnflag", ("A", "N", "R"))], [[4, 1], [0, 2, 3]]).transpose_matvec(D, exact=True)
+
+
+@query(f"SELECT 0 AS j, {S('s_acctbal * s_acctbal')} AS value FROM supplier UNION ALL SELECT 1 + s_nationkey, {S('s_acctbal')} FROM supplier GROUP BY s_nationkey UNION ALL SELECT 1 + n_nationkey, 0 FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+def from_pandas_frame(spark, sf_dir):
+    """A pandas frame with a declared categorical."""
+    pdf = table(spark, sf_dir, "supplier").select("s_acctbal", F.format_string("n%02d", "s_nationkey").alias("nation")).toPandas()
+    nations = sorted(r[0] for r in table(spark, sf_dir, "nation").select(F.format_string("n%02d", "n_nationkey")).collect())
+    pdf["nation"] = pd.Categorical(pdf["nation"], categories=nations)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", DeprecationWarning)
+        m = from_pandas(spark, pdf)
+    return m.transpose_matvec("s_acctbal", exact=True)

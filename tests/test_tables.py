@@ -240,3 +240,51 @@ def test_split_column_subsets(m):
     cols = [1, 0, *range(40, 50), *range(20, 30), m.n_columns - 2, m.n_columns - 1]
     picked = m.select(cols)
     assert [b.width for b in picked.blocks] == [1, 1, 20, 2]
+
+
+# -- packed columns, places of columns, pandas ------------------------------------------------
+
+
+def test_packed(spark):
+    from gramloom.sources import packed
+
+    x = np.random.default_rng(5).normal(size=(80, 20))
+    df = spark.createDataFrame([(i, [float(v) for v in r], float(i % 3)) for i, r in enumerate(x)], "id long, v array<double>, w double").repartition(3)
+    w = np.arange(80) % 3.0
+    m = packed(df, "v", row_id="id")
+    assert m.get_names()[:2] == ["v[0]", "v[1]"] and m.n_columns == 20
+    np.testing.assert_allclose(by_id(m.sandwich("w"), 20, 20), x.T @ (x * w[:, None]), atol=1e-9)
+    np.testing.assert_allclose(by_id(m.select(range(15)).sandwich("w"), 15, 15), x[:, :15].T @ (x[:, :15] * w[:, None]), atol=1e-9)
+    back = list(range(19, 3, -1))
+    np.testing.assert_allclose(by_id(m.select(back).sandwich("w"), 16, 16), x[:, back].T @ (x[:, back] * w[:, None]), atol=1e-9)
+    np.testing.assert_allclose(by_id(m.multiply("w").sandwich("w"), 20, 20), x.T @ (x * w[:, None] ** 3), atol=1e-9)
+    np.testing.assert_allclose(by_id(m.standardize("w")[0].materialize().sandwich("w"), 20, 20).diagonal(), np.full(20, w.sum()), rtol=1e-6)
+    for bad in ([1.0], None, [None] * 20):
+        with pytest.raises(ValueError):
+            packed(df.unionByName(spark.createDataFrame([(99, bad, 1.0)], df.schema)), "v")
+    with pytest.raises(ValueError):
+        packed(df, "v", names=["a"])
+    assert packed(df.limit(0), "v").n_columns == 0
+
+
+def test_arranged(m, frame):
+    x, p = whole(m), m.n_columns
+    extra = g.dense(m.df, ["w"], "id")
+    places = [*range(1, p), p] if p % 2 else [p, *range(1, p)]
+    both = g.arranged([m, extra], [places, [0]])
+    want = np.zeros((N, p + 1))
+    want[:, places], want[:, 0] = x, weights(frame)
+    np.testing.assert_array_equal(by_id(both.to_coo(), N, p + 1), want)
+    for bad in ([places], [places, [1]], [places[1:], [0]], [places, [p + 5]]):
+        with pytest.raises(ValueError):
+            g.arranged([m, extra], bad)
+
+
+def test_from_pandas(spark):
+    import pandas as pd
+
+    pdf = pd.DataFrame({"x": [1.0, 2.0, 4.0], "c": pd.Categorical(["b", "a", "b"], categories=["z", "b", "a"]), "n": [1, 0, 0]})
+    with pytest.warns(DeprecationWarning):
+        m = g.from_pandas(spark, pdf, cat_threshold=1)
+    assert m.get_names() == ["x", "c[z]", "c[b]", "c[a]", "n"]
+    assert sorted(map(tuple, m.to_wide().collect())) == [(1.0, 0.0, 1.0, 0.0, 1.0), (2.0, 0.0, 0.0, 1.0, 0.0), (4.0, 0.0, 1.0, 0.0, 0.0)]
