@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,27 @@ class CooMatrix:
     df: DataFrame
     n_rows: int
     n_columns: int
+    column_names: tuple[str | None, ...] | None = None
+    term_names: tuple[str | None, ...] | None = None
+
+    def __post_init__(self) -> None:
+        for names in (self.column_names, self.term_names):
+            if names is not None and len(names) != self.n_columns:
+                raise ValueError(f"{len(names)} names for {self.n_columns} columns")
+
+    def restricted(self, rows: DataFrame | None = None, cols: DataFrame | None = None) -> "CooMatrix":
+        """Entries of some rows and columns only, given as tables of numbers that are read as sets; numbers stay."""
+        df = self.df
+        for name, kept in (("i", rows), ("j", cols)):
+            if kept is not None:
+                df = df.join(kept.toDF(f"_{name}").select(F.col(f"_{name}").cast(df.schema[name].dataType).alias(name)).distinct(), name, "left_semi")
+        return replace(self, df=df.select("i", "j", "value"))
+
+    def tiled(self, row_block: int | None = None, col_block: int | None = None):
+        """The matrix in tiles, for products that keep sums in tasks; one shuffle, written once."""
+        from .tiles import TiledMatrix
+
+        return TiledMatrix.from_coo(self.df, self.n_rows, self.n_columns, row_block, col_block, self.column_names)
 
     def matvec(self, v: DataFrame, exact: bool = False) -> DataFrame:
         """v is (j, x); returns (row_id, value) for rows with an entry."""

@@ -8,9 +8,11 @@ for or where levels are declared, and other types are left out with a warning.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,10 @@ from ..operators.matrix import DesignMatrix
 from ..plans.catalog import DENSE, SPARSE, Categorical, Numeric
 
 
+#: Columns of a matrix that triplets are made dense for at most, and cells that a task fills at once.
+WIDEST, CELLS_AT_ONCE = 10_000, 1 << 20
+
+
 def dense(df: DataFrame, columns: Sequence[str], row_id: str | None = None, kind: str = DENSE) -> DesignMatrix:
     """Numeric columns as they are."""
     return DesignMatrix(df, tuple(Numeric(F.col(f"`{c}`").cast("double"), c, c, kind) for c in columns), row_id)
@@ -149,26 +155,43 @@ def from_pandas(spark: SparkSession, pdf, **how) -> DesignMatrix:
     return from_df(spark.createDataFrame(plain), levels=levels, **how)
 
 
-def from_coo(df: DataFrame, n_rows: int, n_columns: int) -> CooMatrix:
+def from_coo(df: DataFrame, n_rows: int, n_columns: int, column_names: Sequence[str | None] | None = None, term_names: Sequence[str | None] | None = None) -> CooMatrix:
     """Triplets i, j, value."""
-    return CooMatrix(df.select(F.col("i").cast("long").alias("i"), F.col("j").cast("int").alias("j"), F.col("value").cast("double").alias("value")), n_rows, n_columns)
+    names, terms = (None if x is None else tuple(x) for x in (column_names, term_names or column_names))
+    return CooMatrix(df.select(F.col("i").cast("long").alias("i"), F.col("j").cast("int").alias("j"), F.col("value").cast("double").alias("value")), n_rows, n_columns, names, terms)
 
 
 def from_csc(df: DataFrame, n_rows: int, n_columns: int, threshold: float = 0.1, column_names: Sequence[str | None] | None = None, term_names: Sequence[str | None] | None = None) -> DesignMatrix:
-    """Triplets as a matrix of few columns, one DataFrame column each, split by density.
+    """Triplets as a matrix of up to ``WIDEST`` columns, each row one array, split by density.
 
-    Rows without an entry are zero rows, so row ids run over 0 .. n_rows - 1.
+    Rows without an entry are zero rows, so row ids run over 0 .. n_rows - 1.  Entries that
+    repeat a cell are added up.  Wider matrices stay triplets: ``from_coo`` and its tiles.
     """
     if not 0 <= threshold <= 1:
         raise ValueError(f"a share from 0 to 1 is needed, not {threshold}")
-    coo = from_coo(df, n_rows, n_columns)
+    if n_columns > WIDEST:
+        raise ValueError(f"{n_columns} columns are too many for dense rows (at most {WIDEST}); use from_coo")
+    coo = from_coo(df, n_rows, n_columns, column_names, term_names)
     share = {r["j"]: r["density"] for r in coo.densities().collect()}
-    wide = coo.df.groupBy("i").agg(*[F.coalesce(F.sum(F.when(F.col("j") == j, F.col("value"))), F.lit(0.0)).alias(f"x{j}") for j in range(n_columns)])
-    rows = df.sparkSession.range(n_rows).withColumnRenamed("id", "row").join(wide, F.col("row") == F.col("i"), "left").drop("i")
+    entries = coo.df.groupBy("i").agg(F.collect_list(F.struct("j", "value")).alias("e"))
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, max(1, CELLS_AT_ONCE // n_columns)):
+                batch = whole.slice(at, max(1, CELLS_AT_ONCE // n_columns))
+                lists = batch.column(1)
+                cells, row = lists.flatten(), np.repeat(np.arange(len(batch)), np.asarray(lists.value_lengths()))
+                out = np.zeros((len(batch), n_columns))
+                np.add.at(out, (row, cells.field("j").to_numpy(zero_copy_only=False)), cells.field("value").to_numpy(zero_copy_only=False))
+                bounds = pa.array(np.arange(len(batch) + 1) * n_columns, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(bounds, pa.array(out.ravel()))], ["i", "x"])
+
+    arrays = entries.mapInArrow(filled, "i long, x array<double>")
+    rows = df.sparkSession.range(n_rows).withColumnRenamed("id", "row").join(arrays, F.col("row") == F.col("i"), "left").select("row", F.coalesce("x", F.array_repeat(F.lit(0.0), n_columns)).alias("x"))
     blocks = []
     for j in range(n_columns):
         name = column_names[j] if column_names else None
-        blocks.append(Numeric(F.coalesce(F.col(f"x{j}"), F.lit(0.0)), name, term_names[j] if term_names else name, DENSE if share.get(j, 0.0) > threshold else SPARSE))
+        blocks.append(Numeric(F.get(F.col("x"), F.lit(j)), name, term_names[j] if term_names else name, DENSE if share.get(j, 0.0) > threshold else SPARSE, ("x", j)))
     return DesignMatrix(rows, tuple(blocks), "row")
 
 

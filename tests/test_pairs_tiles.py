@@ -170,3 +170,27 @@ def test_tiles_check_their_input(spark, sparse):
         m.getcol(60)
     none = TiledMatrix.from_coo(df.limit(0), 5, 4)
     assert none.sandwich(df.select("i", "value")).count() == 0 and none.matvec(df.select("j", "value")).count() == 0
+
+
+def test_triplets(spark, sparse):
+    x, df = sparse
+    names = [f"c{k}" for k in range(60)]
+    m = g.from_csc(df, 150, 60, column_names=names)
+    np.testing.assert_allclose(array(m, 150), x)
+    assert m.get_names() == names and {b.kind for b in m.blocks} == {"dense", "sparse"}
+    w = np.arange(150) % 5.0
+    np.testing.assert_allclose(filled(m.sandwich(F.col("row") % 5), 60, 60), x.T @ (x * w[:, None]), atol=1e-9)
+    np.testing.assert_allclose(filled(m.transpose_matvec((F.col("row") % 5).cast("double")), 60), w @ x, atol=1e-9)
+    twice = g.from_csc(df.unionAll(df), 150, 60)
+    np.testing.assert_allclose(array(twice, 150), 2 * x)
+    with pytest.raises(ValueError, match="from_coo"):
+        g.from_csc(df, 150, 20_000)
+    coo = g.from_coo(df, 150, 60, names)
+    rows, cols = spark.createDataFrame([(7,), (3,), (3,)], "r int"), spark.createDataFrame([(11,), (0,)], "c long")
+    some = filled(coo.restricted(rows, cols).df, 150, 60)
+    keep = np.zeros_like(x)
+    keep[np.ix_([3, 7], [0, 11])] = x[np.ix_([3, 7], [0, 11])]
+    np.testing.assert_allclose(some, keep)
+    np.testing.assert_allclose(filled(coo.tiled(10, 10).transpose_matvec(spark.range(150).select("id", F.lit(1.0))), 60), x.sum(0), atol=1e-9)
+    with pytest.raises(ValueError):
+        g.from_coo(df, 150, 60, ["a"])
