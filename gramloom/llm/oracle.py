@@ -184,5 +184,36 @@ FROM p LEFT JOIN bb USING (rid) LEFT JOIN k USING (rid)
 """
 
 
+def _crc_steps(k: int) -> int:
+    """Four bits of the reflected CRC-32."""
+    for _ in range(4):
+        k = (k >> 1) ^ (0xEDB88320 if k & 1 else 0)
+    return k
+
+
+#: CRC-32 by half bytes, low one first; near words by leaving out one letter of either.
+OP13 = rf"""
+WITH RECURSIVE d AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents
+), g AS (SELECT id, run, count(*) AS k FROM d WHERE length(run) >= 6 GROUP BY id, run
+), x AS (SELECT run, k, hex(encode(id || ':' || run)) AS x FROM g
+), b AS (
+  SELECT run, k, list_transform(range(0, len(x)::BIGINT), lambda i: instr('0123456789ABCDEF', x[2 * (i // 2) + 2 - i % 2]) - 1) AS halves FROM x
+), h AS (
+  SELECT run, k, xor(4294967295, list_reduce(list_prepend(4294967295, halves), lambda c, v: xor(c >> 4, [{", ".join(str(_crc_steps(k)) for k in range(16))}][(xor(c, v) & 15) + 1]))) AS h FROM b
+), t AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, k FROM h
+), w AS (SELECT word, sum(k)::BIGINT AS n FROM t WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5
+), o AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)
+), p AS (
+  SELECT o.word, w.word AS near, w.n FROM o JOIN w ON o.rest = w.word UNION SELECT w.word, o.word, o.n FROM o JOIN w ON o.rest = w.word
+  UNION SELECT a.word, b.word, b.n FROM o a JOIN o b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+), q AS (SELECT word, count(*)::BIGINT AS n_near, first(near ORDER BY n DESC, near) AS best, max(n) AS best_n FROM p GROUP BY word
+), f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 5 * w.n THEN best END AS form, CASE WHEN best_n >= 5 * w.n THEN best_n END AS form_n FROM w LEFT JOIN q USING (word)
+), r AS (SELECT word, word AS at FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON r.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.at AS root, f.n, f.n_near, f.form_n FROM f JOIN r ON f.word = r.word JOIN f e ON r.at = e.word AND e.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op2_mixing": OP2, "op3_minhash": OP3, "op5_quality_rules": OP5, "op6_line_dedup": OP6, "op11_filter_audit": OP11, "op12_license_scans": OP12}
+    return {"op1_exact_dedup": OP1, "op2_mixing": OP2, "op3_minhash": OP3, "op5_quality_rules": OP5, "op6_line_dedup": OP6, "op11_filter_audit": OP11, "op12_license_scans": OP12, "op13_spelling_variants": OP13}
