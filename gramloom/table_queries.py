@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from . import arranged, from_formula, from_pandas, hstack, single_categorical
+from . import arranged, from_csc, from_formula, from_pandas, hstack, single_categorical
 from .operators.moments import moments
 from .operators.pairs import interaction, product_numbers, with_interaction
 from .operators.tiles import TiledMatrix
@@ -310,3 +310,14 @@ def from_pandas_frame(spark, sf_dir):
         warnings.simplefilter("ignore", DeprecationWarning)
         m = from_pandas(spark, pdf)
     return m.transpose_matvec("s_acctbal", exact=True)
+
+
+# -- triplets as dense rows -----------------------------------------------------------------------
+
+
+@query(f"WITH x AS (SELECT l_orderkey AS i, l_linenumber AS j, sum(l_discount) AS v FROM lineitem GROUP BY 1, 2) SELECT a.j::INTEGER AS i, b.j::INTEGER AS j, {S('(a.i % 5) * a.v * b.v')} AS value FROM x a JOIN x b USING (i) GROUP BY 1, 2")
+def from_csc_keys(spark, sf_dir):
+    """Order keys by line numbers: one row for each order key."""
+    cells = lineitem(spark, sf_dir).select(F.col("l_orderkey").alias("i"), F.col("l_linenumber").alias("j"), F.col("l_discount").alias("value"))
+    n, p = (cells.agg(F.max(c)).first()[0] + 1 for c in ("i", "j"))
+    return from_csc(cells, n, p).sandwich((F.col("row") % 5).cast("double"), exact=True).filter("i > 0 AND j > 0")
