@@ -9,12 +9,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from . import arranged, from_csc, from_formula, from_pandas, hstack, single_categorical
+from . import accumulate, arranged, from_csc, from_formula, from_pandas, hstack, single_categorical
 from .operators.moments import moments
 from .operators.pairs import interaction, product_numbers, with_interaction
 from .operators.tiles import TiledMatrix
 from .operators.vectors import matvec_table, standardize_table
-from .queries import CODE_FLAG, CODE_STATUS, D, S, lineitem, query, rmatvec_sql, split, table
+from .queries import CODE_FLAG, CODE_STATUS, D, NUM_SQL, S, cells_sql, lineitem, query, rmatvec_sql, split, table
 from .sources import dense, packed
 
 # -- rows by place ---------------------------------------------------------------
@@ -321,3 +321,18 @@ def from_csc_keys(spark, sf_dir):
     cells = lineitem(spark, sf_dir).select(F.col("l_orderkey").alias("i"), F.col("l_linenumber").alias("j"), F.col("l_discount").alias("value"))
     n, p = (cells.agg(F.max(c)).first()[0] + 1 for c in ("i", "j"))
     return from_csc(cells, n, p).sandwich((F.col("row") % 5).cast("double"), exact=True).filter("i > 0 AND j > 0")
+
+# -- restrictions that leave nothing ----------------------------------------------------------------
+
+
+@query(f"SELECT j::INTEGER AS j, coalesce((SELECT {S('l_quantity * l_tax')} FROM lineitem WHERE l_quantity > 1e6), 0) AS value FROM (SELECT unnest(range(0, 7)) AS j)")
+def rmatvec_no_row_passes(spark, sf_dir):
+    """A predicate that no row of the table meets leaves zeros in every column."""
+    return split(spark, sf_dir).transpose_matvec(F.col("l_quantity") * F.col("l_tax"), rows="l_quantity > 1e6", exact=True)
+
+
+@query(cells_sql(NUM_SQL, [CODE_FLAG, CODE_STATUS], D, "lineitem"))
+def sandwich_and_no_columns(spark, sf_dir):
+    """A sandwich of no columns adds nothing to one of all."""
+    m = split(spark, sf_dir)
+    return accumulate(m.sandwich(D, exact=True), m.sandwich(D, cols=[], exact=True), exact=True)
