@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.catalog import Numeric
+from ..plans.scratch import written
 from .matrix import BROADCAST_ROWS, DesignMatrix, total
 
 
@@ -89,11 +90,13 @@ class StandardizedView:
         """X'DX in sparse cells, (j, mult, shift, X'd) of every column, and sum(d): what a sandwich of the view is made of."""
         d = F.col(d) if isinstance(d, str) else d
         on, p = sorted(set(self.base._check_cols(cols))), self.base.n_columns
-        # a column of ones has sum(d) come with X'd
+        # a column of ones has X'd and sum(d) come with X'DX, in one pass over the rows
         with_ones = replace(self.base, blocks=(*self.base.blocks, Numeric(F.lit(1.0))))
-        sums = {r["j"]: r["value"] for r in with_ones.transpose_matvec(d, rows, [*on, p], exact).collect()}
+        every = written(with_ones.sandwich(d, rows, [*on, p], exact), "cells")
+        sums = {r["i"]: r["value"] for r in every.filter(F.col("j") == p).select("i", "value").collect()}
         m, s = self._mult, self.shift
-        return self.base.sandwich(d, rows, cols, exact), [(j, float(m[j]), float(s[j]), float(sums[j])) for j in on], float(sums[p])
+        vectors = [(j, float(m[j]), float(s[j]), float(sums.get(j) or 0.0)) for j in on]
+        return every.filter((F.col("i") < p) & (F.col("j") < p)), vectors, float(sums.get(p) or 0.0)
 
     def multiply(self, d: Column | str) -> DesignMatrix:
         """Row scaling needs the values themselves: numeric columns."""

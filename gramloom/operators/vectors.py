@@ -106,9 +106,17 @@ class TableView:
     def sandwich_parts(self, d: Column | str, rows=None, cols: Sequence[int] | None = None, exact: bool = False) -> tuple[DataFrame, DataFrame]:
         """X'DX in sparse cells, scaled, and (j, mult, shift, sum, whole): all that the full result follows from."""
         d = F.col(d) if isinstance(d, str) else d
-        vectors = written(self._with_sums(d, rows, cols, exact), "vectors")
+        p = self.base.n_columns
+        on = sorted(set(self.base._check_cols(cols)))
+        # a column of ones has X'd and sum(d) come with X'DX, in one pass over the rows
+        with_ones = replace(self.base, blocks=(*self.base.blocks, Numeric(F.lit(1.0))))
+        every = written(with_ones.sandwich(d, rows, [*on, p], exact), "cells")
+        whole = every.filter((F.col("i") == p) & (F.col("j") == p)).agg(F.coalesce(F.sum("value"), F.lit(0.0))).first()[0]
+        sums = every.filter((F.col("j") == p) & (F.col("i") < p)).select(F.col("i").alias("j"), F.col("value").alias("sum"))
+        stats = _only(self.stats, "j", on, p).join(sums, "j", "left")
+        vectors = written(stats.select("j", "mult", "shift", F.coalesce("sum", F.lit(0.0)).alias("sum"), F.lit(float(whole)).alias("whole")), "vectors")
         mult = vectors.select("j", "mult")
-        cells = self.base.sandwich(d, rows, cols, exact).join(mult, "j").withColumn("value", F.col("value") * F.col("mult")).drop("mult")
+        cells = every.filter((F.col("i") < p) & (F.col("j") < p)).join(mult, "j").withColumn("value", F.col("value") * F.col("mult")).drop("mult")
         cells = cells.join(mult.toDF("i", "mult"), "i").select("i", "j", (F.col("value") * F.col("mult")).alias("value"))
         return cells, vectors
 
