@@ -20,9 +20,9 @@ def frame(spark):
     return spark.createDataFrame(rows, "id long, u double, far double, k int, c string, w double").repartition(5)
 
 
-@pytest.fixture(scope="module", params=["fail_free", "convert", "drop_first"])
+@pytest.fixture(scope="module", params=["convert", "drop_first"])
 def m(request, frame):
-    method = "zero" if request.param == "fail_free" else "convert"
+    method = "zero" if request.param == "drop_first" else "convert"
     k = g.single_categorical(frame, "k", cat_missing_method=method, drop_first=request.param == "drop_first")
     c = g.single_categorical(frame, "c")
     return replace(k, blocks=(*g.dense(frame, ["u", "far"]).blocks, *k.blocks, *c.blocks), row_id="id")
@@ -210,7 +210,7 @@ def test_eight_vectors_cost_the_passes_of_one(frame):
 # -- masks of blocks ---------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("cols", [[10, 11, 12, 13], [60, 3, 4, 61], list(range(2, 92, 2)) + [1], [5, 5, 6], list(range(89, 1, -1)), [93, 0, 92, 7]])
+@pytest.mark.parametrize("cols", [[10, 11, 12, 13], [60, 3, 4, 61], list(range(2, 90, 2)) + [1, 1], list(range(89, 1, -1)), [91, 0, 90, 7]])
 def test_masks(m, frame, cols):
     x, w = whole(m), weights(frame)
     picked = m.select(cols)
