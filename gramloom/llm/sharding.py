@@ -1,8 +1,9 @@
 """Sharding by a two-pass external shuffle.
 
-Pass 1 scatters whole records into buckets of about ``bucket_bytes`` by a seeded hash of
-doc_id and text checksum, so that neither a hot source nor a group of copies shares a
-bucket.  Pass 2 shuffles each bucket on its own with a seeded Fisher-Yates permutation.
+Pass 1 scatters whole records, all columns counted, into buckets of about ``bucket_bytes``
+by a seeded hash of doc_id and text checksum, so that neither a hot source nor a group of
+copies shares a bucket.  Partitions are as many as hold ``TASK_BUCKETS`` buckets each on average,
+so what a task reads does not grow with the input, and chance evens out how many it gets.  Pass 2 shuffles each bucket on its own with a seeded Fisher-Yates permutation.
 A record's place in the whole order is its bucket's offset plus its place there; shard
 and slot are that place modulo and divided by the number of shards, which is the law
 ``rows``: shards differ by one row at most and slots have no gaps.  Buckets' counts and
@@ -22,11 +23,12 @@ replace columns of these names.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -35,6 +37,7 @@ from .common import Scratch, row_columns, text_of, with_row
 
 LAW = "rows"
 HEAVY = 1000
+TASK_BUCKETS = 8
 _ADDED = ("size", "text_crc32", "shard", "slot")
 _GROUP = 4096  # buckets whose offsets one window adds up
 
@@ -49,13 +52,25 @@ def _offsets(counts: DataFrame) -> DataFrame:
     return grouped.withColumn("inner", F.coalesce(inner, zero)).join(outer, F.col("g") == F.col("_g")).select("bucket", (F.col("base") + F.col("inner")).cast("long").alias("first"))
 
 
-def shuffle_into_shards(docs: DataFrame, n_shards: int = 40, seed: int = 23, bucket_bytes: int = 32 << 20) -> DataFrame:
+def _row_bytes(docs: DataFrame) -> Column:
+    """About how many bytes a row has: texts and binaries as they are, nested columns as JSON, 8 for any other."""
+    parts = [F.lit(8 * len(docs.columns)).cast("long")]
+    for f in docs.schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(c).cast("long"), F.lit(0)))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(c))).cast("long"), F.lit(0)))
+    return reduce(lambda a, b: a + b, parts)
+
+
+def shuffle_into_shards(docs: DataFrame, n_shards: int = 40, seed: int = 23, bucket_bytes: int = 4 << 20) -> DataFrame:
     """``docs``, all columns, with size, text_crc32, shard and slot added."""
     scratch = Scratch(docs.sparkSession, "sharding")
     text = text_of("text")
     crc = F.crc32(text.cast("binary"))
-    rows = with_row(docs, doc_id=F.col("doc_id"), size=(F.octet_length(text) + 16).cast("long"), text_crc32=crc, hash=F.xxhash64(F.lit(seed), F.col("doc_id"), crc), place=F.monotonically_increasing_id())
-    hashes = scratch.put(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")), "hashes")
+    rows = with_row(docs, doc_id=F.col("doc_id"), size=(F.octet_length(text) + 16).cast("long"), text_crc32=crc, hash=F.xxhash64(F.lit(seed), F.col("doc_id"), crc), place=F.monotonically_increasing_id(), bytes=_row_bytes(docs))
+    hashes = scratch.put(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")), "hashes")
     n_buckets = max(1, math.ceil((hashes.agg(F.sum("bytes")).first()[0] or 0) / bucket_bytes))
     spread, heavy = F.col("hash"), hashes.filter(F.col("n") > HEAVY).select(F.col("hash").alias("_heavy"))
     if heavy.limit(1).count():
@@ -73,6 +88,7 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 40, seed: int = 23, buc
         return table.append_column("shard", pa.array(place % n_shards, pa.int32())).append_column("slot", pa.array(place // n_shards, pa.int64()))
 
     schema = T.StructType([rows.schema[c] for c in ("row", "size", "text_crc32")] + [T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    rows = rows.repartition(math.ceil(n_buckets / TASK_BUCKETS), "bucket")
     placed = rows.groupBy("bucket").cogroup(offsets.groupBy("bucket")).applyInArrow(fisher_yates, schema)
     return placed.select(*row_columns(docs, *_ADDED), *_ADDED)
 

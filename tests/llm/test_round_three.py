@@ -1,5 +1,6 @@
 """Filter audit, license scans and spelling variants against brute force on small tables."""
 
+import math
 import random
 import re
 import zlib
@@ -274,3 +275,20 @@ def test_no_words(spark):
     with pytest.raises(ValueError):
         spelling.group_variants(spelling.word_counts(empty), factor=1)
     assert spelling.word_counts(empty.select(F.col("doc_id"), "text")).columns == ["word", "n"]
+
+
+# -- sharding: as many partitions as hold a few buckets each ---------------------------------------------
+
+
+def test_buckets_count_whole_rows_and_share_partitions_evenly(spark):
+    from gramloom.llm import sharding
+
+    rows = [(k, "t", "w" * 4000, [k, k], b"z" * 100) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, wide string, list array<long>, raw binary").repartition(4)
+    made = docs.select(sharding._row_bytes(docs).alias("n"), "doc_id").collect()
+    assert all(r["n"] == 40 + 1 + 4000 + 100 + len('{"list":[' + f"{r['doc_id']},{r['doc_id']}" + "]}") for r in made)
+    out = sharding.shuffle_into_shards(docs, bucket_bytes=10_000)
+    assert out.rdd.getNumPartitions() == math.ceil(math.ceil(sum(r["n"] for r in made) / 10_000) / sharding.TASK_BUCKETS) > 8
+    assert got(out.select("doc_id", "wide")) == got(docs.select("doc_id", "wide"))
+    n = out.groupBy("shard").count().toPandas()["count"]
+    assert n.max() - n.min() <= 1 and len(n) == 40
