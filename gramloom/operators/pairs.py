@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.levels import clean, level_table
 from ..plans.catalog import Categorical
@@ -71,10 +72,10 @@ def interaction(df: DataFrame, columns: Sequence[str], reduced: Sequence[str] =
     return DesignMatrix(coded, (Categorical(F.col(f"`{mark}`"), levels, term, term, False, None, "{category}", None, value),), row_id, base=df)
 
 
-def product_numbers(m: DesignMatrix, levels: Sequence[LevelTable], block: int = 0) -> DataFrame:
+def product_numbers(m: DesignMatrix, levels: Sequence[Sequence], block: int = 0) -> DataFrame:
     """(j, full): which column of the full product each column of the block is, earlier factors varying fastest.
 
-    ``levels`` are the level tables of the factors in the order of the interaction; numbers are long.
+    ``levels`` are the levels of the factors, lists or tables, in the order of the interaction; numbers are long.
     """
     b = m.blocks[block]
     if not isinstance(b.levels, CombinationTable):
@@ -84,7 +85,12 @@ def product_numbers(m: DesignMatrix, levels: Sequence[LevelTable], block: int =
         raise ValueError(f"{len(levels)} level tables for {len(names)} factors")
     table, full, step = b.levels.df, F.lit(0).cast("long"), 1
     for k, (name, own) in enumerate(zip(names, levels)):
-        table = table.join(own.df.toDF(f"_l{k}", f"_n{k}"), F.col(f"level.{name}") == F.col(f"_l{k}"))
+        if isinstance(own, LevelTable):
+            codes = own.df.toDF(f"_l{k}", f"_n{k}")
+        else:
+            kind = T.StructType([T.StructField(f"_l{k}", b.levels.df.schema["level"].dataType[name].dataType), T.StructField(f"_n{k}", T.IntegerType())])
+            codes = m.df.sparkSession.createDataFrame([(x, i) for i, x in enumerate(own)], kind)
+        table = table.join(codes, F.col(f"level.{name}") == F.col(f"_l{k}"))
         full = full + F.col(f"_n{k}").cast("long") * F.lit(step).cast("long")
         step *= len(own)
     if step >= 2**63:

@@ -64,6 +64,7 @@ def test_numbers_of_the_full_product(frame):
     full = {r["j"]: r["full"] for r in product_numbers(m, [a, b]).collect()}
     la, lb = list(a), list(b)
     assert full == {k: la.index(r["a"]) + len(la) * lb.index(r["b"]) for k, r in enumerate(x["level"] for x in m.blocks[0].levels.df.orderBy("code").collect())}
+    assert {r["j"]: r["full"] for r in product_numbers(m, [la, b]).collect()} == full  # a list will do
     with pytest.raises(ValueError):
         product_numbers(m, [a])
     with pytest.raises(ValueError):
