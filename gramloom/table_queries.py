@@ -14,6 +14,7 @@ from .operators.moments import moments
 from .operators.pairs import interaction, product_numbers, with_interaction
 from .operators.tiles import TiledMatrix
 from .operators.vectors import matvec_table, standardize_table
+from .plans.spread import spread
 from .queries import CODE_FLAG, CODE_STATUS, D, NUM_SQL, S, cells_sql, lineitem, query, rmatvec_sql, split, table
 from .sources import dense, packed
 
@@ -194,8 +195,9 @@ def getcol_long_factor(spark, sf_dir):
 
 def _tiled(spark, sf_dir, **how):
     """Order keys by part keys, both growing with the table, the sum of discounts in each cell."""
-    cells = lineitem(spark, sf_dir).groupBy(F.col("l_orderkey").alias("i"), F.col("l_partkey").alias("j")).agg(F.sum("l_discount").alias("value"))
-    n, p = (cells.agg(F.max(c)).first()[0] + 1 for c in ("i", "j"))
+    df = lineitem(spark, sf_dir)
+    cells = spread(df, df.count(), "l_orderkey").groupBy(F.col("l_orderkey").alias("i"), F.col("l_partkey").alias("j")).agg(F.sum("l_discount").alias("value"))
+    n, p = df.agg(F.max("l_orderkey") + 1, F.max("l_partkey") + 1).first()
     return TiledMatrix.from_coo(cells, n, p, **how)
 
 

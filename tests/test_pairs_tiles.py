@@ -195,3 +195,20 @@ def test_triplets(spark, sparse):
     np.testing.assert_allclose(filled(coo.tiled(10, 10).transpose_matvec(spark.range(150).select("id", F.lit(1.0))), 60), x.sum(0), atol=1e-9)
     with pytest.raises(ValueError):
         g.from_coo(df, 150, 60, ["a"])
+
+
+def test_many_column_blocks_meet_once(spark, sparse, monkeypatch):
+    """However columns are cut, the entries of a block of rows are sent once; only blocks of more than a piece have partners."""
+    x, df = sparse
+    d = spark.range(150).select("id", F.lit(2.0).alias("x"))
+    sent = []
+    plain = tiles._products_of
+    monkeypatch.setattr(tiles, "_products_of", lambda *a: sent.append(a[3]) or plain(*a))
+    m = TiledMatrix.from_coo(df, 150, 60, 50, 1)
+    np.testing.assert_allclose(filled(m.sandwich(d), 60, 60), 2 * x.T @ x, atol=1e-12)
+    assert not sent
+    monkeypatch.setattr(tiles, "PIECE", 40)
+    for m in (TiledMatrix.from_coo(df, 150, 60, 50, 1), TiledMatrix.from_coo(df, 150, 60, 150, 60)):
+        np.testing.assert_allclose(filled(m.sandwich(d), 60, 60), 2 * x.T @ x, atol=1e-12)
+        np.testing.assert_allclose(filled(m.transpose().dot(m), 60, 60), x.T @ x, atol=1e-12)
+    assert sent
