@@ -220,7 +220,7 @@ class TiledMatrix:
             left = cut.select("rb", F.col("piece").alias("pa"), F.explode(F.sequence(F.col("piece"), F.col("of") - 1)).alias("pb"), F.col("i").alias("on_a"), F.col("j").alias("a"), "x").filter("pa < pb")
             right = cut.filter("piece > 0").select("rb", F.col("piece").alias("pb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("piece") - 1)).alias("pa"), F.col("i").alias("on_b"), F.col("j").alias("b"), F.col("value").alias("y"))
             products = products.unionAll(_products_of(left, right, ("rb", "pa", "pb"), n * most, True))
-        met = pairs_met(self.tiles.select(F.explode("i").alias("i")), None, "i")
+        met = pairs_met(self.tiles.select(F.explode("i").alias("i")), None, "i", n)
         upper = _summed(products, min((met + n) // 2, self.n_columns * (self.n_columns + 1) // 2))
         turned = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
         both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(turned)
@@ -242,7 +242,7 @@ class TiledMatrix:
         right = _dealt(b.join(sizes, "kb").withColumn("pb", F.pmod(F.xxhash64("to"), "gb")), n, ("kb", "pb", "ga"), ("k", "to", "value"))
         left = left.select("kb", "pa", F.explode(F.sequence(F.lit(0).cast("long"), F.col("gb") - 1)).alias("pb"), F.col("k").alias("on_a"), F.col("to").alias("a"), F.col("value").alias("x"))
         right = right.select("kb", "pb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ga") - 1)).alias("pa"), F.col("k").alias("on_b"), F.col("to").alias("b"), F.col("value").alias("y"))
-        return _summed(_products_of(left, right, ("kb", "pa", "pb"), n * sent, False), min(pairs_met(a, b, "k"), self.n_rows * other.n_columns))
+        return _summed(_products_of(left, right, ("kb", "pa", "pb"), n * sent, False), min(pairs_met(a, b, "k", n), self.n_rows * other.n_columns))
 
     def with_blocks(self, row_block: int, col_block: int) -> "TiledMatrix":
         placed = self.entries().withColumn("rb", F.expr(f"i DIV {row_block}")).withColumn("cb", F.expr(f"j DIV {col_block}"))

@@ -24,8 +24,8 @@ def spread(df: DataFrame, n: int, *keys: Column | str, each: int | None = None)
     return df.repartition(parts_of(df, n, each), *keys)
 
 
-def pairs_met(left: DataFrame, right: DataFrame | None, key: str) -> int:
-    """How many pairs of rows have equal keys; without ``right``, of ``left`` with itself."""
-    count = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+def pairs_met(left: DataFrame, right: DataFrame | None, key: str, n: int) -> int:
+    """How many pairs of rows have equal keys, for ``n`` rows; without ``right``, of ``left`` with itself."""
+    count = lambda df, name: spread(df.select(key), n, key).groupBy(key).agg(F.count(F.lit(1)).alias(name))
     met = count(left, "m").withColumn("n", F.col("m")) if right is None else count(left, "m").join(count(right, "n"), key)
     return int(met.agg(F.sum(F.col("m").cast("double") * F.col("n"))).first()[0] or 0)
