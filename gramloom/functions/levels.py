@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..plans.level_table import LevelTable
 from ..plans.scratch import written
+from ..plans.spread import TASK_ROWS, parts_of, spread
 
 MISSING_METHODS = ("fail", "zero", "convert")
 #: Up to so many levels, codes come from a literal array; beyond, from a join with the level table.
@@ -30,13 +31,17 @@ def clean(df: DataFrame, column: str) -> Column:
     return F.when(~F.isnan(c), c) if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)) else c
 
 
-def level_table(df: DataFrame, column: str, wide: bool = False) -> LevelTable:
+def level_table(df: DataFrame, column: str, wide: bool = False, about: int | None = None) -> LevelTable:
     """Distinct values sorted by range and written; codes are positions in a part plus the parts' sizes before it.
 
-    ``wide`` makes codes long, for more than 2^31 values.
+    ``wide`` makes codes long, for more than 2^31 values.  ``about`` is the number of values or a
+    bound of it, else a pass tells it: of many, tasks take a share each, and rows are dealt before any are made distinct.
     """
-    values = df.select(clean(df, column).alias("level")).filter("level IS NOT NULL").distinct()
-    placed = written(values.repartitionByRange("level").sortWithinPartitions("level").withColumn("at", F.monotonically_increasing_id()), "levels")
+    values = df.select(clean(df, column).alias("level")).filter("level IS NOT NULL")
+    if about is None:
+        about = values.agg(F.approx_count_distinct("level")).first()[0]
+    values = (spread(values, about, "level") if about > TASK_ROWS else values).distinct()
+    placed = written(values.repartitionByRange(parts_of(df, about), "level").sortWithinPartitions("level").withColumn("at", F.monotonically_increasing_id()), "levels")
     table = placed.select("level", F.shiftright("at", 33).cast("int").alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
     sizes = sorted((r["part"], r["count"]) for r in table.groupBy("part").count().collect())
     before = dict(zip((k for k, _ in sizes), accumulate((n for _, n in sizes), initial=0)))
@@ -82,7 +87,7 @@ def observe(df: DataFrame, columns: Sequence[str], declared: Mapping[str, Sequen
     def seen(i: int, c: str) -> Sequence:
         if c in declared:
             return [] if i in short and not row[f"u{i}"] else _unseen(df, c, declared[c])
-        return list(sets[f"v{i}"]) if i in few else level_table(df, c)
+        return list(sets[f"v{i}"]) if i in few else level_table(df, c, about=row[f"n{i}"])
 
     return {c: (seen(i, c), bool(row[f"m{i}"])) for i, c in enumerate(columns)}
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.levels import LevelTable
 from ..plans.catalog import DENSE, SPARSE, Block, Categorical, Numeric
+from ..plans.spread import TASK_ROWS, spread
 from . import moments
 from . import rows as by_position
 from . import several
@@ -413,7 +414,11 @@ class DesignMatrix:
     def _sums_by_value(self, b: Categorical, at: int, v: Column, on: Sequence[int], exact: bool) -> DataFrame:
         """(j, value) of one block: rows are summed by value in map tasks, then meet the level table."""
         term = v if b.multiplier is None else v * b.weight
-        sums = self.base.groupBy(b.source.alias("_value")).agg(total(term, exact).alias("value"))
+        rows = self.base.select(b.source.alias("_value"), term.alias("_term"))
+        if b.levels.known > TASK_ROWS:
+            # sums of many levels would fill a map task, and be added up in ever larger parts
+            rows = spread(rows, b.levels.known, "_value")
+        sums = rows.groupBy("_value").agg(total(F.col("_term"), exact).alias("value"))
         table = b.levels.df.select("level", (F.col("code") + at - int(b.drop_first)).alias("j")).filter(F.col("j") >= at)
         found = table.join(sums, F.col("level") == F.col("_value"), "left").select("j", F.coalesce("value", F.lit(0.0)).alias("value"))
         if b.levels.extra:

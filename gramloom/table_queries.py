@@ -259,7 +259,7 @@ def interaction_product_numbers(spark, sf_dir):
     df = lineitem(spark, sf_dir)
     m = interaction(df, ["l_suppkey", "l_partkey"])
     factors = [single_categorical(df, c).blocks[0].levels for c in ("l_suppkey", "l_partkey")]
-    return m.transpose_matvec(D, exact=True).join(product_numbers(m, factors), "j").select("full", "value")
+    return spread(m.transpose_matvec(D, exact=True), m.n_columns, "j").join(product_numbers(m, factors), "j").select("full", "value")
 
 
 @query(f"""WITH f AS (SELECT *, l_suppkey > (SELECT min(l_suppkey) FROM lineitem) AS kept FROM lineitem),
