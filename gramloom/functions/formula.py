@@ -17,6 +17,7 @@ from __future__ import annotations
 import ast
 import itertools
 import json
+import math
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
@@ -29,6 +30,7 @@ from pyspark.sql import types as T
 
 from ..operators.matrix import DesignMatrix
 from ..plans.catalog import SPARSE, Block, Categorical, Numeric
+from ..plans.spread import TASK_ROWS
 from .expressions import BUILT_IN, Compiler, Flag, StructureError, flag
 from .levels import LevelTable, clean, level_table, observe, resolve, with_code
 from .quantiles import percentiles
@@ -289,7 +291,7 @@ class _Factors:
     """Evaluates factors of one formula over one DataFrame, learning state where it is missing."""
 
     def __init__(self, df: DataFrame, spec: Spec):
-        self.df, self.spec = df, spec
+        self.df, self.given, self.spec = df, df, spec
         self.types = {f.name: f.dataType for f in df.schema}
         self.cache: dict[str, Column | Coded | list[tuple[str, Column]]] = {}
 
@@ -509,7 +511,9 @@ def _observed_piece(factors: _Factors, part: tuple[tuple[str, bool], ...], optio
     value = F.when(whole, F.struct(*[c.cast("int").alias(f"c{k}") for k, c in reversed(list(enumerate(codes)))]))
     key = "combinations of " + sep.join(f"{f}{'-' * first}" for f, _, first in coded)
     if key not in factors.spec.state:
-        factors.spec.state[key] = {"levels": level_table(factors.df.select(value.alias("_combination")), "_combination", wide=True), "missing_last": False}
+        about = math.prod(len(c.levels) for _, c, _ in coded)
+        about = min(about, factors.given.count()) if about > TASK_ROWS else about
+        factors.spec.state[key] = {"levels": level_table(factors.df.select(value.alias("_combination")), "_combination", wide=True, about=about), "missing_last": False}
     table: LevelTable = factors.spec.state[key]["levels"]
     label = lambda level: sep.join(form.format(name=f, category=c.levels[level[f"c{k}"]]) for k, (f, c, _) in enumerate(coded))
 
@@ -555,6 +559,7 @@ def _build(df: DataFrame, spec: Spec, row_id: str | None) -> DesignMatrix:
         df = df.filter(whole)
     factors = _Factors(df, spec)
     kinds = {f: factors.get(f) for f in used}
+    coded_rows = factors.df  # with the codes of factors; those of combinations are joined to it, which sums do not need
     spans = lambda f: kinds[f].spans_intercept if isinstance(kinds[f], Coded) else None
     if o["cluster_by"] == "numerical_factors":
         numeric = lambda t: tuple(f for f in t if not isinstance(kinds[f], Coded))
@@ -578,7 +583,7 @@ def _build(df: DataFrame, spec: Spec, row_id: str | None) -> DesignMatrix:
     few = o.get("cat_threshold") or 0
     blocks = [x for b in blocks for x in ([b.column(k) for k in range(b.width)] if isinstance(b, Categorical) and len(b.levels) < few else [b])]
     by_combination = any(isinstance(getattr(b, "levels", None), LevelTable) for b in blocks)
-    m = DesignMatrix(factors.df, tuple(blocks), row_id, spec, factors.df if by_combination else None)
+    m = DesignMatrix(factors.df, tuple(blocks), row_id, spec, coded_rows if by_combination else None)
     if o.get("sparse_threshold") is not None:
         m = m.split_density(o["sparse_threshold"])
     if o.get("dtype") is not None:
