@@ -7,6 +7,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import written
+from ..plans.spread import pairs_met, spread
 from .matrix import total
 
 
@@ -39,6 +41,10 @@ class CooMatrix:
 
         return TiledMatrix.from_coo(self.df, self.n_rows, self.n_columns, row_block, col_block, self.column_names)
 
+    def stored(self) -> "CooMatrix":
+        """The matrix with its triplets written, for products, which count them first."""
+        return replace(self, df=written(self.df, "entries"))
+
     def matvec(self, v: DataFrame, exact: bool = False) -> DataFrame:
         """v is (j, x); returns (row_id, value) for rows with an entry."""
         return self.df.join(v, "j").groupBy(F.col("i").alias("row_id")).agg(total(F.col("value") * F.col("x"), exact).alias("value"))
@@ -48,18 +54,26 @@ class CooMatrix:
         return self.df.join(v, "i").groupBy("j").agg(total(F.col("value") * F.col("x"), exact).alias("value"))
 
     def sandwich(self, d: DataFrame, exact: bool = False) -> DataFrame:
-        """d is (i, x): entries of a row meet each other, and are summed by cell."""
-        left = self.df.join(d, "i").select("i", F.col("j").alias("a"), (F.col("value") * F.col("x")).alias("l"))
-        right = self.df.select("i", F.col("j").alias("b"), F.col("value").alias("r"))
-        return left.join(right, "i").groupBy(F.col("a").alias("i"), F.col("b").alias("j")).agg(total(F.col("l") * F.col("r"), exact).alias("value"))
+        """d is (i, x): entries of a row meet each other, and are summed by cell.
+
+        A first pass counts what meets; partitions of the join and of the sums grow with that.
+        """
+        met = max(self.df.count(), pairs_met(self.df, None, "i", self.df.count()))
+        own = spread(self.df, met, "i")
+        left = own.join(d, "i").select("i", F.col("j").alias("a"), (F.col("value") * F.col("x")).alias("l"))
+        right = spread(self.df.select("i", F.col("j").alias("b"), F.col("value").alias("r")), met, "i")
+        products = left.join(right, "i").select(F.col("a").alias("i"), F.col("b").alias("j"), (F.col("l") * F.col("r")).alias("p"))
+        return _by_cell(products, met, self.n_columns * self.n_columns, total(F.col("p"), exact))
 
     def transpose(self) -> "CooMatrix":
         return CooMatrix(self.df.select(F.col("j").alias("i"), F.col("i").alias("j"), "value"), self.n_columns, self.n_rows)
 
     def dot(self, other: "CooMatrix") -> "CooMatrix":
         right = other.df.select(F.col("i").alias("j"), F.col("j").alias("b"), F.col("value").alias("r"))
-        cells = self.df.join(right, "j").groupBy("i", F.col("b").alias("j")).agg(F.sum(F.col("value") * F.col("r")).alias("value"))
-        return CooMatrix(cells, self.n_rows, other.n_columns)
+        n = self.df.count() + right.count()
+        met = max(n, pairs_met(self.df, right, "j", n))
+        products = spread(self.df, met, "j").join(spread(right, met, "j"), "j").select("i", F.col("b").alias("j"), (F.col("value") * F.col("r")).alias("p"))
+        return CooMatrix(_by_cell(products, met, self.n_rows * other.n_columns, F.sum("p")), self.n_rows, other.n_columns)
 
     def densities(self) -> DataFrame:
         """(j, density) of columns with an entry."""
@@ -71,3 +85,9 @@ class CooMatrix:
             raise ValueError(f"a share from 0 to 1 is needed, not {threshold}")
         every = self.df.sparkSession.range(self.n_columns).select(F.col("id").cast("int").alias("j"))
         return every.join(self.densities(), "j", "left").select("j", (F.coalesce("density", F.lit(0.0)) > threshold).alias("is_dense"))
+
+
+def _by_cell(products: DataFrame, n: int, cells: int, sums) -> DataFrame:
+    """Sums by (i, j) of ``n`` products.  Where cells are few (of ``cells`` that can be), map tasks add up first."""
+    few = cells <= n // 8
+    return (products if few else spread(products, min(n, cells), "i", "j")).groupBy("i", "j").agg(sums.alias("value"))

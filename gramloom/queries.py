@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from . import accumulate, from_csc, from_coo, from_df, from_formula, hstack, single_categorical
 from .functions.levels import observe
 from .operators import DesignMatrix, StandardizedView
+from .plans.spread import spread
 from .sources import dense
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -489,8 +490,8 @@ _N_KEYED = "(SELECT max(l_orderkey) + 1 FROM lineitem)"
 def _keyed(spark, sf_dir):
     """Orders by parts; a row number is an order key."""
     m = single_categorical(lineitem(spark, sf_dir), "l_partkey")
-    df = m.df.groupBy(F.col("l_orderkey").alias("i"), m.blocks[0].code.alias("j")).agg(F.sum("l_quantity").alias("value"))
-    return from_coo(df, m.df.agg(F.max("l_orderkey") + 1).first()[0] or 0, m.n_columns)
+    df = spread(m.df, lineitem(spark, sf_dir).count(), "l_orderkey").groupBy(F.col("l_orderkey").alias("i"), m.blocks[0].code.alias("j")).agg(F.sum("l_quantity").alias("value"))
+    return from_coo(df, lineitem(spark, sf_dir).agg(F.max("l_orderkey") + 1).first()[0] or 0, m.n_columns).stored()
 
 
 @query(f"SELECT i AS row_id, {S('value * (j + 1)')} AS value FROM {_KEYED} GROUP BY i")
